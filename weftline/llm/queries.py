@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import contamination, exact_dedup, sharding
+from weftline.llm import chat, contamination, exact_dedup, licenses, mixing, sharding
 
 N_SHARDS = 40
 
@@ -94,3 +94,93 @@ WITH d AS (
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all templates."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licence.*")
+
+
+SQL["op3_license_scan"] = licenses.scan_sql()
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back."""
+    columns = ["conv_id", "turn", "role", "text"]
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    return chat.digests(chat.format_chats(table(spark, sf_dir, "conversations").select(columns).unionByName(own)))
+
+
+SQL["op5_chat_format"] = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), r AS (
+    SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+           length(regexp_replace(text, '(\\|</?s>|\[/?(?:INST|SYS|ROLE))', '\\\1', 'g')) + CASE role
+               WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5
+               ELSE 16 + length(regexp_replace(role, '([\\\[\]<])', '\\\1', 'g')) END AS width
+    FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), e AS (
+    SELECT *, sum(width) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM r
+), g AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+           coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+           CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, raked to smoothed shares of source, language and topic."""
+    return mixing.mix(mixing.described(table(spark, sf_dir, "documents")))
+
+
+SQL["op10_mixing"] = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+    FROM documents
+), r AS (
+    SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'icense') THEN 'legal'
+           WHEN regexp_matches(text, '[$#%&*]{{3}}') THEN 'symbols' WHEN tokens >= 1000 THEN 'long' ELSE 'prose' END AS topic, tokens
+    FROM d
+), c AS (
+    SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM r GROUP BY ALL
+), t AS (
+    SELECT *, pow(s, {mixing.ALPHA["source"]}) AS s_to, pow(l, {mixing.ALPHA["lang"]}) AS l_to, pow(o, {mixing.ALPHA["topic"]}) AS o_to
+    FROM (SELECT *, sum(tokens) OVER (PARTITION BY source) AS s, sum(tokens) OVER (PARTITION BY lang) AS l, sum(tokens) OVER (PARTITION BY topic) AS o FROM c)
+), u AS (
+    SELECT source, lang, topic, tokens, s_to / (SELECT sum(DISTINCT_s) FROM (SELECT any_value(s_to) AS DISTINCT_s FROM t GROUP BY source)) AS s_to,
+           l_to / (SELECT sum(x) FROM (SELECT any_value(l_to) AS x FROM t GROUP BY lang)) AS l_to,
+           o_to / (SELECT sum(x) FROM (SELECT any_value(o_to) AS x FROM t GROUP BY topic)) AS o_to
+    FROM t
+), k AS (
+    SELECT 0 AS n, *, tokens / sum(tokens) OVER () AS w FROM u
+    UNION ALL
+    SELECT n + 1, source, lang, topic, tokens, s_to, l_to, o_to, w * o_to / sum(w) OVER (PARTITION BY topic) AS w FROM (
+        SELECT * REPLACE (w * l_to / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+            SELECT * REPLACE (w * s_to / sum(w) OVER (PARTITION BY source) AS w) FROM k WHERE n < {mixing.ROUNDS}))
+), q AS (
+    SELECT source, lang, topic, tokens, w * sum(tokens) OVER () / tokens AS weight FROM k WHERE n = {mixing.ROUNDS} AND tokens > 0
+), f AS (
+    SELECT *, ({mixing.SAMPLE_SHARE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight * tokens) OVER (ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+    FROM q
+), b AS (
+    SELECT max_by(c, weight) AS c FROM f WHERE c * weight <= 1
+), p AS (
+    SELECT source, lang, topic, weight, least(1.0, coalesce(b.c, 'inf'::DOUBLE) * weight) AS probability FROM q, b
+)
+SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight, coalesce(probability, 1.0) AS probability,
+       ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT / pow(16, 13) < coalesce(probability, 1.0) AS kept
+FROM r LEFT JOIN p USING (source, lang, topic)
+"""
