@@ -26,8 +26,10 @@ CONTROL = r"\\|</?s>|\[/?(?:INST|SYS|ROLE)"
 
 _BODY = r"((?:[^\\<\[]++|\\.|<(?!/?s>)|\[(?!/?(?:INST|SYS|ROLE)))*+)"
 _TURN = re.compile(
-    rf"\[INST\] {_BODY} \[/INST\]|\[SYS\] {_BODY} \[/SYS\]|\[ROLE ((?:[^\\\]]|\\.)*+)\] {_BODY} \[/ROLE\]| {_BODY}</s>", re.DOTALL
+    rf"\[INST\] {_BODY}(?<= )\[/INST\]|\[SYS\] {_BODY}(?<= )\[/SYS\]|\[ROLE ((?:[^\\\]]|\\.)*+)\] {_BODY}(?<= )\[/ROLE\]| {_BODY}</s>",
+    re.DOTALL,
 )
+#: The bodies above take the space before a closing string with them.
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -89,11 +91,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
             raise ValueError(f"not a turn at {at}")
         user, system, role, other, assistant = m.groups()
         if user is not None:
-            turns.append(("user", unescape(user)))
+            turns.append(("user", unescape(user[:-1])))
         elif system is not None:
-            turns.append(("system", unescape(system)))
+            turns.append(("system", unescape(system[:-1])))
         elif role is not None:
-            turns.append((unescape(role), unescape(other)))
+            turns.append((unescape(role), unescape(other[:-1])))
         else:
             turns.append(("assistant", unescape(assistant)))
         at = m.end()

@@ -79,8 +79,11 @@ def templates() -> list[Template]:
 
 def _starts(places: Column, t: Template) -> Column:
     """Where the template would begin, by all its anchors."""
-    each = [F.transform(F.filter(places, lambda p, w=w: p["w"] == w), lambda p, k=k: p["i"] - k) for w, k in t.anchors]
-    return reduce(F.array_intersect, each)
+
+    def of(word: str, place: int) -> Column:
+        return F.transform(F.filter(places, lambda p: p["w"] == word), lambda p: p["i"] - place)
+
+    return reduce(F.array_intersect, [of(*a) for a in t.anchors])
 
 
 def _verified(words: Column, starts: Column, t: Template) -> Column:
