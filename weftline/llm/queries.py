@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, contamination, exact_dedup, licenses, mixing, sharding
+from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, sharding
 
 N_SHARDS = 40
 
@@ -184,3 +184,9 @@ SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight, coa
        ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT / pow(16, 13) < coalesce(probability, 1.0) AS kept
 FROM r LEFT JOIN p USING (source, lang, topic)
 """
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; learned from those that are not held out."""
+    return language.identify(table(spark, sf_dir, "documents"))

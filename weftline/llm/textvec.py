@@ -124,21 +124,25 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct shingles of each text, sorted. A text of fewer than k words, but not none, has its whole sequence as one."""
+    """(first, hashes): the distinct shingles of all texts, sorted within each, and where each text's begin. A text of fewer than k words, but not none, has its whole sequence as one."""
     starts, count = words.first[:-1], words.count
-    per = np.where(count >= k, count - k + 1, 0)
-    doc = np.repeat(np.arange(len(count)), per)
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(per.sum())
-    hashes = runs(words.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
+    per = np.where(count >= k, count - k + 1, (count > 0).astype(count.dtype))
+    cut = np.concatenate([[0], np.cumsum(per)])
+    hashes = np.zeros(cut[-1], np.uint64)
+    full = np.repeat(count >= k, per)
+    at = np.repeat(starts - cut[:-1], per) + np.arange(cut[-1])
+    if full.any():
+        hashes[full] = runs(words.hash, k)[at[full]]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
         own = np.zeros(len(short), np.uint64)
         for j in range(k - 1):
             has = count[short] > j
             own[has] = own[has] * np.uint64(0xD6E8FEB86659FD93) + words.hash[starts[short[has]] + j]
-        doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, mix(own + count[short].astype(np.uint64))])
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    return doc[new], hashes[new]
+        hashes[cut[short]] = mix(own + count[short].astype(np.uint64))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[cut[:-1][cut[:-1] < len(hashes)]] = True
+    return np.concatenate([[0], np.cumsum(new)])[cut], hashes[new]
