@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, sharding
+from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, sharding
 
 N_SHARDS = 40
 
@@ -190,3 +190,34 @@ FROM r LEFT JOIN p USING (source, lang, topic)
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learned from those that are not held out."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against each other."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+    SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), r AS (
+    SELECT DISTINCT a AS root, a AS node FROM l
+    UNION
+    SELECT root, b FROM r JOIN l ON l.a = r.node
+), m AS (
+    SELECT node, min(root) AS low FROM r GROUP BY node
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
+"""
