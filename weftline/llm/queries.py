@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, sharding
+from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, sharding, toxicity
 
 N_SHARDS = 40
 
@@ -221,3 +221,9 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
 """
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; learned from the labels of those that are not held out."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
