@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, sharding, toxicity
+from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, quality, sharding, toxicity
 
 N_SHARDS = 40
 
@@ -227,3 +227,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learned from the labels of those that are not held out."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; learned from the labels of those that are not held out."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
