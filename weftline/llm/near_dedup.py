@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.components import components
 from weftline.llm.staging import stage
-from weftline.llm.textvec import NOT_SPACE, Words, chunks, mix, shingles
+from weftline.llm.textvec import NOT_SPACE, Words, chunks, mix, release, shingles
 
 WORDS = 5
 #: Least similarity in hundredths.
@@ -108,6 +108,7 @@ def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 )
             )
         yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH_TYPE)
+        release()
 
 
 def _agreement(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -140,6 +141,7 @@ def _similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
                     j += 1
             i += m
         yield pa.array(out)
+        release()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

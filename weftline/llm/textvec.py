@@ -6,6 +6,7 @@ is a difference of prefix sums of a polynomial in an odd base, mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets from 0) of runs of whole texts of about ``most`` bytes together; a longer text is a run alone. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -71,6 +72,15 @@ def chunks(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, n
         i = j
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system, so that a worker between batches is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 class Words:
     """The words of a run of texts.
 
@@ -99,7 +109,7 @@ class Words:
     def hash(self) -> np.ndarray:
         if self._hash is None:
             n = len(self.bytes)
-            size = 1 << max(22, (n + 1).bit_length())
+            size = 1 << max(20, (n + 1).bit_length())
             up, down = _powers(size)
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[self.bytes] * up[:n], out=sums[1:])
