@@ -110,7 +110,7 @@ def place_column(i: Column, n: int, seed: int) -> Column:
     return F.when(walked < F.lit(n), walked).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("bigint"))
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "weftline__row") -> DataFrame:
     """``df`` with global row numbers from 0 in the given order.
 
     A range shuffle sorts the rows over all tasks; rows equal in ``order`` are told apart by where they were read, so
@@ -146,13 +146,12 @@ def shard(df: DataFrame, order: list[Column], n_shards: int, seed: int = 1) -> D
     stored; rows equal in ``order`` may swap places. Nulls in ``order`` come first. Columns of ``df`` called shard or
     slot are replaced. An empty table gives an empty result with both columns.
     """
-    df = df.drop("shard", "slot")
-    rows = numbered(df, order)
-    n = rows.count()
-    place = place_column(F.col("row_number"), max(n, 1), seed)
+    df, row = df.drop("shard", "slot"), "weftline__row"
+    rows = numbered(df, order, row)
+    place = place_column(F.col(row), max(rows.count(), 1), seed)
     return (
-        rows.withColumn("row_number", place)
-        .withColumn("shard", (F.col("row_number") % n_shards).cast("int"))
-        .withColumn("slot", _div(F.col("row_number"), n_shards))
-        .drop("row_number")
+        rows.withColumn(row, place)
+        .withColumn("shard", (F.col(row) % n_shards).cast("int"))
+        .withColumn("slot", _div(F.col(row), n_shards))
+        .drop(row)
     )
