@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.conditions import check_condition, condition, null_to_false
-from weftline.functions.selectors import quoted
+from weftline.functions.selectors import col
 from weftline.operators.base import Transformer
 
 NEGATIVE = {"ne", "is_not_in", "is_not_null", "is_not_nan"}
@@ -56,5 +59,11 @@ class DropNulls(Transformer):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         chosen = self._get_selected_columns(df)
-        subset = [quoted(c) for c in chosen] if chosen and set(chosen) != set(df.columns) else None
-        return df.dropna(how=self._how, thresh=self._thresh, subset=subset)
+        names = chosen if chosen else df.columns
+        least = self._thresh if self._thresh is not None else (len(names) if self._how == "any" else 1)
+        floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+        there = [col(c).isNotNull() & ~F.isnan(col(c)) if c in floats else col(c).isNotNull() for c in names]
+        if least >= len(names):
+            # a plain conjunction reaches the scan
+            return df.filter(reduce(lambda a, b: a & b, there)) if least == len(names) else df.limit(0)
+        return df.filter(reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(False)).cast("int") for t in there]) >= least)
