@@ -11,12 +11,14 @@ from weftline.functions.frames import (
     get_default_spark_partitions,
     hash_dataframe,
     is_broadcast,
-    lib_in_spark_workers,
-    lib_version_in_spark_workers,
+    split_df,
+    to_schema,
 )
 from weftline.functions.methods import COLUMN_METHODS, column_method, frame_method
 from weftline.functions.selectors import col, select_columns
+from weftline.functions.pandas_frames import assert_pandas_df_equal, return_different_rows_in_pandas_dataframes
 from weftline.functions.types import portable, resolve, resolve_all
+from weftline.functions.workers import lib_in_spark_workers, lib_version_in_spark_workers, udf_ensure_package_in_spark_workers, udf_lib_version_in_spark_workers
 
 NAMES = ["a", "b1", "b2", "c.d", "Total"]
 
@@ -182,3 +184,47 @@ def test_partitions_and_workers(spark):
     assert lib_version_in_spark_workers(spark, "numpy")[0].isdigit()
     with pytest.raises(RuntimeError):
         lib_version_in_spark_workers(spark, "no_such_module")
+    df = spark.range(2)
+    assert df.select(udf_ensure_package_in_spark_workers("numpy")("id")).first()[0] is True
+    assert df.select(udf_lib_version_in_spark_workers("no_such_module")("id")).first()[0] is None
+
+
+def test_split_and_schemas(people):
+    a, b = split_df(people, "age", "gt", 20)
+    assert a.count() == 2 and b.count() == 2
+    assert all(f.schema == people.schema for f in to_schema([a, b.select(*reversed(b.columns))], people.schema))
+
+
+def test_package_reaches_workers(tmp_path):
+    """A driver that is elsewhere, with the package on its own path only."""
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+from weftline.functions.workers import lib_in_spark_workers
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("found", lib_in_spark_workers(s, "weftline.functions.types"))
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "found True" in out.stdout, out.stderr[-2000:]
+
+
+def test_pandas_frames():
+    import numpy as np
+    import pandas as pd
+
+    a = pd.DataFrame({"x": [1, 2, 2], "y": [[1], {"k": {1, 2}}, np.array([3])]})
+    b = a.iloc[[2, 0, 1]][["y", "x"]].assign(y=[[3], [1], {"k": {2, 1}}])
+    assert_pandas_df_equal(a, b)
+    c = pd.DataFrame({"x": [1, 2, 2], "y": [[1], [3], [3]]})
+    one, two = return_different_rows_in_pandas_dataframes(a, c)
+    assert one["y"].tolist() == [{"k": {1, 2}}] and two["y"].tolist() == [[3]]
+    for bad in (c, a.head(2), a.rename(columns={"x": "z"})):
+        with pytest.raises(AssertionError):
+            assert_pandas_df_equal(a, bad)
+    assert_pandas_df_equal(a, c, assert_not_deep=True)

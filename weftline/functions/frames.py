@@ -1,9 +1,8 @@
-"""Whole-frame utilities: hashes, comparison, deterministic deduplication, skew, schemas."""
+"""Whole-frame utilities: hashes, comparison, deterministic deduplication, splits, skew, schemas."""
 
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
 from contextlib import redirect_stdout
 from dataclasses import dataclass
 from typing import Any
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.conditions import condition, null_to_false
 from weftline.functions.selectors import as_list, col
 
 HASHES = ("md5", "crc32", "sha1", "sha2", "xxhash64")
@@ -146,43 +146,22 @@ def is_broadcast(df: DataFrame) -> bool:
     return "broadcast" in out.getvalue().lower()
 
 
-def lib_in_spark_workers(spark: SparkSession, name: str) -> bool:
-    """Whether the workers can import a module; RuntimeError if some can and some cannot."""
-    answers = set(_ask(spark, name))
-    if len({a is not None for a in answers}) > 1:
-        raise RuntimeError(f"'{name}' is there on some workers only")
-    return None not in answers
+def get_native_schema(df: DataFrame) -> T.StructType:
+    """The schema to go back to by ``to_schema``."""
+    return df.schema
 
 
-def lib_version_in_spark_workers(spark: SparkSession, name: str) -> str:
-    """The version of a module on the workers; RuntimeError if it is missing or differs among them."""
-    answers = set(_ask(spark, name))
-    if None in answers:
-        raise RuntimeError(f"'{name}' is not there on all workers")
-    if len(answers) > 1:
-        raise RuntimeError(f"Multiple versions of '{name}': {sorted(answers)}")
-    return answers.pop()
+def to_schema(frames: list[DataFrame], schema: T.StructType) -> list[DataFrame]:
+    """Every frame cast to one schema."""
+    return [cast_to_schema(f, schema) for f in frames]
 
 
-def _version_of(name: str) -> str | None:
-    from importlib import import_module, metadata
+def df_is_empty(df: DataFrame) -> bool:
+    """Whether there is no row; looks for one."""
+    return df.isEmpty()
 
-    try:
-        module = import_module(name)
-    except ImportError:
-        return None
-    try:
-        return metadata.version(name)
-    except metadata.PackageNotFoundError:
-        return str(getattr(module, "__version__", ""))
 
-
-def on_workers(spark: SparkSession, f: Callable[[], Any], n: int | None = None) -> list[Any]:
-    """The distinct answers of a function of no arguments, run on every task of a small job."""
-    n = n or max(2, 2 * spark.sparkContext.defaultParallelism)
-    ask = F.udf(lambda _: f(), "string")
-    return [r[0] for r in spark.range(0, n, 1, n).select(ask("id").alias("a")).distinct().collect()]
-
-
-def _ask(spark: SparkSession, name: str) -> list[str | None]:
-    return on_workers(spark, lambda: _version_of(name))
+def split_df(df: DataFrame, input_col: str, operator: str, value: Any = None, compare_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows where a condition is true, and all others, those where it is NULL too."""
+    cond = condition(input_col, operator, value, compare_col)
+    return df.filter(cond), df.filter(~null_to_false(cond))

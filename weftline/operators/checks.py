@@ -9,8 +9,9 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from weftline.functions.frames import get_data_skew, on_workers
+from weftline.functions.frames import get_data_skew
 from weftline.functions.selectors import as_list
+from weftline.functions.workers import on_workers
 from weftline.operators.base import Transformer
 
 log = logging.getLogger("weftline.checks")

@@ -9,8 +9,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
-from weftline.functions.conditions import condition, null_to_false
-from weftline.functions.frames import cast_to_schema
+from weftline.functions.frames import cast_to_schema, split_df
 from weftline.operators.combining import append_dataframes, join_dataframes
 from weftline.plans.builder import JOIN_KEYS, is_transformer
 from weftline.plans.hooks import NoOpHooks, PipelineHooks
@@ -142,9 +141,7 @@ class Executor:
                 return self._merged(node, df, {"branch": done, "main": main}, "join")
             return self._merged(node, df, {"branch": done, "main": main}, "append")
         c = node.config
-        cond = condition(c["input_col"], c["operator"], c.get("value"), c.get("comparison_column"))
-        rest = df.filter(~null_to_false(cond))
-        matched = df.filter(cond)
+        matched, rest = split_df(df, c["input_col"], c["operator"], c.get("value"), c.get("comparison_column"))
         done = None
         if not (c.get("skip_if_empty") and matched.isEmpty()):
             done = self._side(node.branches["apply_to_rows"], matched, target)
