@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.staging import prepare_workers
+
 #: The template. Other roles than these three are written [ROLE name] text [/ROLE].
 SYSTEM = ("[SYS] ", " [/SYS]")
 USER = ("[INST] ", " [/INST]")
@@ -118,6 +120,7 @@ def read_back(examples: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["conv_id", "example", "n_turns", "turns_sha256", "loss", "chars"])
             yield out.astype({"conv_id": "Int64"})
 
+    prepare_workers(examples.sparkSession)
     return examples.mapInPandas(run, READ)
 
 

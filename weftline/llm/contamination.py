@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textvec import ALNUM, Words, chunks
+from weftline.llm.staging import prepare_workers
+from weftline.llm.textvec import ALNUM, Words, chunks, release
 
 WINDOW = 10
 #: Test sets beyond this many bytes of text are searched in several passes, each with a part that size, so that what a task holds is bounded.
@@ -166,7 +166,9 @@ def searcher(tests: TestSet, window: int = WINDOW, locations: bool = True) -> Ca
     """The search as a column function; the test set travels once per executor."""
     from pyspark.sql import SparkSession
 
-    shared = SparkSession.active().sparkContext.broadcast(tests)
+    spark = SparkSession.active()
+    prepare_workers(spark)
+    shared = spark.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -175,6 +177,7 @@ def searcher(tests: TestSet, window: int = WINDOW, locations: bool = True) -> Ca
                 for n, hit, items, longest, at in search(texts, shared.value, window)
             ]
             yield pa.array(rows, HITS_TYPE)
+            release()
 
     return F.arrow_udf(run, HITS)
 
@@ -187,7 +190,7 @@ def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     out = []
     for k in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        pdf: pd.DataFrame = own.orderBy("name", "text").toPandas()
+        pdf = own.orderBy("name", "text").toPandas()
         out.append(test_set(list(pdf["name"]), list(pdf["text"])))
     return out
 

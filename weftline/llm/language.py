@@ -15,12 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textvec import chunks
+from weftline.llm.staging import prepare_workers
+from weftline.llm.textvec import chunks, release
 
 ORDER = 3
 #: Documents per language that training takes on average, chosen by a hash of doc_id: the bound of the sample.
@@ -147,11 +147,12 @@ def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mo
     A language's documents take part where a hash of doc_id falls below the share that gives ``docs_per_language`` on
     average; whole texts count. What reaches the driver is bounded by the sample.
     """
+    prepare_workers(labelled.sparkSession)
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("total") < F.lit(docs_per_language << 20)
     sample = rows.join(F.broadcast(totals), "lang").filter(chosen).select("lang", F.lower("text").alias("text"))
-    counts: pd.DataFrame = sample.mapInArrow(_count, COUNTS).groupBy("lang", "seq").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(_count, COUNTS).groupBy("lang", "seq").agg(F.sum("n").alias("n")).toPandas()
     names, trees = sorted(counts["lang"].unique()), []
     for name in names:
         own = counts[counts["lang"] == name].sort_values("seq")
@@ -188,6 +189,7 @@ def identifier(model: Model, text: Column) -> Column:
         for texts in batches:
             pred, scores = predict(texts, shared.value)
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(scores)], fields=list(RESULT_TYPE))
+            release()
 
     scored = F.arrow_udf(run, RESULT)(F.lower(text))
     return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), scored).otherwise(none)

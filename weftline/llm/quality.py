@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.labels import is_training, sample, sigmoid
+from weftline.llm.staging import prepare_workers
 from weftline.llm.textvec import NOT_SPACE, Words, chunks, flags, release
 
 #: Labelled documents per class that training takes on average: the bound of the sample.
@@ -228,6 +229,7 @@ def _pooled(shared, what: str):
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Word vectors from all texts, the network from the bounded sample; no network unless both classes are there."""
+    prepare_workers(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     model = Model(word_vectors(documents), None)
     rows = sample(documents, labels, "quality", PER_CLASS)

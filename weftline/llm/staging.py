@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.functions.workers import ship_package
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -35,9 +37,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors lose nothing that was staged."""
+def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors lose nothing that was staged.
+
+    A ``narrow`` table has few bytes a row (ids, labels, links) and is written by two tasks a core at most, so that rounds over
+    it do not leave a file for every shuffle partition.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -50,3 +58,16 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._weftline_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+
+#: Rows of a batch that goes to a Python worker. Rows are whole documents, so that Spark's 10,000 would be large.
+BATCH_ROWS = 1000
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Lets Python workers import the package, and from now on gives them batches of BATCH_ROWS rows at most; a smaller setting stays. Spark bounds their bytes too."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

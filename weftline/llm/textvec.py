@@ -54,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets from 0) of runs of whole texts of about ``most`` bytes together; a longer text is a run alone. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -109,7 +109,7 @@ class Words:
     def hash(self) -> np.ndarray:
         if self._hash is None:
             n = len(self.bytes)
-            size = 1 << max(20, (n + 1).bit_length())
+            size = 1 << max(18, (n + 1).bit_length())
             up, down = _powers(size)
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[self.bytes] * up[:n], out=sums[1:])

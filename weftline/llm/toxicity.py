@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.labels import is_training, logistic, sample, sigmoid
-from weftline.llm.staging import stage
+from weftline.llm.staging import prepare_workers, stage
 from weftline.llm.textvec import chunks, release
 
 #: Documents per class that training takes on average: the bound of the sample.
@@ -139,6 +139,7 @@ def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """The dictionaries from one half of the sample, threshold and calibration from the other; None unless both classes are there."""
+    prepare_workers(documents.sparkSession)
     rows = sample(documents, labels, "toxic", PER_CLASS).withColumn("text", F.lower("text"))
     rows = stage(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["key"]), "toxic-sample")
     first = rows.filter(F.pmod("key", F.lit(2)) == 0).select("text", "y")
