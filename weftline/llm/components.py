@@ -16,13 +16,13 @@ def components(links: DataFrame) -> DataFrame:
     one count. Nodes without links are not in the result.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage(both, "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels")
+    both = stage(both, "links", narrow=True)
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels", narrow=True)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         up = labels.select(F.col("node").alias("n"), F.col("component").alias("top"))
-        fresh = stage(low.join(up, low["low"] == up["n"]).select("node", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("moved")), "labels")
+        fresh = stage(low.join(up, low["low"] == up["n"]).select("node", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("moved")), "labels", narrow=True)
         discard(labels)
         labels = fresh
         if not labels.filter("moved").limit(1).count():

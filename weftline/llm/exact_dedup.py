@@ -90,7 +90,7 @@ def exact_dedup(documents: DataFrame, index: DigestIndex, id_col: str = "doc_id"
     known = index.read().select("digest", "keep_id", "group_size")
     total = rows.count()
     hot = groups_of(rows).filter(F.col("group_size") * HOT_SHARE > total).select("digest")
-    hot = stage(hot, "hot-digests")
+    hot = stage(hot, "hot-digests", narrow=True)
     few = known.join(F.broadcast(hot), "digest", "left_semi")
     is_hot = rows.join(F.broadcast(few), "digest", "inner")
     others = rows.join(F.broadcast(hot), "digest", "left_anti").join(known, "digest", "inner")

@@ -108,13 +108,13 @@ def _probabilities_as_tables(cells: DataFrame, share: float) -> DataFrame:
     for d, a in ALPHA.items():
         m = cells.groupBy(d).agg(F.sum("tokens").alias("m")).filter("m > 0").select(d, F.pow(F.col("m").cast("double"), F.lit(a)).alias("want"))
         s = m.agg(F.sum("want")).first()[0] or 1.0
-        targets[d] = stage(m.withColumn("want", F.col("want") / s), "targets")
+        targets[d] = stage(m.withColumn("want", F.col("want") / s), "targets", narrow=True)
     for _ in range(ROUNDS):
         for d in DIMENSIONS:
             have = w.groupBy(d).agg(F.sum("w").alias("have")).join(targets[d], d)
             factor = have.select(d, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("f"))
             w = w.join(factor, d, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(0.0))).drop("f")
-        w = stage(w, "raked")
+        w = stage(w, "raked", narrow=True)
     ratio = F.when(F.col("tokens") > 0, F.col("w") * F.lit(float(total)) / F.col("tokens")).otherwise(0.0)
     w = w.withColumn("weight", ratio)
     # c by bisection: what min(1, c * weight) keeps grows with c
@@ -144,7 +144,7 @@ def mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     gives an empty result.
     """
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = stage(cells, "cells")
+    cells = stage(cells, "cells", narrow=True)
     if cells.count() <= max_cells:
         table = _probabilities(cells.toPandas(), targets, share)
         schema = "source string, lang string, topic string, weight double, probability double"
@@ -164,7 +164,7 @@ def sample(documents: DataFrame, share: float = SAMPLE_SHARE) -> DataFrame:
     mine = "weftline__mix"
     cell = F.struct(name("source").alias("source"), name("lang").alias("lang"), topic_of(F.col("text"), tokens).alias("topic"))
     rows = described(documents)
-    cells = stage(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    cells = stage(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells", narrow=True)
     if cells.count() <= MAX_CELLS:
         table = _probabilities(cells.toPandas(), None, share)
         rated = documents.sparkSession.createDataFrame(table.to_dict("records"), "source string, lang string, topic string, weight double, probability double")

@@ -8,9 +8,11 @@ as of independent bins.
 Sets with equal fingerprints are one class. Classes that agree in a band of the sketch are candidates:
 
 1. each is linked to the smallest of its bucket, where sketches agree enough; the best such link of each is verified;
-2. in buckets that still hold several components, all pairs of different components whose sketches agree enough are
-   candidates; the best link of each pair of components is verified, components are joined, and so on until the links
-   left lead nowhere new; what is then left between components is verified in full.
+2. in buckets that still hold several components, the best link of each member to another component is verified and
+   components are joined, a few times over, so that candidates stay in proportion to members while components grow;
+3. what is then left, every pair of different components in a bucket whose sketches agree enough, is verified where the
+   bucket is, against the members' full sets. Pairs are never rows: only links found come out, at most one for each member and
+   component. A pair is looked at in the first band that it shares, and not at all once others have joined its components.
 
 Verification compares full shingle sets. No link is given up but by the sketch: at the similarity asked for, the chance that
 a link shares no band or falls below the agreement asked for is below one in a hundred thousand.
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.staging import stage
+from weftline.llm.staging import prepare_workers, stage
 from weftline.llm.textvec import NOT_SPACE, Words, chunks, mix, release, shingles
 
 WORDS = 5
@@ -37,11 +39,11 @@ BINS = BANDS * ROWS
 #: Bins that must agree before full sets are compared: over five standard deviations below 85 of 100.
 AGREE = 85
 #: Buckets of more members are compared in blocks of this size.
-BLOCK = 4096
+BLOCK = 1024
 #: Up to so many ids select texts by broadcast; more by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of best links before the rest is verified in full.
-BEST_ROUNDS = 3
+BEST_ROUNDS = 4
 
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -82,7 +84,7 @@ _SKETCH_TYPE = pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64
 def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         parts = []
-        for data, offs in chunks(texts):
+        for data, offs in chunks(texts, 1 << 19):
             first, hashes = shingles(Words(data, offs, NOT_SPACE), WORDS)
             n = np.diff(first)
             bins = mix(sketches(first, hashes))
@@ -144,63 +146,142 @@ def _similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         release()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each group of the rows, which arrive sorted by group; one group is held at a time."""
-    names = ["bucket", "low", "high", "block", "rep", "component", "n", "sig"]
+NAMES = ["bucket", "low", "high", "block", "rep", "component", "n", "sig"]
+
+
+class _Group:
+    """Rows of whole groups, sorted by group."""
 
-    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        group, block, rep, component, n, sig, cross = rows
-        step = 1
-        while step < len(group):
-            same = np.flatnonzero(group[:-step] == group[step:])
-            if not len(same):
+    def __init__(self, rows: list[np.ndarray]):
+        self.group, self.bucket, self.block, self.rep, self.component, self.n, self.sig, self.cross, *self.more = rows
+
+    def best_links(self) -> Iterator[pa.RecordBatch]:
+        """For each row the row of another component of its group whose sketch agrees most, if enough."""
+        best, partner = np.zeros(len(self.group), np.int32), np.zeros(len(self.group), np.int64)
+        for step in range(1, len(self.group)):
+            a = np.flatnonzero(self.group[:-step] == self.group[step:])
+            if not len(a):
                 break
-            a, b = same, same + step
-            ok = (component[a] != component[b]) & (~cross[a] | (block[a] != block[b]))
-            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            ok &= 100 * small >= SIMILARITY * large
+            b = a + step
+            ok = (self.component[a] != self.component[b]) & self._may(a, b)
             a, b = a[ok], b[ok]
-            for c in range(0, len(a), 1 << 16):
-                x, y = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
-                agree = (sig[x] == sig[y]).sum(axis=1, dtype=np.int32)
-                ok = agree >= AGREE
-                x, y = x[ok], y[ok]
-                if len(x):
-                    one, two = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(agree[ok])], ["a", "b", "agree"])
-            step += 1
-
-    held: list[np.ndarray] | None = None
-    number, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = {k: batch.column(i) for i, k in enumerate(names)}
-        key = np.stack([col[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in names[:3]], axis=1)
-        before = np.concatenate([key[:1] if last is None else last[None], key[:-1]])
-        group = number + np.cumsum((key != before).any(axis=1))
-        number, last = int(group[-1]), key[-1].copy()
-        values = [col[k].to_numpy(zero_copy_only=False) for k in names[3:7]]
-        rows = [group, *values, _signatures(col["sig"]), key[:, 1] != key[:, 2]]
-        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], number))
-        yield from found([x[:cut] for x in rows])
-        held = [x[cut:].copy() for x in rows]
-    if held is not None:
-        yield from found(held)
+            for c in range(0, len(a), 1 << 15):
+                x, y = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
+                agree = (self.sig[x] == self.sig[y]).sum(axis=1, dtype=np.int32)
+                for mine, other in ((x, y), (y, x)):
+                    more = agree > np.maximum(best[mine], AGREE - 1)
+                    best[mine[more]], partner[mine[more]] = agree[more], other[more]
+        has = np.flatnonzero(best)
+        yield self._batch(has, partner[has])
+
+    def verified_links(self) -> Iterator[pa.RecordBatch]:
+        """Links between components of a group whose full sets are similar; components join as links are found."""
+        bands, sets = self.more
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.group)) + 1, [len(self.group)]]) if len(self.group) else np.zeros(1, int)
+        found_a, found_b = [], []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            comp = self.component[low:high].copy()
+            for x in range(low, high - 1):
+                y = np.arange(x + 1, high)
+                y = y[comp[y - low] != comp[x - low]]
+                y = y[self._may(np.full(len(y), x), y)]
+                y = y[(self.sig[y] == self.sig[x]).sum(axis=1) >= AGREE] if len(y) else y
+                if not len(y):
+                    continue
+                shared = bands[y] == bands[x]
+                y = y[bands[x][shared.argmax(axis=1)] == self.bucket[x]]
+                if not len(y):
+                    continue
+                both = _common(sets[x], [sets[k] for k in y])
+                y = y[100 * both >= SIMILARITY * (self.n[x] + self.n[y] - both)]
+                for k in y:
+                    if comp[k - low] != comp[x - low]:
+                        comp[comp == comp[k - low]] = comp[x - low]
+                        found_a.append(x)
+                        found_b.append(k)
+        yield self._batch(np.array(found_a, np.int64), np.array(found_b, np.int64))
+
+    def _may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes allow the similarity, and, between two blocks, whether the rows are of different ones."""
+        small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        return (100 * small >= SIMILARITY * large) & (~self.cross[a] | (self.block[a] != self.block[b]))
+
+    def _batch(self, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        one, two = np.minimum(self.rep[x], self.rep[y]), np.maximum(self.rep[x], self.rep[y])
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+
+
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of a sorted set are in each of others."""
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    sums = np.concatenate([[0], np.cumsum(one[at] == values)])
+    ends = np.cumsum([len(o) for o in others])
+    return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+
+
+def _linker(verify: bool):
+    """Links within each group of rows that arrive sorted by group; the groups of a batch, and the one it ends in, are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        number, last = 0, None
+
+        def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            g = _Group(rows)
+            return g.verified_links() if verify else g.best_links()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {k: batch.column(i) for i, k in enumerate([*NAMES, "bands", "set"][: batch.num_columns])}
+            key = np.stack([col[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in NAMES[:3]], axis=1)
+            before = np.concatenate([key[:1] if last is None else last[None], key[:-1]])
+            group = number + np.cumsum((key != before).any(axis=1))
+            number, last = int(group[-1]), key[-1].copy()
+            values = [col[k].to_numpy(zero_copy_only=False) for k in NAMES[3:7]]
+            rows = [group, key[:, 0], *values, _signatures(col["sig"]), key[:, 1] != key[:, 2]]
+            if verify:
+                sets = np.empty(len(group), object)
+                sets[:] = [np.frombuffer(b.as_buffer(), np.uint64) for b in col["set"]]
+                rows += [col["bands"].flatten().to_numpy().reshape(-1, BANDS), sets]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            cut = int(np.searchsorted(rows[0], number))
+            yield from links([x[:cut] for x in rows])
+            held = [x[cut:].copy() for x in rows]
+            release()
+        if held is not None:
+            yield from links(held)
+
+    return run
+
+
+def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The sorted shingles of each text as bytes."""
+    for texts in batches:
+        out = []
+        for data, offs in chunks(texts):
+            first, hashes = shingles(Words(data, offs, NOT_SPACE), WORDS)
+            out += [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        yield pa.array(out, pa.binary())
+        release()
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids; texts stay where they are while the ids are few."""
+    ids = stage(ids, "candidate-ids", narrow=True)
+    return texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
     """The links (a, b) whose texts are similar, staged."""
-    links = stage(links.select("a", "b"), "candidates")
-    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    ids = stage(ids, "candidate-ids")
-    own = texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+    links = stage(links.select("a", "b"), "candidates", narrow=True)
+    own = _only(texts, links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct())
     similar = F.arrow_udf(_similar, "boolean")
     one = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = links.join(one, "a").join(two, "b")
-    return stage(both.filter(similar("text_a", "text_b")).select("a", "b"), "verified")
+    return stage(both.filter(similar("text_a", "text_b")).select("a", "b"), "verified", narrow=True)
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -214,21 +295,11 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     )
     nodes = nodes.groupBy("node").agg(F.min("component").alias("component"))
     out = nodes.join(joined, nodes["component"] == joined["old"], "left")
-    return stage(out.select("node", F.coalesce("new", "component").alias("component")), "components")
-
-
-def _apart(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The links with the components of their ends, where these differ."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    out = links.join(one, "a", "left").join(two, "b", "left")
-    out = out.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return out.filter("ca != cb")
+    return stage(out.select("node", F.coalesce("new", "component").alias("component")), "components", narrow=True)
 
 
 def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of the classes (rep, n, sig, bands) that have links; ``texts`` has (id, text) of each rep."""
-    spark = classes.sparkSession
     in_bucket = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = stage(buckets, "buckets")
@@ -244,34 +315,44 @@ def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame:
     agreement = F.arrow_udf(_agreement, "int")
     rated = pair.select("a", "b", agreement("sa", "sb").alias("agree")).filter(F.col("agree") >= AGREE)
     best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    labels = stage(components(_verified(best, texts)), "components")
+    tried = stage(best, "tried", narrow=True)
+    labels = stage(components(_verified(tried, texts)), "components", narrow=True)
+
+    # 2. best links between components
+    for _ in range(BEST_ROUNDS):
+        links = _grouped(_unresolved(member, labels), narrow).mapInArrow(_linker(False), "a bigint, b bigint").distinct()
+        links = stage(links.join(tried, ["a", "b"], "left_anti"), "links", narrow=True)
+        good = _verified(links, texts)
+        if not good.limit(1).count():
+            break
+        labels = _relabelled(labels, good)
+        tried = stage(tried.unionByName(links), "tried", narrow=True)
+
+    # 3. all that is left
+    rows = stage(_unresolved(member, labels), "unresolved", narrow=True)
+    own = _only(texts, rows.select(F.col("rep").alias("id")).distinct())
+    sets = own.select(F.col("id").alias("rep"), F.arrow_udf(_sets, "binary")("text").alias("set"))
+    sets = stage(sets, "sets")
+    links = _grouped(rows, classes.join(sets, "rep"), "bands", "set").mapInArrow(_linker(True), "a bigint, b bigint").distinct()
+    good = stage(links, "verified", narrow=True)
+    return _relabelled(labels, good) if good.limit(1).count() else labels
 
-    # 2. what is left between components
-    named = member.join(labels, member["rep"] == labels["node"], "left").select("bucket", "members", "rep", F.coalesce("component", "rep").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    rows = named.join(split, "bucket").join(narrow, "rep")
+
+def _unresolved(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (bucket, members, rep, component) of buckets that hold several components."""
+    named = member.select("bucket", "members", "rep").join(labels, member["rep"] == labels["node"], "left")
+    named = named.select("bucket", "members", "rep", F.coalesce("component", "rep").alias("component"))
+    split = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("bucket")
+    return named.join(split, "bucket")
+
+
+def _grouped(rows: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+    """Rows with what classes know of them, together by bucket and, in large buckets, by pair of blocks."""
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.hash("rep"), blocks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "n", "sig")
-    groups = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    links = groups.mapInArrow(_pairs, "a bigint, b bigint, agree int").distinct()
-    links = stage(links, "links-left")
-    for k in range(BEST_ROUNDS + 1):
-        links = stage(_apart(links.select("a", "b", "agree"), labels), "links-apart")
-        if not links.limit(1).count():
-            break
-        if k < BEST_ROUNDS:
-            ends = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
-            tried = links.groupBy(*ends).agg(F.max(F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b")
-            tried = stage(tried, "best-links")
-            links = links.join(tried, ["a", "b"], "left_anti")
-        else:
-            tried = links.select("a", "b")
-        good = _verified(tried, texts)
-        if good.limit(1).count():
-            labels = _relabelled(labels, good)
-    return labels
+    mixed = rows.join(classes.select("rep", "n", "sig", *more), "rep")
+    mixed = mixed.withColumn("block", F.pmod(F.hash("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    mixed = mixed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "n", "sig", *more)
+    return mixed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -283,6 +364,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     answered alike. A row with a null doc_id has a null component and is kept. An empty table gives an empty result. Other
     columns are not read.
     """
+    prepare_workers(documents.sparkSession)
     sketch = F.arrow_udf(_sketch, SKETCH)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
     rows = stage(rows, "sketches")
@@ -297,7 +379,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # hot classes are few: those of more than a thousandth of the rows
     total = rows.count()
     sizes = known.groupBy(*keyed).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * 1000 > total)
-    hot = stage(named.join(sizes, keyed).select(*keyed, "component"), "hot-classes")
+    hot = stage(named.join(sizes, keyed).select(*keyed, "component"), "hot-classes", narrow=True)
     narrow = rows.select("doc_id", *keyed)
     few = narrow.join(F.broadcast(hot), keyed)
     rest = narrow.join(F.broadcast(hot), keyed, "left_anti").join(named.select(*keyed, "component"), keyed, "left")
@@ -308,6 +390,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents that stand for their component, with their own columns. Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few."""
-    gone = stage(near_duplicates(documents).filter("NOT kept").select("doc_id").distinct(), "dropped")
+    gone = stage(near_duplicates(documents).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
     return documents.join(gone.withColumnRenamed("doc_id", "weftline__gone"), F.col("doc_id") == F.col("weftline__gone"), "left_anti")
