@@ -155,3 +155,45 @@ def shard(df: DataFrame, order: list[Column], n_shards: int, seed: int = 1) -> D
         .withColumn("slot", _div(F.col(row), n_shards))
         .drop(row)
     )
+
+
+def _rounds_sql(source: str) -> str:
+    """One pass of the network over column x of ``source`` in DuckDB; other columns stay."""
+
+    def mixed(v: str, key: str) -> str:
+        one = f"(({v} + {key}) % 2147483647)"
+        two = f"((xor({one}, {one} >> 11) * 1103515245 + 12345) % 2147483647)"
+        return f"((xor({two}, {two} >> 13) * 1220703125 + {key}) % 2147483647)"
+
+    out = f"SELECT *, x // b AS l, x % b AS r FROM {source}"
+    for i in range(ROUNDS):
+        key = f"KEY{i}"
+        new = f"(l + {mixed('r', key)}) % a AS l" if i % 2 == 0 else f"(r + {mixed('l', key)}) % b AS r"
+        out = f"SELECT * REPLACE ({new}) FROM ({out})"
+    return f"SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS x) FROM ({out})"
+
+
+def shard_sql(n_shards: int, seed: int = 1) -> str:
+    """The shards of table ``documents`` by doc_id in DuckDB; crc32 is folded byte by byte with a table made by its rule."""
+    step = _rounds_sql("(SELECT * FROM w WHERE k = 0 OR x >= n)")
+    for i in range(ROUNDS):
+        step = step.replace(f"KEY{i}", str(round_key(seed, i)))
+    return rf"""
+    WITH RECURSIVE t AS (
+        SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS crc
+    ), h AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), d AS (
+        SELECT doc_id, length(h) // 2 + 16 AS size,
+               xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+                               lambda c, v: xor(c >> 8, crc[xor(c & 255, v) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+        FROM h, t
+    ), w AS (
+        SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id, text_crc32, size) - 1 AS x, 0 AS k, n, a, CAST(greatest(1, ceil(n / a)) AS BIGINT) AS b
+        FROM d, (SELECT n, CAST(floor(sqrt(greatest(n - 1, 0))) AS BIGINT) + 1 AS a FROM (SELECT count(*) AS n FROM documents))
+        UNION ALL
+        SELECT * REPLACE (k + 1 AS k) FROM ({step})
+    )
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {n_shards} AS INTEGER) AS shard, x // {n_shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM w WHERE k > 0 AND x < n
+    """
