@@ -12,9 +12,8 @@ the last bytes of its input and stores small inputs raw.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ MIN_SHARE, CONTRAST = 0.01, 20.0
 #: Bytes of the ordinary dictionary, and the ordinary words per document that the trainer sees, evenly spread.
 DICTIONARY, WORDS_PER_DOC = 16384, 60
 #: The optimal parser, which indexes every byte of a dictionary; faster levels index some, so that content shifts distances.
-LEVEL, MIN_MATCH, WINDOW_LOG = 16, 4, 17
+LEVEL, MIN_MATCH, WINDOW_LOG = 14, 4, 17
 CARRIER = b"\x01carrier:0123456789abcdefghijklmnopqrstuvwxyz:ABCDEFGHIJKLMNOPQRSTUVWXYZ:\x02"
 CUTOFF = 0.7
 
@@ -96,23 +95,35 @@ def pieces(found: dict[bytes, int]) -> list[bytes]:
     return [c for _, c in sorted(out)]
 
 
+#: Savings of up to so many bytes are told apart.
+MOST = 12
+
+
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: int
-    coefficients: np.ndarray
+    threshold: int = 1
+    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(7))
 
-    def scorer(self):
+    def summarizer(self):
         plain, toxic = compressor(self.ordinary), compressor(self.toxic)
 
-        def features(text: bytes) -> np.ndarray:
-            """Savings of a text: the largest, the next two, the share and the logarithm of the number of windows at the threshold."""
-            saved = np.sort(np.array([plain(w) - toxic(w) for w in windows(text)] + [0, 0, 0], float))[::-1]
-            over = (saved >= self.threshold).sum()
-            return np.array([saved[0], saved[1], saved[2], min(1.0, 20 * over / len(saved)), np.log1p(over), np.log1p(len(saved))])
+        def summary(text: bytes) -> np.ndarray:
+            """The three largest savings of a text's windows, the number of windows, and how many save at least 1, 2 and so on bytes."""
+            saved = np.sort(np.array([plain(w) - toxic(w) for w in windows(text)] + [0, 0, 0]))[::-1]
+            over = np.cumsum(np.bincount(np.clip(saved, 0, MOST), minlength=MOST + 1)[::-1])[::-1]
+            return np.array([*saved[:3], len(saved), *over[1:]], float)
+
+        return summary
 
-        return features
+    def features(self, x: np.ndarray) -> np.ndarray:
+        """From summaries: the largest savings, the share and the logarithm of the number of windows at the threshold, the logarithm of all."""
+        over = x[:, 3 + self.threshold]
+        return np.column_stack([x[:, :3], np.minimum(1.0, 20 * over / x[:, 3]), np.log1p(over), np.log1p(x[:, 3])])
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.features(x) @ self.coefficients[:-1] + self.coefficients[-1])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,67 +148,67 @@ def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["word"])
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model | None:
-    """The dictionaries from one half of the sample, threshold and calibration from the other; None unless both classes are there."""
-    prepare_workers(documents.sparkSession)
-    rows = sample(documents, labels, "toxic", PER_CLASS).withColumn("text", F.lower("text"))
-    rows = stage(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["key"]), "toxic-sample")
-    first = rows.filter(F.pmod("key", F.lit(2)) == 0).select("text", "y")
-    second = rows.filter(F.pmod("key", F.lit(2)) == 1)
-    n = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def dictionaries(rows: DataFrame) -> Model | None:
+    """The two dictionaries from (text, y); None unless both classes are there."""
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
-    counted = first.mapInArrow(_frequencies, "gram bigint, toxic bigint, ordinary bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = rows.select("text", "y").mapInArrow(_frequencies, "gram bigint, toxic bigint, ordinary bigint")
+    counted = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     clear = (F.col("toxic") >= max(4, MIN_SHARE * n[1])) & (F.col("toxic") / n[1] > CONTRAST * (F.col("ordinary") + 1) / n[0])
     found = {int(r["gram"]).to_bytes(GRAM, "big"): r["toxic"] for r in counted.filter(clear).collect()}
-    words = [bytes(r["word"]) for r in first.filter("y = 0").select("text").mapInArrow(_some_words, "word binary").orderBy("word").collect()]
+    words = sorted(bytes(r["word"]) for r in rows.filter("y = 0").select("text").mapInArrow(_some_words, "word binary").collect())
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY, words, k=64, d=8).as_bytes()[-DICTIONARY:]
     except zstandard.ZstdError:  # too few words for the trainer: they are the dictionary themselves
         ordinary = b"".join(sorted(set(words)))[:DICTIONARY]
-    toxic = b"\x00".join(pieces(found)) + b"\x00" + ordinary
-    model = Model(toxic, ordinary, 1, np.zeros(7))
-    model.threshold = _threshold(second, model)
-    x = second.select("y", "weight", _scored(model, "features")("text").alias("x")).toPandas()
-    y = x["y"].to_numpy(float)
-    if len(x) and 0 < y.sum() < len(y):
-        model.coefficients = logistic(np.stack(x["x"].to_numpy()), y, x["weight"].to_numpy(float))
-    return model
+    return Model(b"\x00".join(pieces(found)) + b"\x00" + ordinary, ordinary)
 
 
-def _threshold(rows: DataFrame, model: Model) -> int:
-    """The fewest bytes that at most one ordinary window in 2,000 saves."""
+def train(documents: DataFrame, labels: DataFrame) -> Model | None:
+    """Dictionaries from the whole sample; threshold and calibration from each half seen through dictionaries of the other.
+
+    None unless both halves have both classes. Equal texts count once.
+    """
+    prepare_workers(documents.sparkSession)
+    rows = sample(documents, labels, "toxic", PER_CLASS).withColumn("text", F.lower("text"))
+    one = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min(F.struct("doc_id", "text", "y", "weight")).alias("r"))
+    rows = stage(one.select(F.pmod("key", F.lit(2)).alias("half"), "r.*"), "toxic-sample")
+    halves = [rows.filter(F.col("half") == k) for k in (0, 1)]
+    models = [dictionaries(h) for h in halves]
+    if None in models:
+        return None
+    seen = [h.select("doc_id", "y", "weight", _scored(m, "summary")("text").alias("x")) for h, m in zip(halves, reversed(models), strict=True)]
+    seen = seen[0].unionByName(seen[1]).toPandas().sort_values(["doc_id", "y"])
+    x, y, weight = np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float), seen["weight"].to_numpy(float)
+    model = dictionaries(rows)
+    model.threshold = _threshold(x[y == 0])
+    model.coefficients = logistic(model.features(x), y, weight)
+    return model
 
-    def savings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, toxic = compressor(model.ordinary), compressor(model.toxic)
-        for batch in batches:
-            seen = Counter(max(0, plain(w) - toxic(w)) for t in batch.column(0).to_pylist() for w in windows(t.encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["saved", "n"])
 
-    seen = rows.filter("y = 0").select("text").mapInArrow(savings, "saved bigint, n bigint").groupBy("saved").agg(F.sum("n").alias("n")).collect()
-    total, above = sum(r["n"] for r in seen), 0
-    for r in sorted(seen, key=lambda r: -r["saved"]):
-        above += r["n"]
-        if above * 2000 > total:
-            return int(r["saved"]) + 1
-    return 1
+def _threshold(ordinary: np.ndarray) -> int:
+    """The fewest bytes that at most one ordinary window in 2,000 saves."""
+    over = ordinary[:, 4:].sum(axis=0)
+    few = np.flatnonzero(over * 2000 <= ordinary[:, 3].sum())
+    return int(few[0]) + 1 if len(few) else MOST
 
 
 def _scored(model: Model, what: str):
-    """The features or the probability of a text, as a column function."""
+    """The summary or the probability of a text, as a column function."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        features = model.scorer()
+        summary = model.summarizer()
         for texts in batches:
             parts = []
             for data, offs in chunks(texts):
                 raw = data.tobytes()
-                parts += [features(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            x = np.stack(parts) if parts else np.zeros((0, 6))
-            yield pa.array(list(x)) if what == "features" else pa.array(sigmoid(x @ model.coefficients[:-1] + model.coefficients[-1]))
+                parts += [summary(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            x = np.stack(parts) if parts else np.zeros((0, 4 + MOST))
+            yield pa.array(list(x), pa.list_(pa.float64())) if what == "summary" else pa.array(model.probability(x))
             release()
 
-    return F.arrow_udf(run, "array<double>" if what == "features" else "double")
+    return F.arrow_udf(run, "array<double>" if what == "summary" else "double")
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
