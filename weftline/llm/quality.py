@@ -43,8 +43,8 @@ MARKS = 8
 def index_vectors() -> np.ndarray:
     """Ternary vectors with NONZERO entries of either sign."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((ROWS, DIMENSIONS), np.float32)
-    for sign in (1.0, -1.0):
+    out = np.zeros((ROWS, DIMENSIONS), np.int32)
+    for sign in (1, -1):
         at = rng.integers(0, DIMENSIONS, (ROWS, NONZERO))
         np.add.at(out, (np.arange(ROWS)[:, None], at), sign)
     return out
@@ -81,7 +81,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def add_contexts(table: np.ndarray, index: np.ndarray, row: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> None:
     """Adds to each token's row the index vectors of its neighbours, and of its marks."""
     n = len(row)
-    near = np.zeros((n, DIMENSIONS), np.float32)
+    near = np.zeros((n, DIMENSIONS), np.int32)
     for step in range(1, REACH + 1):
         if n <= step:
             break
@@ -92,7 +92,7 @@ def add_contexts(table: np.ndarray, index: np.ndarray, row: np.ndarray, doc: np.
     near += index[REPEATED] * (mark >> 1)[:, None]
     order = np.argsort(row, kind="stable")
     cut = np.flatnonzero(np.diff(row[order], prepend=-1))
-    table[row[order][cut]] += np.add.reduceat(near[order], cut, axis=0)
+    table[row[order][cut]] += np.add.reduceat(near[order], cut, axis=0, dtype=np.int64)
 
 
 def pool(vectors: np.ndarray, row: np.ndarray, doc: np.ndarray, mark: np.ndarray, n_docs: int) -> np.ndarray:
@@ -118,37 +118,41 @@ def pool(vectors: np.ndarray, row: np.ndarray, doc: np.ndarray, mark: np.ndarray
 FEATURES = 2 * DIMENSIONS + 5
 
 
+def _vectors(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, DIMENSIONS)
+
+
 def word_vectors(documents: DataFrame) -> np.ndarray:
     """The vectors of all rows, learned from every text of the corpus and scaled to length 1.
 
     A task adds up a table of fixed size and gives its rows that are not zero; the sums by row, as many as the table has, reach the driver.
+    Sums are whole numbers, so that neither the order of tasks nor a task that runs again changes them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, table = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.float32)
+        index, table = index_vectors(), np.zeros((ROWS, DIMENSIONS), np.int64)
         for batch in batches:
             for data, offs in chunks(batch.column(0)):
                 row, doc, mark = tokens(data, offs)
                 if len(row):
                     add_contexts(table, index, row, doc, mark)
             release()
-        used = np.flatnonzero(np.abs(table).any(axis=1))
+        used = np.flatnonzero(table.any(axis=1))
         for part in np.array_split(used, max(1, len(used) // 8192)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([v.tobytes() for v in table[part]], pa.binary())], ["row", "v"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, DIMENSIONS))
+        table = np.zeros((ROWS, DIMENSIONS), np.int64)
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            np.add.at(table, rows, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, DIMENSIONS))
-        used = np.flatnonzero(np.abs(table).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([v.tobytes() for v in table[used].astype(np.float32)], pa.binary())], ["row", "v"])
+            np.add.at(table, batch.column(0).to_numpy(), _vectors(batch.column(1)))
+        used = np.flatnonzero(table.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([v.tobytes() for v in table[used]], pa.binary())], ["row", "v"])
 
     parts = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "row bigint, v binary")
     rows = parts.repartition("row").mapInArrow(total, "row bigint, v binary").toArrow()
     out = np.zeros((ROWS, DIMENSIONS), np.float32)
     if rows.num_rows:
-        out[rows.column(0).to_numpy()] = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+        out[rows.column(0).to_numpy()] = _vectors(rows.column(1))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
