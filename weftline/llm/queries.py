@@ -144,7 +144,8 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, raked to smoothed shares of source, language and topic."""
-    return mixing.mix(mixing.described(table(spark, sf_dir, "documents")))
+    out = mixing.mix(mixing.described(table(spark, sf_dir, "documents")))
+    return out.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
 
 
 SQL["op10_mixing"] = rf"""
@@ -183,7 +184,7 @@ WITH RECURSIVE d AS (
 ), p AS (
     SELECT source, lang, topic, weight, least(1.0, coalesce(b.c, 'inf'::DOUBLE) * weight) AS probability FROM q, b
 )
-SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight, coalesce(probability, 1.0) AS probability,
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(weight, 0.0), 9) AS weight, round(coalesce(probability, 1.0), 9) AS probability,
        ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT / pow(16, 13) < coalesce(probability, 1.0) AS kept
 FROM r LEFT JOIN p USING (source, lang, topic)
 """
