@@ -53,8 +53,9 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_blocks_lose_nothing(spark, monkeypatch):
+def test_blocks_and_shuffled_ids_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "MAX_BROADCAST_IDS", -1)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -93,3 +94,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in (100, 101, 102)} == {100} and got[300] == 200
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, shared in ((3, 2), (40, 30), (400, 300), (5000, 4500)):
+        pool = rng.integers(0, 2**63, 2 * n - shared, dtype=np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(pool[n - shared :])
+        bins = nd.sketches(np.array([0, n, 2 * n]), np.concatenate([a, b]))
+        assert (bins != np.uint64(0xFFFFFFFFFFFFFFFF)).all()  # every bin is filled
+        true = shared / (2 * n - shared)
+        assert abs((bins[0] == bins[1]).mean() - true) < 5 * (true * (1 - true) / nd.BINS) ** 0.5 + 0.02
+    assert (nd.sketches(np.array([0, 0]), np.zeros(0, np.uint64)) == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
