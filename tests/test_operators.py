@@ -225,6 +225,8 @@ def test_pivot(spark):
     assert two.columns == ["id", "v_jan", "w_jan"] and rows(two) == [(1, 1, 1), (2, 1, 1)]
     first = O.Pivot(pivot_col="m", id_cols="id", values_cols="v").transform(df)
     assert rows(first) == [(1, None, 20, 10), (2, 7, None, None)]
+    with pytest.raises(ValueError):
+        O.Pivot(pivot_col="m", id_cols="id", max_values=2).transform(df)
     with pytest.raises(AssertionError):
         O.Pivot(pivot_col="m")
     with pytest.raises(ValueError):

@@ -281,7 +281,8 @@ def _join_asof(df: DataFrame, other: DataFrame, on: str, by: Any = None, strateg
     """For each row the other frame's latest row at or before it (``backward``), or the first at or after it (``forward``).
 
     Both sides are unioned and the nearest row is carried over by a window, so that each key is sorted once and nothing is
-    multiplied. Equal times match; of the other frame's rows at one time any one is taken.
+    multiplied. Equal times match; of the other frame's rows at one time any one is taken. Without ``by`` all rows are one key, which
+    one task sorts.
     """
     if strategy not in ("backward", "forward"):
         raise ValueError("'strategy' is 'backward' or 'forward'")
@@ -334,6 +335,7 @@ def _tail_rows(df: DataFrame, n: int, by: Any) -> DataFrame:
 
 
 def _row_index(df: DataFrame, name: str, order_by: Any) -> DataFrame:
+    """Row numbers from 0; a window over all rows, which one task sorts: for small frames."""
     if order_by is None:
         raise ValueError("rows have no order in Spark: 'with_row_index' needs 'order_by'")
     return df.select((F.row_number().over(Window.orderBy(*[col(c) for c in as_list(order_by)])) - 1).alias(name), *[col(c) for c in df.columns])

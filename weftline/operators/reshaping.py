@@ -42,6 +42,7 @@ class Pivot(Transformer):
         values_endswith: Names = None,
         separator: str = "_",
         pivot_values: list | None = None,
+        max_values: int = 10_000,
     ):
         if aggregate_function not in PIVOT_AGGREGATES:
             raise ValueError(f"unknown aggregate '{aggregate_function}'; known are {sorted(PIVOT_AGGREGATES)}")
@@ -49,13 +50,21 @@ class Pivot(Transformer):
         if not any_selector(**self._ids):
             raise AssertionError("select id columns")
         self._values = {"columns": values_cols, "regex": values_regex, "glob": values_glob, "startswith": values_startswith, "endswith": values_endswith}
-        self._pivot, self._aggregate, self._separator, self._known = pivot_col, aggregate_function, separator, pivot_values
+        self._pivot, self._aggregate, self._separator, self._known, self._most = pivot_col, aggregate_function, separator, pivot_values, max_values
+
+    def _found(self, df: DataFrame) -> list:
+        """The pivot values, sorted; ValueError where there are too many to be columns."""
+        key = col(self._pivot)
+        found = [r[0] for r in df.select(key).distinct().limit(self._most + 1).collect()]
+        if len(found) > self._most:
+            raise ValueError(f"'{self._pivot}' has more than {self._most} values; give 'pivot_values' or raise 'max_values'")
+        return [None] * (None in found) + sorted(v for v in found if v is not None)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         ids = select_columns(df.columns, **self._ids)
         values = select_columns(df.columns, **self._values) if any_selector(**self._values) else [c for c in df.columns if c not in ids and c != self._pivot]
         key = col(self._pivot)
-        found = self._known if self._known is not None else [r[0] for r in df.select(key).distinct().orderBy(key.asc_nulls_first()).collect()]
+        found = self._known if self._known is not None else self._found(df)
         aggs = []
         for v in values:
             for p in found:
