@@ -45,7 +45,7 @@ def test_query(spark, duck, name):
     assert set(COLUMNS[name.split("_")[0]].split()) <= set(columns)
     got = sorted(str(tuple(plain(r[c]) for c in columns)) for r in df.collect())
     if name not in queries.SQL:
-        assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
         return
     rel = duck.sql(queries.SQL[name])
     assert columns == sorted(rel.columns)

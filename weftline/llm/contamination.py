@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import prepare_workers
+from weftline.llm.staging import prepare_workers, stage
 from weftline.llm.textvec import ALNUM, Words, chunks, release
 
 WINDOW = 10
@@ -162,11 +163,8 @@ def search(texts: pa.Array, tests: TestSet, window: int = WINDOW) -> Iterator[tu
             yield (int(w.count[i]), *results.get(i, ((), [], 0, None)))
 
 
-def searcher(tests: TestSet, window: int = WINDOW, locations: bool = True) -> Callable[[Column], Column]:
-    """The search as a column function; the test set travels once per executor."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
+def searcher(spark: SparkSession, tests: TestSet, window: int = WINDOW, locations: bool = True) -> tuple[Callable[[Column], Column], Broadcast]:
+    """The search as a column function, and the test set that travels once per executor."""
     prepare_workers(spark)
     shared = spark.sparkContext.broadcast(tests)
 
@@ -179,20 +177,35 @@ def searcher(tests: TestSet, window: int = WINDOW, locations: bool = True) -> Ca
             yield pa.array(rows, HITS_TYPE)
             release()
 
-    return F.arrow_udf(run, HITS)
+    return F.arrow_udf(run, HITS), shared
 
 
-def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[TestSet]:
-    """The test set, read in parts of about PART_BYTES of text, one at a time; one part unless the set is large."""
+def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[TestSet]:
+    """The test set in parts of about PART_BYTES of text, read one at a time; one part unless the set is large."""
     rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).filter(F.col("name").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // PART_BYTES
-    out = []
     for k in range(n):
         own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        pdf = own.orderBy("name", "text").toPandas()
-        out.append(test_set(list(pdf["name"]), list(pdf["text"])))
-    return out
+        found = own.orderBy("name", "text").collect()
+        yield test_set([r["name"] for r in found], [r["text"] for r in found])
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Callable, int], DataFrame], locations: bool) -> DataFrame:
+    """``rows`` after a pass of ``add`` for each part. Where there are several, each pass is staged and its part let go before the next is read."""
+    sets, k = parts(benchmark), 0
+    tests, later = next(sets), next(sets, None)
+    while True:
+        several = later is not None or k > 0
+        find, shared = searcher(rows.sparkSession, tests, locations=locations or several)
+        rows = add(rows, find, k)
+        if not several:
+            return rows
+        rows = stage(rows, "searched")
+        shared.destroy()
+        if later is None:
+            return rows
+        tests, later, k = later, next(sets, None), k + 1
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", locations: bool = True) -> DataFrame:
@@ -204,32 +217,36 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
     same id count as one; items with a null id are left out. Rows are kept whole and in number, repeated ones too; an empty table
     or an empty benchmark gives no matches. Without ``locations``, hit is empty where one part holds the whole test set.
     """
-    sets = parts(benchmark)
-    columns = [searcher(t, locations=locations or len(sets) > 1)(F.col(f"`{text_col}`")) for t in sets]
-    if len(columns) == 1:
-        return documents.withColumn("matches", columns[0])
-    several = documents.withColumn("matches", F.array(*columns))
-    m = F.col("matches")
+    found = []
+
+    def add(rows: DataFrame, find: Callable, k: int) -> DataFrame:
+        found.append(f"weftline__matches{k}")
+        return rows.withColumn(found[-1], find(F.col(f"`{text_col}`")))
+
+    rows = _passes(documents.drop("matches"), benchmark, add, locations)
+    if len(found) == 1:
+        return rows.withColumnRenamed(found[0], "matches")
+    m = F.array(*[F.col(c) for c in found])
     longest = F.array_max(F.transform(m, lambda x: F.struct(x["longest"], (-x["longest_at"]).alias("at"))))
-    hit = F.array_sort(F.array_distinct(F.flatten(m["hit"])))
-    return several.withColumn(
-        "matches",
-        F.struct(
-            m[0]["n_words"].alias("n_words"),
-            F.size(hit).cast("bigint").alias("n_hit"),
-            hit.alias("hit"),
-            F.array_sort(F.array_distinct(F.flatten(m["items"]))).alias("items"),
-            longest["longest"].alias("longest"),
-            (-longest["at"]).alias("longest_at"),
-        ),
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform(m, lambda x: x["hit"]))))
+    merged = F.struct(
+        F.col(found[0])["n_words"].alias("n_words"),
+        F.size(hit).cast("bigint").alias("n_hit"),
+        hit.alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(m, lambda x: x["items"])))).alias("items"),
+        longest["longest"].alias("longest"),
+        (-longest["at"]).alias("longest_at"),
     )
+    return rows.withColumn("matches", merged).drop(*found)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a match, with their own columns."""
-    for t in parts(benchmark):
-        documents = documents.filter(searcher(t, locations=False)(F.col(f"`{text_col}`"))["n_hit"] == 0)
-    return documents
+
+    def add(rows: DataFrame, find: Callable, k: int) -> DataFrame:
+        return rows.filter(find(F.col(f"`{text_col}`"))["n_hit"] == 0)
+
+    return _passes(documents, benchmark, add, False)
 
 
 def items_digest(items: Column) -> Column:
