@@ -110,3 +110,7 @@ def test_index_persists(spark):
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(two, again).collect()}
     assert got == {10: (1, False), 11: (11, True), None: (None, False)}
     assert again.read().count() == 4
+    groups = exact_dedup.groups_of(exact_dedup.digests(two))
+    plan = again.fresh(groups)._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange") == 1  # partial groups are dealt to the index's buckets; the index stays where it is

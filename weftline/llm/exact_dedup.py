@@ -45,9 +45,14 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def fresh(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digests are not in the index, by a sort-merge join that reads the index bucket by bucket."""
+        dealt = groups.repartition(self.buckets, "digest")
+        return dealt.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+
     def append(self, groups: DataFrame) -> None:
         """Adds the groups whose digests are not in the index; one file per bucket."""
-        new = groups.join(self.read().select("digest"), "digest", "left_anti")
+        new = self.fresh(groups)
         columns = self.read().columns
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").select(columns).write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
