@@ -354,6 +354,42 @@ _join("right_semi", f"SELECT * FROM ({_L}) l SEMI JOIN ({_J}) r USING (o_orderke
 _join("right_anti", f"SELECT * FROM ({_L}) l ANTI JOIN ({_J}) r USING (o_orderkey)", how="right_anti", on="o_orderkey")
 _join("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_J}) l JOIN ({_L}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
 
+_O = "SELECT o_orderkey, o_orderstatus FROM orders"
+_W = "SELECT l_orderkey AS o_orderkey, l_returnflag AS o_orderstatus, l_quantity FROM lineitem"
+
+
+def _join_whole(name: str, sql: str, lines_left: bool = False, **options: Any) -> None:
+    """As ``_join``, over all orders and all lines. Orders without lines are the rows without a match; ``lines_left`` has them on the right."""
+
+    @query(sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Storage()
+        left = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+        right = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), "l_quantity")
+        if lines_left:
+            left, right = right, left
+        if "left_on" in options:
+            right = right.withColumnRenamed("o_orderkey", "key")
+        store.set("right", right)
+        return Join(store_key="right", store=store, **options).transform(left)
+
+    QUERIES[f"join_{name}_whole"] = QUERIES.pop("run")
+    SQL[f"join_{name}_whole"] = SQL.pop("run")
+
+
+_LINES = "l.o_orderstatus, l_quantity, r.o_orderstatus AS o_orderstatus_right"
+_join_whole("inner", f"SELECT {_BOTH} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", on="o_orderkey")
+_join_whole("left", f"SELECT {_BOTH} FROM ({_O}) l LEFT JOIN ({_W}) r USING (o_orderkey)", how="left", on="o_orderkey")
+_join_whole("full", f"SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey")
+_join_whole("full_keys", f"SELECT l.o_orderkey, r.o_orderkey AS key, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", left_on="o_orderkey", right_on="key")
+_join_whole("full_uncoalesced", f"SELECT l.o_orderkey, r.o_orderkey AS o_orderkey_right, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey", coalesce_keys=False)
+_join_whole("semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", how="semi", on="o_orderkey")
+_join_whole("anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", how="anti", on="o_orderkey")
+_join_whole("right", f"SELECT r.o_orderkey, r.o_orderstatus, l.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_O}) r LEFT JOIN ({_W}) l USING (o_orderkey)", lines_left=True, how="right", on="o_orderkey")
+_join_whole("right_semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="rightsemi", on="o_orderkey")
+_join_whole("right_anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="right_anti", on="o_orderkey")
+_join_whole("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
+
 
 @query("SELECT n.*, r.r_regionkey, r.r_name FROM nation n, region r")
 def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
