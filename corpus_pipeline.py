@@ -15,6 +15,8 @@ from weftline.llm import contamination, language, mixing, near_dedup, sharding
 from weftline.llm.staging import stage
 
 N_SHARDS = 40
+#: Least similarity of near copies, in hundredths.
+SIMILARITY = 80
 #: Part of the tokens that the mix keeps on average.
 SAMPLE_SHARE = 0.8
 
@@ -25,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies stays."""
-    return near_dedup.keep_one(docs)
+    """The document with the smallest id of each component of copies of a similarity of 0.8 or more stays."""
+    return near_dedup.keep_one(docs, SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

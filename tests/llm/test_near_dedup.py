@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from weftline.llm import near_dedup as nd
 from weftline.llm.components import components
 
@@ -108,3 +110,34 @@ def test_sketches_estimate_similarity():
         true = shared / (2 * n - shared)
         assert abs((bins[0] == bins[1]).mean() - true) < 5 * (true * (1 - true) / nd.BINS) ** 0.5 + 0.02
     assert (nd.sketches(np.array([0, 0]), np.zeros(0, np.uint64)) == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+
+
+def test_scheme():
+    how = nd.scheme(85)
+    assert (how.bands, how.rows, how.agree) == (25, 5, 85)
+    for similarity in (50, 70, 80, 90, 100):
+        how = nd.scheme(similarity)
+        assert (1 - (similarity / 100) ** how.rows) ** how.bands <= nd.MISS and 0 < how.agree <= nd.BINS
+    for similarity in (0, 0.85, 101):
+        with pytest.raises(ValueError):
+            nd.scheme(similarity)
+
+
+def test_similarity_of_the_stage_is_80(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = []
+    for group in range(80):  # a pair each: 62 words have 58 shingles, of which one changed word takes five, 53 / 63 = 0.84
+        base = [f"g{group}w{i}" for i in range(62)]
+        other = list(base)
+        other[rng.randrange(8, 54)] = "changed"
+        rows += [(2 * group, " ".join(base)), (2 * group + 1, " ".join(other))]
+    for group in range(80, 100):  # 46 words have 42 shingles, 37 / 47 = 0.79
+        base = [f"g{group}w{i}" for i in range(46)]
+        rows += [(2 * group, " ".join(base)), (2 * group + 1, " ".join([*base[:20], "changed", *base[21:]]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert nd.near_duplicates(df).filter("kept").count() == 200
+    assert nd.near_duplicates(df, 80).filter("kept").count() == 120
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == [*range(0, 160, 2), *range(160, 200)]

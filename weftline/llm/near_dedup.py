@@ -15,12 +15,15 @@ Sets with equal fingerprints are one class. Classes that agree in a band of the
    component. A pair is looked at in the first band that it shares, and not at all once others have joined its components.
 
 Verification compares full shingle sets. No link is given up but by the sketch: at the similarity asked for, the chance that
-a link shares no band or falls below the agreement asked for is below one in a hundred thousand.
+a link shares no band or falls below the agreement asked for is below one in a hundred thousand. Bands and agreement are
+derived from the similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,11 @@ from weftline.llm.staging import prepare_workers, stage
 from weftline.llm.textvec import NOT_SPACE, Words, chunks, mix, release, shingles
 
 WORDS = 5
-#: Least similarity in hundredths.
-SIMILARITY = 85
-BANDS, ROWS = 25, 5
-BINS = BANDS * ROWS
-#: Bins that must agree before full sets are compared: over five standard deviations below 85 of 100.
-AGREE = 85
+#: Least similarity in hundredths: that of op2, and that of a stage that is told no other.
+SIMILARITY, STAGE_SIMILARITY = 85, 80
+BINS = 125
+#: Most chance that a link shares no band, and that it falls below the agreement asked for.
+MISS = 1e-6
 #: Buckets of more members are compared in blocks of this size.
 BLOCK = 1024
 #: Up to so many ids select texts by broadcast; more by a shuffle.
@@ -45,6 +47,33 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Rounds of best links before the rest is verified in full.
 BEST_ROUNDS = 4
 
+
+@dataclass(frozen=True)
+class Scheme:
+    """How links of a least similarity, in hundredths, are found."""
+
+    similarity: int
+    bands: int
+    rows: int
+    #: Bins that must agree before full sets are compared.
+    agree: int
+
+
+def scheme(similarity: int) -> Scheme:
+    """The longest bands, and the most agreeing bins, that miss a link of the similarity with a chance of MISS at most."""
+    if not 0 < similarity <= 100:
+        raise ValueError(f"similarity is in hundredths, above 0 and up to 100: {similarity}")
+    p = similarity / 100
+    rows = next((r for r in (5, 4, 3, 2, 1) if (1 - p**r) ** (BINS // r) <= MISS), None)
+    if rows is None:
+        raise ValueError(f"{BINS} bins are too few for a similarity of {similarity} hundredths")
+    agree, below = 0, (1 - p) ** BINS
+    while below <= MISS and agree < BINS:
+        agree += 1
+        below += math.comb(BINS, agree) * p**agree * (1 - p) ** (BINS - agree)
+    return Scheme(similarity, BINS // rows, rows, agree)
+
+
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -81,36 +110,41 @@ SKETCH = "n bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>"
 _SKETCH_TYPE = pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
-def _sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        parts = []
-        for data, offs in chunks(texts, 1 << 19):
-            first, hashes = shingles(Words(data, offs, NOT_SPACE), WORDS)
-            n = np.diff(first)
-            bins = mix(sketches(first, hashes))
-            bands = np.zeros((len(n), BANDS), np.uint64)
-            for j in range(ROWS):
-                bands = bands * np.uint64(0xD6E8FEB86659FD93) + bins[:, j * BANDS : (j + 1) * BANDS]
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
-            has = n > 0
-            f1, f2 = fingerprints(first, hashes)
-            sig = np.ascontiguousarray((bins & np.uint64(0xFF)).astype(np.uint8))
-            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BINS)
-            lists = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
-            parts.append(
-                pa.StructArray.from_arrays(
-                    [
-                        pa.array(n.astype(np.int64)),
-                        pa.array(f1),
-                        pa.array(f2),
-                        pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(sig.tobytes())]),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(bands[has].ravel().view(np.int64))),
-                    ],
-                    fields=list(_SKETCH_TYPE),
+def _sketch(how: Scheme):
+    """n, f1, f2, sig and bands of each text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = []
+            for data, offs in chunks(texts, 1 << 19):
+                first, hashes = shingles(Words(data, offs, NOT_SPACE), WORDS)
+                n = np.diff(first)
+                bins = mix(sketches(first, hashes))
+                bands = np.zeros((len(n), how.bands), np.uint64)
+                for j in range(how.rows):
+                    bands = bands * np.uint64(0xD6E8FEB86659FD93) + bins[:, j * how.bands : (j + 1) * how.bands]
+                bands = mix(bands + np.arange(how.bands, dtype=np.uint64))
+                has = n > 0
+                f1, f2 = fingerprints(first, hashes)
+                sig = np.ascontiguousarray((bins & np.uint64(0xFF)).astype(np.uint8))
+                offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BINS)
+                lists = np.concatenate([[0], np.cumsum(np.where(has, how.bands, 0))]).astype(np.int32)
+                parts.append(
+                    pa.StructArray.from_arrays(
+                        [
+                            pa.array(n.astype(np.int64)),
+                            pa.array(f1),
+                            pa.array(f2),
+                            pa.Array.from_buffers(pa.binary(), len(n), [None, offsets.buffers()[1], pa.py_buffer(sig.tobytes())]),
+                            pa.ListArray.from_arrays(pa.array(lists), pa.array(bands[has].ravel().view(np.int64))),
+                        ],
+                        fields=list(_SKETCH_TYPE),
+                    )
                 )
-            )
-        yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH_TYPE)
-        release()
+            yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH_TYPE)
+            release()
+
+    return run
 
 
 def _agreement(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -125,25 +159,29 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[column.offset * BINS : (column.offset + n) * BINS].reshape(n, BINS) if n else np.zeros((0, BINS), np.uint8)
 
 
-def _similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _similar(how: Scheme):
     """Whether the full sets of two texts reach the similarity."""
-    for a, b in batches:
-        out, i = np.zeros(len(a), bool), 0
-        for data, offs in chunks(a):
-            m = len(offs) - 1
-            first, mine = shingles(Words(data, offs, NOT_SPACE), WORDS)
-            j = 0
-            for data_b, offs_b in chunks(b.slice(i, m)):
-                first_b, yours = shingles(Words(data_b, offs_b, NOT_SPACE), WORDS)
-                for k in range(len(offs_b) - 1):
-                    x, y = mine[first[j] : first[j + 1]], yours[first_b[k] : first_b[k + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - both
-                    out[i + j] = union > 0 and 100 * both >= SIMILARITY * union
-                    j += 1
-            i += m
-        yield pa.array(out)
-        release()
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            out, i = np.zeros(len(a), bool), 0
+            for data, offs in chunks(a):
+                m = len(offs) - 1
+                first, mine = shingles(Words(data, offs, NOT_SPACE), WORDS)
+                j = 0
+                for data_b, offs_b in chunks(b.slice(i, m)):
+                    first_b, yours = shingles(Words(data_b, offs_b, NOT_SPACE), WORDS)
+                    for k in range(len(offs_b) - 1):
+                        x, y = mine[first[j] : first[j + 1]], yours[first_b[k] : first_b[k + 1]]
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        union = len(x) + len(y) - both
+                        out[i + j] = union > 0 and 100 * both >= how.similarity * union
+                        j += 1
+                i += m
+            yield pa.array(out)
+            release()
+
+    return run
 
 
 NAMES = ["bucket", "low", "high", "block", "rep", "component", "n", "sig"]
@@ -152,7 +190,8 @@ NAMES = ["bucket", "low", "high", "block", "rep", "component", "n", "sig"]
 class _Group:
     """Rows of whole groups, sorted by group."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[np.ndarray], how: Scheme):
+        self.how = how
         self.group, self.bucket, self.block, self.rep, self.component, self.n, self.sig, self.cross, *self.more = rows
 
     def best_links(self) -> Iterator[pa.RecordBatch]:
@@ -169,7 +208,7 @@ class _Group:
                 x, y = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
                 agree = (self.sig[x] == self.sig[y]).sum(axis=1, dtype=np.int32)
                 for mine, other in ((x, y), (y, x)):
-                    more = agree > np.maximum(best[mine], AGREE - 1)
+                    more = agree > np.maximum(best[mine], self.how.agree - 1)
                     best[mine[more]], partner[mine[more]] = agree[more], other[more]
         has = np.flatnonzero(best)
         yield self._batch(has, partner[has])
@@ -185,7 +224,7 @@ class _Group:
                 y = np.arange(x + 1, high)
                 y = y[comp[y - low] != comp[x - low]]
                 y = y[self._may(np.full(len(y), x), y)]
-                y = y[(self.sig[y] == self.sig[x]).sum(axis=1) >= AGREE] if len(y) else y
+                y = y[(self.sig[y] == self.sig[x]).sum(axis=1) >= self.how.agree] if len(y) else y
                 if not len(y):
                     continue
                 shared = bands[y] == bands[x]
@@ -193,7 +232,7 @@ class _Group:
                 if not len(y):
                     continue
                 both = _common(sets[x], [sets[k] for k in y])
-                y = y[100 * both >= SIMILARITY * (self.n[x] + self.n[y] - both)]
+                y = y[100 * both >= self.how.similarity * (self.n[x] + self.n[y] - both)]
                 for k in y:
                     if comp[k - low] != comp[x - low]:
                         comp[comp == comp[k - low]] = comp[x - low]
@@ -204,7 +243,7 @@ class _Group:
     def _may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether sizes allow the similarity, and, between two blocks, whether the rows are of different ones."""
         small, large = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
-        return (100 * small >= SIMILARITY * large) & (~self.cross[a] | (self.block[a] != self.block[b]))
+        return (100 * small >= self.how.similarity * large) & (~self.cross[a] | (self.block[a] != self.block[b]))
 
     def _batch(self, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         one, two = np.minimum(self.rep[x], self.rep[y]), np.maximum(self.rep[x], self.rep[y])
@@ -220,7 +259,7 @@ def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
 
-def _linker(verify: bool):
+def _linker(verify: bool, how: Scheme):
     """Links within each group of rows that arrive sorted by group; the groups of a batch, and the one it ends in, are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +267,7 @@ def _linker(verify: bool):
         number, last = 0, None
 
         def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            g = _Group(rows)
+            g = _Group(rows, how)
             return g.verified_links() if verify else g.best_links()
 
         for batch in batches:
@@ -244,7 +283,7 @@ def _linker(verify: bool):
             if verify:
                 sets = np.empty(len(group), object)
                 sets[:] = [np.frombuffer(b.as_buffer(), np.uint64) for b in col["set"]]
-                rows += [col["bands"].flatten().to_numpy().reshape(-1, BANDS), sets]
+                rows += [col["bands"].flatten().to_numpy().reshape(-1, how.bands), sets]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             cut = int(np.searchsorted(rows[0], number))
             yield from links([x[:cut] for x in rows])
@@ -273,11 +312,11 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
 
 
-def _verified(links: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(links: DataFrame, texts: DataFrame, how: Scheme) -> DataFrame:
     """The links (a, b) whose texts are similar, staged."""
     links = stage(links.select("a", "b"), "candidates", narrow=True)
     own = _only(texts, links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct())
-    similar = F.arrow_udf(_similar, "boolean")
+    similar = F.arrow_udf(_similar(how), "boolean")
     one = own.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = own.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = links.join(one, "a").join(two, "b")
@@ -298,7 +337,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(out.select("node", F.coalesce("new", "component").alias("component")), "components", narrow=True)
 
 
-def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def links_between(classes: DataFrame, texts: DataFrame, how: Scheme) -> DataFrame:
     """(node, component) of the classes (rep, n, sig, bands) that have links; ``texts`` has (id, text) of each rep."""
     in_bucket = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = in_bucket.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -311,18 +350,18 @@ def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame:
     pair = star.join(narrow.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(
         narrow.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b"
     )
-    pair = pair.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+    pair = pair.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * how.similarity)
     agreement = F.arrow_udf(_agreement, "int")
-    rated = pair.select("a", "b", agreement("sa", "sb").alias("agree")).filter(F.col("agree") >= AGREE)
+    rated = pair.select("a", "b", agreement("sa", "sb").alias("agree")).filter(F.col("agree") >= how.agree)
     best = rated.groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
     tried = stage(best, "tried", narrow=True)
-    labels = stage(components(_verified(tried, texts)), "components", narrow=True)
+    labels = stage(components(_verified(tried, texts, how)), "components", narrow=True)
 
     # 2. best links between components
     for _ in range(BEST_ROUNDS):
-        links = _grouped(_unresolved(member, labels), narrow).mapInArrow(_linker(False), "a bigint, b bigint").distinct()
+        links = _grouped(_unresolved(member, labels), narrow).mapInArrow(_linker(False, how), "a bigint, b bigint").distinct()
         links = stage(links.join(tried, ["a", "b"], "left_anti"), "links", narrow=True)
-        good = _verified(links, texts)
+        good = _verified(links, texts, how)
         if not good.limit(1).count():
             break
         labels = _relabelled(labels, good)
@@ -333,7 +372,7 @@ def links_between(classes: DataFrame, texts: DataFrame) -> DataFrame:
     own = _only(texts, rows.select(F.col("rep").alias("id")).distinct())
     sets = own.select(F.col("id").alias("rep"), F.arrow_udf(_sets, "binary")("text").alias("set"))
     sets = stage(sets, "sets")
-    links = _grouped(rows, classes.join(sets, "rep"), "bands", "set").mapInArrow(_linker(True), "a bigint, b bigint").distinct()
+    links = _grouped(rows, classes.join(sets, "rep"), "bands", "set").mapInArrow(_linker(True, how), "a bigint, b bigint").distinct()
     good = stage(links, "verified", narrow=True)
     return _relabelled(labels, good) if good.limit(1).count() else labels
 
@@ -355,17 +394,18 @@ def _grouped(rows: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     return mixed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``documents`` (doc_id, text).
 
     Shingles are five words between white space of ASCII, A-Z lowered; fewer words are one shingle as a whole; a null
-    or wordless text has none and is linked with nothing. component_id is the smallest doc_id reached over links of similarity
-    0.85 or more; kept says that it is the row's own. doc_id identifies a document: rows that repeat it with the same text are
-    answered alike. A row with a null doc_id has a null component and is kept. An empty table gives an empty result. Other
+    or wordless text has none and is linked with nothing. component_id is the smallest doc_id reached over links of
+    ``similarity`` hundredths or more; kept says that it is the row's own. doc_id identifies a document: rows that repeat it
+    with the same text are answered alike. A row with a null doc_id has a null component and is kept. An empty table gives an empty result. Other
     columns are not read.
     """
     prepare_workers(documents.sparkSession)
-    sketch = F.arrow_udf(_sketch, SKETCH)
+    how = scheme(similarity)
+    sketch = F.arrow_udf(_sketch(how), SKETCH)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
     rows = stage(rows, "sketches")
     keyed = ["n", "f1", "f2"]
@@ -374,7 +414,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = known.join(owner.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     classes = stage(classes.select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "representatives")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("text IS NOT NULL")
-    labels = links_between(classes, texts)
+    labels = links_between(classes, texts, how)
     named = owner.join(labels, owner["rep"] == labels["node"], "left").select(*keyed, "rep", F.coalesce("component", "rep").alias("component"))
     # hot classes are few: those of more than a thousandth of the rows
     total = rows.count()
@@ -388,8 +428,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.when(F.col("doc_id").isNull(), True).otherwise(kept).alias("kept"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents that stand for their component, with their own columns. Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few."""
-    gone = stage(near_duplicates(documents).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
+def keep_one(documents: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
+    """The documents that stand for their component over links of ``similarity`` hundredths or more, with their own columns. Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few."""
+    gone = stage(near_duplicates(documents, similarity).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
     return documents.join(gone.withColumnRenamed("doc_id", "weftline__gone"), F.col("doc_id") == F.col("weftline__gone"), "left_anti")
