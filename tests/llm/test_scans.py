@@ -3,7 +3,9 @@
 import hashlib
 import re
 
-from weftline.llm import contamination, exact_dedup, licenses
+import duckdb
+
+from weftline.llm import contamination, exact_dedup, licenses, queries
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,3 +116,24 @@ def test_index_persists(spark):
     plan = again.fresh(groups)._jdf.queryExecution().toString().split("Physical Plan")[1]
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
     assert plan.count("Exchange") == 1  # partial groups are dealt to the index's buckets; the index stays where it is
+
+
+def test_items_with_a_null_id_count(spark, tmp_path, monkeypatch):
+    long = " ".join(f"q{i}" for i in range(30))
+    items = [(None, long), (None, "short item"), (7, "short item here"), (8, "q1 q2")]
+    texts = [None, "clean", f"before {long} after", "short item here", "a short item", "q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    want = duck.sql(f"SELECT {columns} FROM ({queries.SQL['op8_decontamination']}) ORDER BY 1").fetchall()
+    assert [w[3] for w in want] == [0, 0, 2, 2, 1, 1]
+    for part in (1 << 20, 40):  # one part, then several
+        monkeypatch.setattr(contamination, "PART_BYTES", part)
+        got = queries.QUERIES["op8_decontamination"](spark, str(tmp_path)).select(*columns.split(", "))
+        assert sorted(tuple(r) for r in got.collect()) == want
+        assert {r.doc_id for r in contamination.decontaminate(docs, bench).collect()} == {0, 1}

@@ -36,7 +36,7 @@ class TestSet:
 
     __test__ = False
 
-    names: list[str]
+    names: list[str | None]
     vocabulary: np.ndarray  # sorted hashes; the word's number is its place plus 1
     words: np.ndarray  # numbers of all items, each item followed by 0
     suffix: np.ndarray  # where each searched suffix begins in words
@@ -46,7 +46,7 @@ class TestSet:
     single: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted words of one-word items
 
 
-def test_set(names: list[str], texts: list[str], window: int = WINDOW) -> TestSet:
+def test_set(names: list[str | None], texts: list[str], window: int = WINDOW) -> TestSet:
     """Reads the items. Null texts and texts without words have no window. Equal items all count."""
     found = [Words(d, o, ALNUM) for d, o in chunks(pa.array(texts, pa.large_string()), 1 << 62)]
     if not found:
@@ -157,7 +157,7 @@ def search(texts: pa.Array, tests: TestSet, window: int = WINDOW) -> Iterator[tu
                     here = int(d[part[0]])
                     own = np.unique(_expand(at[part], at[part] + tests.need[of[part]])[1]) - starts[here]
                     best = part[np.lexsort((at[part], -length[part]))[0]]
-                    items = sorted({tests.names[i] for i in np.unique(tests.item[of[part]])})
+                    items = sorted({tests.names[i] for i in np.unique(tests.item[of[part]])}, key=lambda x: (x is None, x or ""))
                     results[here] = (own.astype(np.int32), items, int(length[best]), int(at[best] - starts[here]))
         for i in range(n_docs):
             yield (int(w.count[i]), *results.get(i, ((), [], 0, None)))
@@ -180,9 +180,10 @@ def searcher(spark: SparkSession, tests: TestSet, window: int = WINDOW, location
     return F.arrow_udf(run, HITS), shared
 
 
-def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[TestSet]:
-    """The test set in parts of about PART_BYTES of text, read one at a time; one part unless the set is large."""
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).filter(F.col("name").isNotNull())
+def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> Iterator[TestSet]:
+    """The test set in parts of about PART_BYTES of text, read one at a time; one part unless the set is large. ``unnamed`` has the items with a null id too."""
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows if unnamed else rows.filter(F.col("name").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // PART_BYTES
     for k in range(n):
@@ -191,9 +192,9 @@ def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
         yield test_set([r["name"] for r in found], [r["text"] for r in found])
 
 
-def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Callable, int], DataFrame], locations: bool) -> DataFrame:
+def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Callable, int], DataFrame], locations: bool, unnamed: bool) -> DataFrame:
     """``rows`` after a pass of ``add`` for each part. Where there are several, each pass is staged and its part let go before the next is read."""
-    sets, k = parts(benchmark), 0
+    sets, k = parts(benchmark, unnamed=unnamed), 0
     tests, later = next(sets), next(sets, None)
     while True:
         several = later is not None or k > 0
@@ -208,13 +209,14 @@ def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Cal
         tests, later, k = later, next(sets, None), k + 1
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", locations: bool = True) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", locations: bool = True, unnamed: bool = False) -> DataFrame:
     """Finds the test passages in each document.
 
     Adds one column ``matches`` (n_words, n_hit, hit: the word places inside matches, items: the item ids with an
     occurring window, longest: words of the longest verbatim match, longest_at: where it begins) to all columns of
     ``documents``; a column of that name is replaced. Null and empty texts have no words and no matches. Items with the
-    same id count as one; items with a null id are left out. Rows are kept whole and in number, repeated ones too; an empty table
+    same id count as one. Items with a null id are left out unless ``unnamed`` is set; then they are searched like the others and
+    count as one null in items. Rows are kept whole and in number, repeated ones too; an empty table
     or an empty benchmark gives no matches. Without ``locations``, hit is empty where one part holds the whole test set.
     """
     found = []
@@ -223,7 +225,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
         found.append(f"weftline__matches{k}")
         return rows.withColumn(found[-1], find(F.col(f"`{text_col}`")))
 
-    rows = _passes(documents.drop("matches"), benchmark, add, locations)
+    rows = _passes(documents.drop("matches"), benchmark, add, locations, unnamed)
     if len(found) == 1:
         return rows.withColumnRenamed(found[0], "matches")
     m = F.array(*[F.col(c) for c in found])
@@ -241,14 +243,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents without a match, with their own columns."""
+    """The documents without a match, of items with a null id too, with their own columns."""
 
     def add(rows: DataFrame, find: Callable, k: int) -> DataFrame:
         return rows.filter(find(F.col(f"`{text_col}`"))["n_hit"] == 0)
 
-    return _passes(documents, benchmark, add, False)
+    return _passes(documents, benchmark, add, False, True)
 
 
 def items_digest(items: Column) -> Column:
-    """Hex sha256 of the ids, sorted as strings and comma-joined."""
+    """Hex sha256 of the ids, sorted as strings and comma-joined, without a null."""
     return F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)

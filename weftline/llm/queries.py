@@ -62,7 +62,7 @@ SQL["op9_sharding"] = sharding.shard_sql(N_SHARDS)
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    out = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), locations=False)
+    out = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), locations=False, unnamed=True)
     m = F.col("matches")
     return out.select(
         "doc_id",
