@@ -141,3 +141,12 @@ def test_similarity_of_the_stage_is_80(spark):
     assert nd.near_duplicates(df, 80).filter("kept").count() == 120
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert kept == [*range(0, 160, 2), *range(160, 200)]
+
+
+def test_rows_with_a_null_id_keep_one_of_each_group(spark):
+    one, two, three = (" ".join(f"{k}w{i}" for i in range(30)) for k in "abc")
+    rows = [(None, one), (5, one), (None, two), (None, two), (6, three), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, one), (None, two), (6, three), (None, None), (None, "")], key=str)

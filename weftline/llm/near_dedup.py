@@ -429,7 +429,18 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataF
 
 
 def keep_one(documents: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
-    """The documents that stand for their component over links of ``similarity`` hundredths or more, with their own columns. Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few."""
-    gone = stage(near_duplicates(documents, similarity).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
+    """The documents that stand for their component over links of ``similarity`` hundredths or more, with their own columns.
+
+    Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few.
+    Rows with a null doc_id are numbered after the largest id, so that they too are compared, and stay only where no row before them is
+    a near copy. Rows that repeat a kept doc_id all stay.
+    """
+    key = "weftline__id"
+    rows = documents.withColumn(key, F.col("doc_id").cast("bigint"))
+    if documents.filter("doc_id IS NULL").limit(1).count():
+        last = rows.agg(F.max(key)).first()[0] or 0
+        unnamed = rows.filter("doc_id IS NULL").withColumn(key, F.monotonically_increasing_id() + F.lit(max(0, last + 1)))
+        rows = rows.filter("doc_id IS NOT NULL").unionByName(stage(unnamed, "unnamed"))
+    gone = stage(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), similarity).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
     gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return documents.join(gone.withColumnRenamed("doc_id", "weftline__gone"), F.col("doc_id") == F.col("weftline__gone"), "left_anti")
+    return rows.join(gone.withColumnRenamed("doc_id", "weftline__gone"), F.col(key) == F.col("weftline__gone"), "left_anti").drop(key)
