@@ -22,7 +22,7 @@ SAMPLE_SHARE = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no known language, go."""
+    """Documents without letters, in no known language, or with a score of it under 0.5, go."""
     return language.known_language(docs)
 
 
