@@ -111,3 +111,75 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score(none, labels).count() == 0
     assert toxicity.score(docs, labels).count() == docs.count()
+
+
+def _toxic_model():
+    ordinary = toxicity.ordinary_dictionary([prose(i, 200).encode() for i in range(40)])
+    return toxicity.Model(toxicity.toxic_dictionary({b"grubworm": 30.0, b"zilchface": 20.0, b"nastygob": 20.0}, ordinary), ordinary)
+
+
+def test_toxic_windows_are_compressed_as_defined():
+    model = _toxic_model()
+    texts = ["", " \n", "grubworm and  stone", prose(3, 300) + " zilchface zilchface", "x" * 4000, "straße élève grubworm\x0bnastygob"]
+    run = model.histograms()
+    for batch in (texts, texts[::-1]):  # the second time from what is remembered
+        data, offs = _flat(batch)
+        got = {}
+        for i, c, n in zip(*run(data, offs), strict=True):
+            got.setdefault(int(i), {})[int(c)] = int(n)
+        plain, toxic = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+        for i, t in enumerate(batch):
+            want = {}
+            for w in t.encode().split():
+                window = b" " + w + b" "
+                saved, left = plain(window) - toxic(window), toxic(window) - plain(b" ")
+                cell = min(max(saved, 0), toxicity.SAVED) * (toxicity.LEFT + 1) + min(max(left, 0), toxicity.LEFT)
+                want[cell] = want.get(cell, 0) + 1
+            assert got.get(i, {}) == want
+    saves = lambda w: model.cells()([b" " + w + b" "])[0] // (toxicity.LEFT + 1)
+    assert all(saves(w) >= 3 for w in (b"grubworm", b"zilchface", b"nastygob")) and saves(b"garden") == 0
+
+
+def test_toxic_log_odds_and_features_are_as_defined():
+    rng = random.Random(4)
+    docs = [[(rng.randrange(5), rng.randrange(6)) for _ in range(rng.randrange(6))] for _ in range(30)]
+    y = np.array([i % 3 == 0 for i in range(30)], int)
+    text = np.array([i for i, d in enumerate(docs) for _ in d])
+    cell = np.array([s * (toxicity.LEFT + 1) + t for d in docs for s, t in d])
+    odds = toxicity.log_odds(text, cell, y)
+    for s, t in [(0, 0), (2, 3), (4, 1), (0, toxicity.LEFT), (toxicity.SAVED, 0)]:
+        rate = []
+        for label in (0, 1):
+            n = int((y == label).sum())
+            rate.append((sum(any(a >= s and b <= t for a, b in d) for d, v in zip(docs, y, strict=True) if v == label) + n / 30) / n)
+        assert odds[s * (toxicity.LEFT + 1) + t] == pytest.approx(np.log(rate[1] / rate[0]))
+    usual = np.array([0.1, 0.02])
+    x = toxicity.features(odds, usual, text, cell, np.ones(len(text), int), 30)
+    for i, d in enumerate(docs):
+        own = sorted([odds[s * (toxicity.LEFT + 1) + t] for s, t in d] + [0.0] * 3, reverse=True)
+        above = [sum(o > limit for o in own) for limit in toxicity.CLEAR]
+        rest = [v for a, u in zip(above, usual, strict=True) for v in (np.log1p(a), min(8, max(-3, (a - u * len(d)) / (u * len(d) + 1) ** 0.5)))]
+        assert x[i] == pytest.approx([*own[:3], *rest, np.log1p(len(d))])
+
+
+def test_toxicity_of_ties_repeats_and_long_words(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        w = prose(i, 40).split()
+        if i % 3 == 0:
+            w[5] = w[9] = "grubworm"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    rows += rows[:3] + [(9001, rows[0][1]), (9002, "y" * 200_000), (None, "grubworm"), (9003, "grubworm " * 30_000)]
+    labels += labels[:3] + [(1, 0), (2, None), (None, 1)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = toxicity.score(df, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for v in by.values()) and by[9001] == by[0]
+    assert max(by[9002]) < 0.5 < min(by[9003])
+    assert [r.held_out for r in got if r.doc_id is None] == [True]

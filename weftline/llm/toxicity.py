@@ -1,10 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. The ordinary one is what the trainer takes from windows of ordinary text. The
-toxic one has, before the same content, the byte sequences that toxic documents hold far more often than ordinary ones:
-the trainer's cover of frequent sequences with the contrast of two corpora in place of the plain count. Each window of
-a text is compressed with either; how many bytes the toxic dictionary saves is its distance. A document's largest
-savings, and how many windows save at least a calibrated number of bytes, go through a logistic calibration.
+A window is one word between spaces. Two zstandard dictionaries are trained: the ordinary one on the texts of ordinary
+documents, the toxic one on the windows that set toxic documents apart, followed by the ordinary content, so that
+ordinary syllables cost the same with either. Each window of a text is compressed with both. Two lengths matter: how many
+bytes the toxic dictionary saves, and how many bytes are left with it. Windows that save at least s bytes and leave at most t
+have the log-odds that a toxic and an ordinary document hold such a window; these thresholds are calibrated on
+documents that the dictionaries have not seen. A document's three largest log-odds, and how many more of its windows are
+above limits than in ordinary text of its length, go through a logistic calibration.
 
 Both dictionaries end in a fixed carrier that is appended to every window, because the compressor looks for no match in
 the last bytes of its input and stores small inputs raw.
@@ -12,210 +14,249 @@ the last bytes of its input and stores small inputs raw.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.labels import is_training, logistic, sample, sigmoid
 from weftline.llm.staging import prepare_workers, stage
-from weftline.llm.textvec import chunks, release
-
-#: Documents per class that training takes on average: the bound of the sample.
-PER_CLASS = 4000
-#: Words of a window.
-WINDOW = 4
-#: Bytes of a contrasted sequence; it lies within a word, with the space before or after it.
-GRAM = 6
-#: A sequence is toxic if this share of toxic documents has it, this many times more often than ordinary ones.
-MIN_SHARE, CONTRAST = 0.01, 20.0
-#: Bytes of the ordinary dictionary, and the ordinary words per document that the trainer sees, evenly spread.
-DICTIONARY, WORDS_PER_DOC = 16384, 60
-#: The optimal parser, which indexes every byte of a dictionary; faster levels index some, so that content shifts distances.
-LEVEL, MIN_MATCH, WINDOW_LOG = 14, 4, 17
+from weftline.llm.textvec import NOT_SPACE, Words, chunks, release
+
+#: The bounds of the sample: documents of a class on average, and bytes of text in all; where there are more bytes, documents are thinned by a hash.
+PER_CLASS, SAMPLE_BYTES = 4000, 32 << 20
+#: Parts of the sample; each is seen through dictionaries of the others.
+FOLDS = 3
+#: A window sets toxic documents apart by this much evidence (twice the log-likelihood ratio) and this many times more often.
+EVIDENCE, CONTRAST = 12.0, 20.0
+#: Bytes of the ordinary dictionary, most of the toxic one before it, and most of a window that is learned.
+ORDINARY, TOXIC, LEARNED = 12288, 32768, 256
+#: Greedy search over chains: every byte of a dictionary is indexed; faster ones skip bytes, so that content would shift distances.
+PARAMETERS = {"window_log": 17, "hash_log": 15, "chain_log": 16, "search_log": 6, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_GREEDY}
 CARRIER = b"\x01carrier:0123456789abcdefghijklmnopqrstuvwxyz:ABCDEFGHIJKLMNOPQRSTUVWXYZ:\x02"
+#: Saved bytes from 0 to SAVED, and left bytes from 0 to LEFT, are told apart; more count as the last.
+SAVED, LEFT = 24, 31
+CELLS = (SAVED + 1) * (LEFT + 1)
+#: Windows above so much log-odds are counted.
+CLEAR = (1.0, 2.5)
+#: Ridge of the calibration.
+RIDGE = 0.3
+#: Windows whose cells a worker remembers.
+REMEMBERED = 1 << 18
 CUTOFF = 0.7
 
 
-def compressor(content: bytes):
+def compressor(content: bytes) -> Callable[[bytes], int]:
     """Length of a window, compressed with the dictionary."""
     raw = content + CARRIER
-    params = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, dict_size=len(raw), window_log=WINDOW_LOG, source_size=128, min_match=MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0
-    )
+    params = zstandard.ZstdCompressionParameters(**PARAMETERS, write_content_size=0, write_checksum=0, write_dict_id=0)
     held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     compress = zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
     return lambda window: len(compress(window + CARRIER))
 
 
-def windows(text: bytes) -> list[bytes]:
-    """All words of a text, WINDOW at a time, each window between spaces."""
-    words = text.split()
-    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
-
-
-def grams(text: bytes) -> np.ndarray:
-    """The distinct sequences of GRAM bytes with no space inside."""
-    b = np.frombuffer(b" " + b" ".join(text.split()) + b" ", np.uint8)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    key, inside = np.zeros(n, np.int64), np.zeros(n, bool)
-    for j in range(GRAM):
-        key = (key << 8) | b[j : n + j]
-        if 0 < j < GRAM - 1:
-            inside |= b[j : n + j] == 32
-    return np.unique(key[~inside])
-
-
-def pieces(found: dict[bytes, int]) -> list[bytes]:
-    """Chains of sequences that continue each other, most frequent first to begin and to continue; rarest chain first."""
-    left, by_head, by_tail, out = dict(found), {}, {}, []
-    for g in sorted(left):
-        by_head.setdefault(g[:-1], []).append(g)
-        by_tail.setdefault(g[1:], []).append(g)
-    for start in sorted(left, key=lambda g: (-left[g], g)):
-        if start not in left:
-            continue
-        n, chain = left.pop(start), start
-        while more := [g for g in by_head.get(chain[-GRAM + 1 :], []) if g in left]:
-            best = max(more, key=lambda g: left[g])
-            del left[best]
-            chain += best[-1:]
-        while more := [g for g in by_tail.get(chain[: GRAM - 1], []) if g in left]:
-            best = max(more, key=lambda g: left[g])
-            del left[best]
-            chain = best[:1] + chain
-        out.append((n, chain))
-    return [c for _, c in sorted(out)]
-
-
-#: Savings of up to so many bytes are told apart.
-MOST = 12
+def ordinary_dictionary(texts: list[bytes]) -> bytes | None:
+    """What the trainer takes from whole texts; smaller where it refuses, None where it refuses 1 kB."""
+    cleaned = [b" " + b" ".join(t.split()) + b" " for t in texts]
+    size = ORDINARY
+    while size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, cleaned, k=64, d=8, split_point=1.0).as_bytes()[-size:]
+        except zstandard.ZstdError:
+            size //= 2
+    return None
+
+
+def toxic_dictionary(found: dict[bytes, float], ordinary: bytes) -> bytes:
+    """What the trainer takes from the windows, the windows that it leaves out before it, the ordinary content after it.
+
+    Beyond the size of the dictionary the windows with least evidence are not learned.
+    """
+    strongest = sorted(found, key=lambda w: (-found[w], w))
+    room = np.cumsum([len(w) + 4 for w in strongest]) <= TOXIC // 2
+    windows = sorted(w for w, fits in zip(strongest, room, strict=True) if fits)
+    samples = [b" " + w + b" \x00\x00" for w in windows]  # the trainer counts no sequence in the last two bytes
+    try:
+        trained = zstandard.train_dictionary(max(512, 2 * sum(map(len, samples))), samples, k=32, d=6, split_point=1.0).as_bytes()
+    except zstandard.ZstdError:  # too few windows for the trainer
+        trained = b""
+    missing = [b" " + w + b" " for w in sorted(windows, key=lambda w: (found[w], w)) if b" " + w + b" " not in trained]
+    return b"".join(missing) + b"\x00" + trained + b"\x00" + ordinary
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
-    threshold: int = 1
-    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(7))
+    log_odds: np.ndarray = field(default_factory=lambda: np.zeros(CELLS))
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(len(CLEAR)))
+    coefficients: np.ndarray = field(default_factory=lambda: np.zeros(9))
 
-    def summarizer(self):
+    def cells(self) -> Callable[[list[bytes]], np.ndarray]:
+        """The cell of each window: the bytes that the toxic dictionary saves, and those left with it beyond an empty window's."""
         plain, toxic = compressor(self.ordinary), compressor(self.toxic)
-
-        def summary(text: bytes) -> np.ndarray:
-            """The three largest savings of a text's windows, the number of windows, and how many save at least 1, 2 and so on bytes."""
-            saved = np.sort(np.array([plain(w) - toxic(w) for w in windows(text)] + [0, 0, 0]))[::-1]
-            over = np.cumsum(np.bincount(np.clip(saved, 0, MOST), minlength=MOST + 1)[::-1])[::-1]
-            return np.array([*saved[:3], len(saved), *over[1:]], float)
-
-        return summary
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        """From summaries: the largest savings, the share and the logarithm of the number of windows at the threshold, the logarithm of all."""
-        over = x[:, 3 + self.threshold]
-        return np.column_stack([x[:, :3], np.minimum(1.0, 20 * over / x[:, 3]), np.log1p(over), np.log1p(x[:, 3])])
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(self.features(x) @ self.coefficients[:-1] + self.coefficients[-1])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, toxic documents, ordinary documents) of a task."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        y = batch.column(1).to_numpy()
-        each = [grams(t.encode()) for t in batch.column(0).to_pylist()]
-        keys, code = np.unique(np.concatenate(each), return_inverse=True)
-        toxic = np.repeat(y, [len(e) for e in each])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(code, toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(code, 1 - toxic, len(keys)).astype(np.int64))], ["gram", "toxic", "ordinary"])
-
-
-def _some_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """WORDS_PER_DOC words of each text, evenly spread over the whole of it."""
-    for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            words = text.encode().split()
-            out += [b" " + words[i] + b" " for i in np.unique(np.linspace(0, len(words) - 1, min(len(words), WORDS_PER_DOC)).astype(int))] if words else []
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["word"])
-
-
-def dictionaries(rows: DataFrame) -> Model | None:
-    """The two dictionaries from (text, y); None unless both classes are there."""
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
+        empty = plain(b" ")
+
+        def of(windows: list[bytes]) -> np.ndarray:
+            left = np.array([toxic(w) for w in windows], np.int64)
+            saved = np.array([plain(w) for w in windows], np.int64) - left
+            return np.clip(saved, 0, SAVED) * (LEFT + 1) + np.clip(left - empty, 0, LEFT)
+
+        return of
+
+    def histograms(self) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, cell, number of windows) of a run of texts; a window met before is not compressed again."""
+        of = self.cells()
+        known, cell = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def run(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            nonlocal known, cell
+            w = Words(data, offs, NOT_SPACE, lower=False)
+            key, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
+            if len(known) > REMEMBERED:
+                known, cell = known[:0], cell[:0]
+            new = ~np.isin(key, known, assume_unique=True)
+            raw = data.tobytes()
+            found = of([b" " + raw[w.start[i] : w.end[i]] + b" " for i in at[new]])
+            known, cell = np.concatenate([known, key[new]]), np.concatenate([cell, found])
+            order = np.argsort(known)
+            known, cell = known[order], cell[order]
+            code, count = np.unique(w.doc() * CELLS + cell[np.searchsorted(known, key)][back], return_counts=True)
+            return code // CELLS, code % CELLS, count
+
+        return run
+
+    def probability(self, text: np.ndarray, cell: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        return sigmoid(features(self.log_odds, self.usual, text, cell, count, n) @ self.coefficients[:-1] + self.coefficients[-1])
+
+
+def features(log_odds: np.ndarray, usual: np.ndarray, text: np.ndarray, cell: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n texts: the three largest log-odds of its windows, at least 0; for each limit of CLEAR the logarithm of the number above it, and how
+    many standard deviations, from -3 to 8, that is above the usual share; the logarithm of all."""
+    odds = log_odds[cell]
+    total = np.bincount(text, count, n)
+    columns = []
+    for limit, share in zip(CLEAR, usual, strict=True):
+        clear = np.bincount(text, count * (odds > limit), n)
+        columns += [np.log1p(clear), np.clip((clear - share * total) / np.sqrt(share * total + 1), -3, 8)]
+    top = np.zeros((n, 3))
+    t, o = np.repeat(text, np.minimum(count, 3)), np.repeat(odds, np.minimum(count, 3))
+    order = np.lexsort((-o, t))
+    t, o = t[order], o[order]
+    rank = np.arange(len(t)) - np.searchsorted(t, t)
+    first = rank < 3
+    top[t[first], rank[first]] = np.maximum(0, o[first])
+    return np.column_stack([top, *columns, np.log1p(total)])
+
+
+def log_odds(text: np.ndarray, cell: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each cell: the log-odds that a toxic and an ordinary document hold a window that saves as much or more and leaves as little or less."""
+    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    held = np.zeros((2, SAVED + 1, LEFT + 1))
+    cuts = np.searchsorted(text, np.arange(len(y) + 1))
+    for i, label in enumerate(y):
+        has = np.zeros(CELLS, bool)
+        has[cell[cuts[i] : cuts[i + 1]]] = True
+        has = has.reshape(SAVED + 1, LEFT + 1)
+        held[label] += np.logical_or.accumulate(np.logical_or.accumulate(has[::-1], axis=0)[::-1], axis=1)
+    rate = (held + (n / n.sum())[:, None, None]) / n[:, None, None]  # a cell that nobody holds says nothing
+    return (np.log(rate[1]) - np.log(rate[0])).ravel()
+
+
+def evidence(toxic: Column, ordinary: Column, n_toxic: int, n_ordinary: int) -> Column:
+    """Twice the log-likelihood ratio of a window that so many documents of each class hold; null unless it is contrasted."""
+    both = (toxic + ordinary).cast("double")
+    part = lambda k, n: F.when(k > 0, k * F.log(k * F.lit(n_toxic + n_ordinary) / (both * n))).otherwise(0.0)
+    g = 2 * (part(toxic, n_toxic) + part(ordinary, n_ordinary))
+    return F.when((toxic / F.lit(n_toxic) > F.lit(CONTRAST) * (ordinary + 1) / F.lit(n_ordinary)) & (g > EVIDENCE), g)
+
+
+def contrasted(rows: DataFrame) -> list[dict[bytes, float]] | None:
+    """The windows that set toxic documents of (text, y, fold) apart, with their evidence: without each fold, and of all. None where a class is missing from any."""
+    sizes = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    without = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    n = [[sum(sizes.get((j, y), 0) for j in folds) for y in (0, 1)] for folds in without]
+    if not all(all(x) for x in n):
         return None
-    counted = rows.select("text", "y").mapInArrow(_frequencies, "gram bigint, toxic bigint, ordinary bigint")
-    counted = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    clear = (F.col("toxic") >= max(4, MIN_SHARE * n[1])) & (F.col("toxic") / n[1] > CONTRAST * (F.col("ordinary") + 1) / n[0])
-    found = {int(r["gram"]).to_bytes(GRAM, "big"): r["toxic"] for r in counted.filter(clear).collect()}
-    words = sorted(bytes(r["word"]) for r in rows.filter("y = 0").select("text").mapInArrow(_some_words, "word binary").collect())
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY, words, k=64, d=8).as_bytes()[-DICTIONARY:]
-    except zstandard.ZstdError:  # too few words for the trainer: they are the dictionary themselves
-        ordinary = b"".join(sorted(set(words)))[:DICTIONARY]
-    return Model(b"\x00".join(pieces(found)) + b"\x00" + ordinary, ordinary)
+    words = rows.select("fold", "y", F.explode(F.array_distinct(F.split("text", r"[ \t\n\x0B\f\r]+"))).alias("word"))
+    words = words.filter((F.col("word") != "") & (F.octet_length("word") <= LEARNED))
+    of = {(j, y): F.count_if((F.col("fold") == j) & (F.col("y") == y)).alias(f"n{j}_{y}") for j in range(FOLDS) for y in (0, 1)}
+    held = words.groupBy("word").agg(*of.values()).filter(" + ".join(f"n{j}_1" for j in range(FOLDS)) + " > 1")
+    total = lambda folds, y: sum((F.col(f"n{j}_{y}") for j in folds), F.lit(0))
+    found = held.select("word", *[evidence(total(f, 1), total(f, 0), n[i][1], n[i][0]).alias(f"g{i}") for i, f in enumerate(without)])
+    found = found.filter(" OR ".join(f"g{i} IS NOT NULL" for i in range(FOLDS + 1))).collect()
+    return [{r["word"].encode(): round(r[f"g{i}"], 6) for r in found if r[f"g{i}"] is not None} for i in range(FOLDS + 1)]
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
-    """Dictionaries from the whole sample; threshold and calibration from each half seen through dictionaries of the other.
+    """Dictionaries from the whole sample; log-odds and calibration from each fold seen through dictionaries of the others.
 
-    None unless both halves have both classes. Equal texts count once.
+    None unless all folds together, and without any one, have both classes and text enough for the trainer. Equal texts count once.
     """
     prepare_workers(documents.sparkSession)
     rows = sample(documents, labels, "toxic", PER_CLASS).withColumn("text", F.lower("text"))
     one = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.min(F.struct("doc_id", "text", "y", "weight")).alias("r"))
-    rows = stage(one.select(F.pmod("key", F.lit(2)).alias("half"), "r.*"), "toxic-sample")
-    halves = [rows.filter(F.col("half") == k) for k in (0, 1)]
-    models = [dictionaries(h) for h in halves]
-    if None in models:
+    rows = stage(one.select("key", F.pmod("key", F.lit(FOLDS)).alias("fold"), "r.*"), "toxic-sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE_BYTES / max(1, size))
+    rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30))))
+    found = contrasted(rows)
+    if found is None:
         return None
-    seen = [h.select("doc_id", "y", "weight", _scored(m, "summary")("text").alias("x")) for h, m in zip(halves, reversed(models), strict=True)]
-    seen = seen[0].unionByName(seen[1]).toPandas().sort_values(["doc_id", "y"])
-    x, y, weight = np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(float), seen["weight"].to_numpy(float)
-    model = dictionaries(rows)
-    model.threshold = _threshold(x[y == 0])
-    model.coefficients = logistic(model.features(x), y, weight)
+    texts = sorted((r["fold"], bytes(r["text"])) for r in rows.filter("y = 0").select("fold", F.col("text").cast("binary").alias("text")).collect())
+    models = []
+    for k in range(FOLDS + 1):
+        ordinary = ordinary_dictionary([t for fold, t in texts if fold != k])
+        if ordinary is None:
+            return None
+        models.append(Model(toxic_dictionary(found[k], ordinary), ordinary))
+    seen = [rows.filter(F.col("fold") == k).select("doc_id", "y", "weight", _scored(models[k], "histogram")("text").alias("x")) for k in range(FOLDS)]
+    seen = sorted(seen[0].unionByName(seen[1]).unionByName(seen[2]).collect(), key=lambda r: (r["doc_id"], r["y"], r["x"]))
+    y, weight = np.array([r["y"] for r in seen]), np.array([r["weight"] for r in seen], float)
+    pairs = [np.array(r["x"], np.int64).reshape(-1, 2) for r in seen]
+    text = np.repeat(np.arange(len(seen)), [len(p) for p in pairs])
+    cell, count = np.concatenate(pairs).T
+    model = models[FOLDS]
+    model.log_odds = log_odds(text, cell, y)
+    plain = y[text] == 0
+    model.usual = np.array([np.sum(count[plain] * (model.log_odds[cell[plain]] > limit)) for limit in CLEAR]) / max(1, count[plain].sum())
+    model.coefficients = logistic(features(model.log_odds, model.usual, text, cell, count, len(seen)), y, weight, RIDGE)
     return model
 
 
-def _threshold(ordinary: np.ndarray) -> int:
-    """The fewest bytes that at most one ordinary window in 2,000 saves."""
-    over = ordinary[:, 4:].sum(axis=0)
-    few = np.flatnonzero(over * 2000 <= ordinary[:, 3].sum())
-    return int(few[0]) + 1 if len(few) else MOST
-
-
 def _scored(model: Model, what: str):
-    """The summary or the probability of a text, as a column function."""
+    """The histogram (cell, number, cell, number ...) or the probability of a text, as a column function."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        summary = model.summarizer()
+        of = model.histograms()
         for texts in batches:
-            parts = []
-            for data, offs in chunks(texts):
-                raw = data.tobytes()
-                parts += [summary(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            x = np.stack(parts) if parts else np.zeros((0, 4 + MOST))
-            yield pa.array(list(x), pa.list_(pa.float64())) if what == "summary" else pa.array(model.probability(x))
+            out = []
+            for data, offs in chunks(texts, 1 << 20):
+                n = len(offs) - 1
+                text, cell, count = of(data, offs)
+                if what == "histogram":
+                    cuts = np.searchsorted(text, np.arange(n + 1)).astype(np.int32) * 2
+                    out.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.column_stack([cell, count]).ravel().astype(np.int32))))
+                else:
+                    out.append(pa.array(model.probability(text, cell, count, n)))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()) if what == "histogram" else pa.float64())
             release()
 
-    return F.arrow_udf(run, "array<double>" if what == "summary" else "double")
+    return F.arrow_udf(run, "array<int>" if what == "histogram" else "double")
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``documents`` (doc_id, text).
 
-    Whole texts are scored, lower case. Null and empty texts have no window and get the score of a text that saves
-    nothing. Repeated rows are scored alike. Without labels of both classes every score is 0. An empty table gives an empty
+    Whole texts are scored, lower case. Null and empty texts have no window and get the score of a text of which no window
+    saves anything. Repeated rows are scored alike; of repeated labels of an id the largest counts. Where no model can be trained
+    (no labels of both classes, or too little text) every score is 0. An empty table gives an empty
     result. Other columns are not read. ``labels`` has doc_id and toxic.
     """
     model = train(documents, labels)
