@@ -56,12 +56,28 @@ def brute_hits(text, items):
                 if w[j : j + k] == v[i : i + k]:
                     hit |= set(range(j, j + k))
                     names.add(name)
-    return len(w), sorted(hit), sorted(names)
+    return len(w), sorted(hit), sorted(names), *brute_longest(w, items)
+
+
+def brute_longest(w, items):
+    """Words of the longest run of windows, and its first place."""
+    best = (0, None)
+    for _, t in items:
+        v = words_of(t)
+        k = min(10, len(v))
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if v and n >= k and n > best[0]:
+                    best = (n, i)
+    return best
 
 
 def test_contamination_against_brute_force(spark, monkeypatch):
     long = " ".join(f"q{i}" for i in range(30))
-    items = [("a", long), ("b", "short item here"), ("c", "one"), ("d", None), ("e", "..."), ("f", long), ("g", "q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q99")]
+    items = [("a", long), ("a", long), ("b", "short item here"), ("c", "one"), ("d", None), ("e", "..."), ("f", long), ("g", "q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q99")]
     texts = [
         None, "", "none of it", f"before {long} after", "Short, ITEM: here and One", "q0 q1 q2 q3 q4 q5 q6 q7 q8", "q3 q4 q5 q6 q7 q8 q9 q10 q11 q12 q13",
         "x " * 400 + "q5 q6 q7 q8 q9 q10 q11 q12 q13 q14 q15", "short item", "here short item here item here", f"{long} {long}",
@@ -72,14 +88,43 @@ def test_contamination_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(contamination, "PART_BYTES", part)
         got = {r.doc_id: r.matches for r in contamination.contaminated(df, bench).collect()}
         for i, t in enumerate(texts):
-            n, hit, names = brute_hits(t, items)
+            n, hit, names, longest, at = brute_hits(t, items)
             assert (got[i].n_words, got[i].hit, got[i].items, got[i].n_hit) == (n, hit, names, len(hit)), (part, i)
+            assert (got[i].longest, got[i].longest_at) == (longest, at), (part, i)
         assert (got[3].longest, got[3].longest_at) == (30, 1)
         clean = contamination.decontaminate(df, bench)
         assert clean.columns == df.columns
         assert {r.doc_id for r in clean.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
 
 
+def test_suffix_arrays_are_sorted_and_searched_as_defined(monkeypatch):
+    """Random texts of few words: arrays by definition, and every window length against brute force, whatever a block holds."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for block in (1 << 21, 3):
+        monkeypatch.setattr(contamination, "BLOCK", block)
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(25))) for _ in range(12)]
+        items = [(f"i{k}", " ".join(rng.choice("abcd") for _ in range(n))) for k, n in enumerate([0, 1, 2, 3, 5, 7, 8, 9, 10, 11, 14, 20, 20])]
+        items += [("copy", texts[2]), ("copy", f"d {texts[3]}")]
+        hashed = next(contamination.hashes(iter([pa.array([t for _, t in items])])))
+        tests = contamination.test_set([n for n, _ in items], [x.as_py() for x in hashed])
+        (rows, shard), = contamination._shards(iter([pa.array(texts[:5]), pa.array(texts[5:])]))
+        assert rows == [5, 7]
+        for t, (n, hit, found, longest, at) in zip(texts, contamination.search(shard, tests), strict=True):
+            want = brute_hits(t, items)
+            assert (n, list(hit), sorted({tests.names[i] for i in found}), longest, at) == want
+        assert shard.length == 8
+        of = {p: tuple(x) for i, t in enumerate(texts) for p, x in enumerate([words_of(t)[j : j + 8] for j in range(len(words_of(t)))], start=int(shard.start[i]))}
+        assert sorted(shard.array) == sorted(p for p, x in of.items() if len(x) == 8)
+        runs = [of[p] for p in shard.array]
+        assert [a == b for a, b in zip(runs, runs[1:])] == list(np.diff(shard.rank[shard.array]) == 0)
+        assert len(set(runs)) == len(shard.keys) and (np.diff(shard.keys) > 0).all()
+
+
 def test_contamination_awkward(spark, docs, none):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination.contaminated(docs, empty).filter("matches.n_hit > 0").count() == 0

@@ -1,15 +1,17 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Each run of documents within a task is a shard: its words become numbers of the test vocabulary, its suffixes are
-sorted, and every suffix of every test item is found in it by binary search. A suffix that begins with a pair of
-neighbouring words that no test item has cannot match anything and is left out of the array; so is a first word that no
-item has, where one-word items exist.
+Documents that follow each other in a task, up to SHARD_BYTES of text, are a shard. All its suffixes of words are sorted by
+prefix doubling: by one word, then two, four and so on, each round ordering pairs of ranks of the round before. The test
+items are read once, as numbers of their own vocabulary. Each test suffix is searched by binary search in every round:
+its word among the shard's words, its pairs among the shard's pairs and so on; a suffix that is not found leaves. With
+the last round, whose length p is the largest power of two in a window of k words, the suffixes of the shard that begin with its p words are one
+range of the array, and those whose last p words of k agree too are its occurrences.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,12 @@ from weftline.llm.staging import prepare_workers, stage
 from weftline.llm.textvec import ALNUM, Words, chunks, release
 
 WINDOW = 10
-#: Test sets beyond this many bytes of text are searched in several passes, each with a part that size, so that what a task holds is bounded.
-PART_BYTES = 32 << 20
+#: Bytes of text of a shard; a longer document is in a shard with those before it.
+SHARD_BYTES = 8 << 20
+#: Bytes of test text that a pass over the documents searches, so that what the driver and a task hold is bounded; about twice that is held.
+PART_BYTES = 16 << 20
+#: Pairs that are expanded at once.
+BLOCK = 1 << 21
 
 HITS = "n_words bigint, n_hit bigint, hit array<int>, items array<string>, longest bigint, longest_at bigint"
 HITS_TYPE = pa.struct(
@@ -32,184 +38,269 @@ HITS_TYPE = pa.struct(
 
 @dataclass
 class TestSet:
-    """Items as runs of word numbers, with every suffix that begins a window."""
+    """Items as runs of word numbers."""
 
     __test__ = False
 
     names: list[str | None]
-    vocabulary: np.ndarray  # sorted hashes; the word's number is its place plus 1
-    words: np.ndarray  # numbers of all items, each item followed by 0
-    suffix: np.ndarray  # where each searched suffix begins in words
-    item: np.ndarray  # its item
-    need: np.ndarray  # the words that must match: the window, or the whole of a shorter item
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted (first, second) of the suffixes
-    single: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted words of one-word items
-
-
-def test_set(names: list[str | None], texts: list[str], window: int = WINDOW) -> TestSet:
-    """Reads the items. Null texts and texts without words have no window. Equal items all count."""
-    found = [Words(d, o, ALNUM) for d, o in chunks(pa.array(texts, pa.large_string()), 1 << 62)]
-    if not found:
-        z = np.zeros(0, np.int64)
-        return TestSet(names, np.zeros(0, np.uint64), z, z, z, z)
-    w = found[0]
-    vocabulary, ids = np.unique(w.hash, return_inverse=True)
-    words, suffix, item, need, at = [], [], [], [], 0
-    for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-        n = int(b - a)
-        if not n:
-            continue
-        k = min(n, window)
-        words += [ids[a:b] + 1, [0]]
-        suffix.append(np.arange(at, at + n - k + 1))
-        item.append(np.full(n - k + 1, i))
-        need.append(np.full(n - k + 1, k))
-        at += n + 1
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    out = TestSet(names, vocabulary, join(words), join(suffix), join(item), join(need))
-    two = out.suffix[out.need > 1]
-    base = len(vocabulary) + 1
-    out.pairs = np.unique(out.words[two] * base + out.words[two + 1])
-    out.single = np.unique(out.words[out.suffix[out.need == 1]])
-    return out
-
-
-def _member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
-    if not len(among):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(among, x)
-    at[at == len(among)] = 0
-    return among[at] == x
-
-
-class SuffixArray:
-    """The sorted suffixes of one shard that can match, compared over ``depth`` words."""
-
-    def __init__(self, ids: np.ndarray, tests: TestSet, depth: int):
-        self.ids = np.concatenate([ids, np.zeros(depth, np.int64)])
-        base = len(tests.vocabulary) + 1
-        live = np.flatnonzero(ids)
-        first = self.ids[live]
-        keep = _member(first * base + self.ids[live + 1], tests.pairs)
-        if len(tests.single):
-            keep |= _member(first, tests.single)
-        live = live[keep]
-        self.keys = self._keys(self.ids, live, depth)
-        order = np.argsort(self.keys, kind="stable")
-        self.position, self.keys = live[order], self.keys[order]
+    vocabulary: np.ndarray  # sorted hashes
+    words: np.ndarray  # place in the vocabulary plus 1 of the words of all items, each item followed by 0
+    first: np.ndarray  # where each item begins, and the end
+    window: int
+
+    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each searched suffix begins, and how many words must match: the window, or the whole of a shorter item."""
+        n = np.diff(self.first) - 1
+        need = np.minimum(n, self.window)
+        count = np.where(n > 0, n - need + 1, 0)
+        at = np.repeat(self.first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return at, np.repeat(need, count)
+
+    def item(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+
+def test_set(names: list[str | None], items: list[bytes], window: int = WINDOW) -> TestSet:
+    """``items`` are the hashes of each item's words, as bytes. Items without words have no window. Equal items all count."""
+    sizes = np.array([len(b) // 8 + 1 for b in items], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    vocabulary, code = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)
+    words = np.zeros(first[-1], np.int32)
+    inside = np.ones(first[-1], bool)
+    inside[first[1:] - 1] = False
+    words[inside] = code + 1
+    return TestSet(names, vocabulary, words, first, window)
+
+
+def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The hashes of a text's words, as bytes."""
+    for texts in batches:
+        out = []
+        for data, offs in chunks(texts):
+            w = Words(data, offs, ALNUM)
+            out += [w.hash[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        yield pa.array(out, pa.binary())
+        release()
+
+
+def _ahead(x: np.ndarray, step: int) -> np.ndarray:
+    """x, ``step`` places on; 0 beyond the end."""
+    return np.concatenate([x[step:], np.zeros(min(step, len(x)), x.dtype)])
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each low to below its high."""
+    n = high - low
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+class Shard:
+    """The sorted suffixes of some texts. ``hash``: of all words; ``count``: words of each text."""
+
+    def __init__(self, hash: np.ndarray, count: np.ndarray):
+        self.count = count
+        self.start = np.concatenate([[0], np.cumsum(count + 1)])[:-1]  # a text's first word; one 0 follows each text, so that no match crosses texts
+        self.place = np.repeat(self.start - (np.cumsum(count) - count), count) + np.arange(len(hash))
+        self.length = 1
+        self._sort(hash, self.place)
+
+    def _sort(self, key: np.ndarray, at: np.ndarray) -> None:
+        """The array of the suffixes that begin at ``at``, in the order of their keys; ``rank`` is from 1, and 0 for other places."""
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        self.array, self.keys, self.head = at[order], key[new], np.append(np.flatnonzero(new), len(key))
+        self.rank = np.zeros(int(self.count.sum()) + len(self.count), np.int32)
+        self.rank[self.array] = np.cumsum(new)
+
+    def double(self) -> None:
+        """Sorts by twice as many words; suffixes that a text ends within leave."""
+        second = _ahead(self.rank, self.length)
+        live = np.flatnonzero((self.rank > 0) & (second > 0))
+        self._sort(self.pair(self.rank[live], second[live]), live)
+        self.length *= 2
 
     @staticmethod
-    def _keys(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-        """The first ``depth`` words of each suffix as one big-endian string, which sorts as the words do."""
-        rows = np.empty((len(at), depth), ">u4")
-        for j in range(depth):
-            rows[:, j] = ids[at + j]
-        return np.ascontiguousarray(rows).view(f"S{4 * depth}").ravel()
-
-    def find(self, words: np.ndarray, suffix: np.ndarray, need: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix, the range of the array whose suffixes share its first ``need`` words."""
-        padded = np.concatenate([words, np.zeros(depth, np.int64)])
-        low, high = (np.empty((len(suffix), depth), ">u4") for _ in range(2))
-        for j in range(depth):
-            inside = j < need
-            low[:, j] = np.where(inside, padded[suffix + np.minimum(j, need - 1)], 0)
-            high[:, j] = np.where(inside, low[:, j], 0xFFFFFFFF)
-        as_key = lambda x: x.view(f"S{4 * depth}").ravel()
-        return np.searchsorted(self.keys, as_key(low), "left"), np.searchsorted(self.keys, as_key(high), "right")
-
-
-def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = high - low
-    of = np.repeat(np.arange(len(n)), n)
-    return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-
-
-def search(texts: pa.Array, tests: TestSet, window: int = WINDOW) -> Iterator[tuple]:
-    """(n_words, hit places, item names, longest match in words, where it begins) of each text, in order."""
-    padded = np.concatenate([tests.words, np.full(1, -1)])
-    for data, offs in chunks(texts):
-        w = Words(data, offs, ALNUM)
-        n_docs = len(w.count)
-        ids = np.zeros(len(w.start) + n_docs, np.int64)  # one 0 after each text, so that no match crosses texts
-        doc = w.doc()
-        place = np.arange(len(w.start)) + doc
-        if len(tests.vocabulary) and len(place):
-            at = np.searchsorted(tests.vocabulary, w.hash)
-            at[at == len(tests.vocabulary)] = 0
-            ids[place] = np.where(tests.vocabulary[at] == w.hash, at + 1, 0)
-        results: dict[int, tuple] = {}
-        if len(tests.suffix) and ids.any():
-            array = SuffixArray(ids, tests, window)
-            of, rank = _expand(*array.find(tests.words, tests.suffix, tests.need, window))
-            if len(of):
-                at, length = array.position[rank], tests.need[of].copy()
-                grow = np.arange(len(of))
-                while len(grow):  # beyond the window, word by word, as far as the two agree
-                    a = padded[tests.suffix[of[grow]] + length[grow]]
-                    b = array.ids[at[grow] + length[grow]]
-                    grow = grow[(a == b) & (a > 0)]
-                    length[grow] += 1
-                starts = w.first[:-1] + np.arange(n_docs)
-                d = np.searchsorted(starts, at, "right") - 1
-                order = np.argsort(d, kind="stable")
-                cuts = np.flatnonzero(np.diff(d[order])) + 1
-                for part in np.split(order, cuts):
-                    here = int(d[part[0]])
-                    own = np.unique(_expand(at[part], at[part] + tests.need[of[part]])[1]) - starts[here]
-                    best = part[np.lexsort((at[part], -length[part]))[0]]
-                    items = sorted({tests.names[i] for i in np.unique(tests.item[of[part]])}, key=lambda x: (x is None, x or ""))
-                    results[here] = (own.astype(np.int32), items, int(length[best]), int(at[best] - starts[here]))
-        for i in range(n_docs):
-            yield (int(w.count[i]), *results.get(i, ((), [], 0, None)))
-
-
-def searcher(spark: SparkSession, tests: TestSet, window: int = WINDOW, locations: bool = True) -> tuple[Callable[[Column], Column], Broadcast]:
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) << 32) | b
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The rank of each key by binary search, or 0."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at + 1, 0).astype(np.int32) if len(self.keys) else np.zeros(len(keys), np.int32)
+
+    def occurrences(self, tests: TestSet) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words that must match: it, the places of this shard where a window stands, the window's number, and the windows' numbers and places in the test set."""
+        at, need = tests.suffixes()
+        found = np.concatenate([np.zeros(1, np.int32), self.find(tests.vocabulary)])[tests.words]
+        while True:
+            lengths = [int(k) for k in np.unique(need) if self.length <= k < 2 * self.length]
+            for k in lengths:
+                own = at[need == k]
+                last = k - self.length
+                own = own[(found[own] > 0) & (found[own + last] > 0)]
+                windows, number = np.unique(self.pair(found[own], found[own + last]), return_inverse=True)
+                ranks = np.unique(windows >> 32)
+                places = self.array[_ranges(self.head[ranks - 1], self.head[ranks])]
+                key = self.pair(self.rank[places], _ahead(self.rank, last)[places])
+                w = np.minimum(np.searchsorted(windows, key), max(0, len(windows) - 1))
+                same = windows[w] == key if len(windows) else np.zeros(0, bool)
+                yield k, places[same], w[same], number, own
+            live = np.flatnonzero((found > 0) & (_ahead(found, self.length) > 0))
+            if not len(live) or 2 * self.length > need.max(initial=0):
+                return
+            key = self.pair(found[live], found[live + self.length])
+            self.double()
+            found = np.zeros(len(found), np.int32)
+            found[live] = self.find(key)
+
+
+def _blocks(size: np.ndarray) -> Iterator[slice]:
+    """Runs whose sizes are BLOCK together, or one that is larger."""
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, "right")))
+        yield slice(i, j)
+        i = j
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique((a.astype(np.int64) << 32) | b)
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def search(shard: Shard, tests: TestSet, longest: bool = True) -> list[tuple]:
+    """(n_words, hit places, item numbers, longest match in words, where it begins) of each text, in order; the last two are 0 and None without ``longest``."""
+    n = len(shard.count)
+    cover = np.zeros(int(shard.count.sum()) + n + 1, np.int32)
+    owner, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    best = np.zeros(n, np.int64)
+    best_at = np.zeros(n, np.int64)
+    for k, places, window, number, at in shard.occurrences(tests):
+        if not len(places):
+            continue
+        cover[places] += 1  # each place once
+        cover[places + k] -= 1
+        text = np.searchsorted(shard.start, places, "right") - 1
+        t, w = _distinct(text, window)
+        of, item = _distinct(number, tests.item(at))
+        low, high = np.searchsorted(of, w), np.searchsorted(of, w, "right")
+        for b in _blocks(high - low):
+            a, c = _distinct(np.repeat(t[b], (high - low)[b]), item[_ranges(low[b], high[b])])
+            owner.append(a)
+            items.append(c)
+        if not longest:
+            continue
+        # a match of more words than the window is a run of windows that advance by a word on either side
+        order = np.argsort(places)
+        places, window = places[order], window[order]
+        order = np.argsort(number, kind="stable")
+        of, at = number[order], at[order]
+        low, high = np.searchsorted(of, window), np.searchsorted(of, window, "right")
+        text = np.searchsorted(shard.start, places, "right") - 1
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
+        for b in _blocks(np.add.reduceat(high - low, cuts)):
+            begin, end = cuts[b.start], cuts[b.stop] if b.stop < len(cuts) else len(places)
+            size = (high - low)[begin:end]
+            here = np.repeat(places[begin:end], size)
+            away = here - at[_ranges(low[begin:end], high[begin:end])]
+            order = np.lexsort((here, away))
+            here, away = here[order], away[order]
+            new = np.ones(len(here), bool)
+            new[1:] = (away[1:] != away[:-1]) | (here[1:] != here[:-1] + 1)
+            begins = np.flatnonzero(new)
+            length = np.diff(np.append(begins, len(here))) + k - 1
+            d = np.searchsorted(shard.start, here[begins], "right") - 1
+            order = np.lexsort((here[begins], -length, d))
+            d, length, where = d[order], length[order], here[begins][order]
+            top = np.ones(len(d), bool)
+            top[1:] = d[1:] != d[:-1]
+            d, length, where = d[top], length[top], where[top] - shard.start[d[top]]
+            more = (length > best[d]) | ((length == best[d]) & (where < best_at[d]))
+            best[d[more]], best_at[d[more]] = length[more], where[more]
+    hit = np.flatnonzero(np.cumsum(cover) > 0)
+    text = np.searchsorted(shard.start, hit, "right") - 1
+    cuts = np.searchsorted(text, np.arange(n + 1))
+    of, item = _distinct(np.concatenate(owner), np.concatenate(items))
+    ends = np.searchsorted(of, np.arange(n + 1))
+    return [
+        (int(shard.count[i]), (hit[cuts[i] : cuts[i + 1]] - shard.start[i]).astype(np.int32), item[ends[i] : ends[i + 1]], int(best[i]), int(best_at[i]) if best[i] else None)
+        for i in range(n)
+    ]
+
+
+def _shards(batches: Iterator[pa.Array]) -> Iterator[tuple[list[int], Shard]]:
+    """The texts that follow each other, as shards, with the number of rows of each batch."""
+    rows, size, hashed, counts = [], 0, [], []
+    for texts in batches:
+        rows.append(len(texts))
+        for data, offs in chunks(texts):
+            w = Words(data, offs, ALNUM)
+            hashed.append(w.hash)
+            counts.append(w.count)
+            size += len(data)
+        if size >= SHARD_BYTES:
+            yield rows, Shard(np.concatenate(hashed), np.concatenate(counts))
+            rows, size, hashed, counts = [], 0, [], []
+    if rows:
+        yield rows, Shard(np.concatenate([np.zeros(0, np.uint64), *hashed]), np.concatenate([np.zeros(0, np.int64), *counts]))
+
+
+def searcher(spark: SparkSession, tests: TestSet, longest: bool = True) -> tuple[Callable[[Column], Column], Broadcast]:
     """The search as a column function, and the test set that travels once per executor."""
     prepare_workers(spark)
     shared = spark.sparkContext.broadcast(tests)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            rows = [
-                {"n_words": n, "n_hit": len(hit), "hit": hit if locations else [], "items": items, "longest": longest, "longest_at": at}
-                for n, hit, items, longest, at in search(texts, shared.value, window)
-            ]
-            yield pa.array(rows, HITS_TYPE)
+        known = shared.value
+        for rows, shard in _shards(batches):
+            found = search(shard, known, longest)
+            for n in rows:
+                own, found = found[:n], found[n:]
+                yield pa.array(
+                    [
+                        {"n_words": words, "n_hit": len(hit), "hit": hit, "items": sorted({known.names[i] for i in items}, key=lambda x: (x is None, x or "")), "longest": most, "longest_at": at}
+                        for words, hit, items, most, at in own
+                    ],
+                    HITS_TYPE,
+                )
             release()
 
     return F.arrow_udf(run, HITS), shared
 
 
-def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False) -> Iterator[TestSet]:
-    """The test set in parts of about PART_BYTES of text, read one at a time; one part unless the set is large. ``unnamed`` has the items with a null id too."""
+def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", unnamed: bool = False, window: int = WINDOW) -> tuple[int, Callable[[int], TestSet]]:
+    """How many parts of about PART_BYTES of text the test set has, and a function that reads one. Repeated items count once. ``unnamed`` has the items with a null id too."""
+    prepare_workers(benchmark.sparkSession)
     rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows if unnamed else rows.filter(F.col("name").isNotNull())
+    rows = (rows if unnamed else rows.filter(F.col("name").isNotNull())).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // PART_BYTES
+
+    def read(k: int) -> TestSet:
+        own = rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).select("name", F.arrow_udf(hashes, "binary")("text").alias("words"))
+        found = sorted(((r["name"], bytes(r["words"])) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        return test_set([name for name, _ in found], [words for _, words in found], window)
+
+    return n, read
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Callable, int], DataFrame], longest: bool, unnamed: bool) -> tuple[DataFrame, int]:
+    """``rows`` after a pass of ``add`` for each part, and the number of parts. All passes but the last are staged, and their parts let go."""
+    n, read = parts(benchmark, unnamed=unnamed)
     for k in range(n):
-        own = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        found = own.orderBy("name", "text").collect()
-        yield test_set([r["name"] for r in found], [r["text"] for r in found])
-
-
-def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Callable, int], DataFrame], locations: bool, unnamed: bool) -> DataFrame:
-    """``rows`` after a pass of ``add`` for each part. Where there are several, each pass is staged and its part let go before the next is read."""
-    sets, k = parts(benchmark, unnamed=unnamed), 0
-    tests, later = next(sets), next(sets, None)
-    while True:
-        several = later is not None or k > 0
-        find, shared = searcher(rows.sparkSession, tests, locations=locations or several)
+        find, shared = searcher(rows.sparkSession, read(k), longest)
         rows = add(rows, find, k)
-        if not several:
-            return rows
-        rows = stage(rows, "searched")
-        shared.destroy()
-        if later is None:
-            return rows
-        tests, later, k = later, next(sets, None), k + 1
+        if k + 1 < n:
+            rows = stage(rows, "searched")
+            shared.destroy()
+    return rows, n
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", locations: bool = True, unnamed: bool = False) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """Finds the test passages in each document.
 
     Adds one column ``matches`` (n_words, n_hit, hit: the word places inside matches, items: the item ids with an
@@ -217,38 +308,27 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
     ``documents``; a column of that name is replaced. Null and empty texts have no words and no matches. Items with the
     same id count as one. Items with a null id are left out unless ``unnamed`` is set; then they are searched like the others and
     count as one null in items. Rows are kept whole and in number, repeated ones too; an empty table
-    or an empty benchmark gives no matches. Without ``locations``, hit is empty where one part holds the whole test set.
+    or an empty benchmark gives no matches. The result is the same in however many parts the test set is read.
     """
-    found = []
-
-    def add(rows: DataFrame, find: Callable, k: int) -> DataFrame:
-        found.append(f"weftline__matches{k}")
-        return rows.withColumn(found[-1], find(F.col(f"`{text_col}`")))
-
-    rows = _passes(documents.drop("matches"), benchmark, add, locations, unnamed)
-    if len(found) == 1:
-        return rows.withColumnRenamed(found[0], "matches")
-    m = F.array(*[F.col(c) for c in found])
+    name = lambda k: f"weftline__matches{k}"
+    rows, n = _passes(documents.drop("matches"), benchmark, lambda rows, find, k: rows.withColumn(name(k), find(F.col(f"`{text_col}`"))), True, unnamed)
+    m = F.array(*[F.col(name(k)) for k in range(n)])
     longest = F.array_max(F.transform(m, lambda x: F.struct(x["longest"], (-x["longest_at"]).alias("at"))))
     hit = F.array_sort(F.array_distinct(F.flatten(F.transform(m, lambda x: x["hit"]))))
     merged = F.struct(
-        F.col(found[0])["n_words"].alias("n_words"),
+        F.col(name(0))["n_words"].alias("n_words"),
         F.size(hit).cast("bigint").alias("n_hit"),
         hit.alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.transform(m, lambda x: x["items"])))).alias("items"),
         longest["longest"].alias("longest"),
         (-longest["at"]).alias("longest_at"),
     )
-    return rows.withColumn("matches", merged).drop(*found)
+    return rows.withColumn("matches", merged).drop(*[name(k) for k in range(n)])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a match, of items with a null id too, with their own columns."""
-
-    def add(rows: DataFrame, find: Callable, k: int) -> DataFrame:
-        return rows.filter(find(F.col(f"`{text_col}`"))["n_hit"] == 0)
-
-    return _passes(documents, benchmark, add, False, True)
+    return _passes(documents, benchmark, lambda rows, find, k: rows.filter(find(F.col(f"`{text_col}`"))["n_hit"] == 0), False, True)[0]
 
 
 def items_digest(items: Column) -> Column:

@@ -62,7 +62,7 @@ SQL["op9_sharding"] = sharding.shard_sql(N_SHARDS)
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    out = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), locations=False, unnamed=True)
+    out = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     m = F.col("matches")
     return out.select(
         "doc_id",
@@ -71,6 +71,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(m["items"]).cast("bigint").alias("n_items"),
         contamination.items_digest(m["items"]).alias("items_sha256"),
         (m["n_hit"] > 0).alias("contaminated"),
+        m["longest"].alias("longest"),
+        m["longest_at"].alias("longest_at"),
     )
 
 
@@ -79,11 +81,13 @@ WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM documents
 ), b AS (
-    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    SELECT row_number() OVER () AS n, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM benchmark
+), ba AS (
+    SELECT n, item_id, k, i AS j, array_to_string(w[i:i + k - 1], ' ') AS win
+    FROM (SELECT n, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0))
 ), bw AS (
-    SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
-    FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0))
+    SELECT DISTINCT item_id, k, win FROM ba
 ), dw AS (
     SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
     FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw))
@@ -93,9 +97,16 @@ WITH d AS (
     SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id
 ), t AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+), g AS (
+    SELECT doc_id, i, n, k, i - j AS away, i - row_number() OVER (PARTITION BY doc_id, n, i - j ORDER BY i) AS run FROM dw JOIN ba USING (k, win)
+), e AS (
+    SELECT doc_id, max(size) AS longest, min(place) FILTER (size = most) AS longest_at
+    FROM (SELECT *, max(size) OVER (PARTITION BY doc_id) AS most FROM (SELECT doc_id, count(*) + any_value(k) - 1 AS size, min(i) - 1 AS place FROM g GROUP BY doc_id, n, away, run))
+    GROUP BY doc_id
 )
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(longest, 0) AS longest, longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)
 """
 
 
