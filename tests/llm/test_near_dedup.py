@@ -150,3 +150,42 @@ def test_rows_with_a_null_id_keep_one_of_each_group(spark):
     kept = nd.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, one), (None, two), (6, three), (None, None), (None, "")], key=str)
+
+
+def test_repeated_ids_are_answered_as_their_least_text(spark):
+    one, two, other = (" ".join(f"{k}w{i}" for i in range(30)) for k in "abz")
+    rows = [(5, one)] * 3 + [(7, other), (7, two), (7, None), (8, other), (9, two), (3, "z")] + [(9, two)]
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    # the least text of 7 is none at all
+    assert got == sorted([(5, 26, 5, True)] * 3 + [(7, 0, 7, True)] * 3 + [(8, 26, 8, True), (9, 26, 9, True), (9, 26, 9, True), (3, 1, 3, True)])
+    rows = [r for r in rows if r[1]] + [(2, one)]
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == sorted([(2, 26, 2, True)] + [(5, 26, 2, False)] * 3 + [(7, 26, 7, True)] * 2 + [(8, 26, 8, True), (9, 26, 7, False), (9, 26, 7, False), (3, 1, 3, True)])
+    kept = sorted(tuple(r) for r in nd.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert sorted(t for _, t in kept) == sorted([one, two, other, "z"]) and (2, one) in kept and (8, other) in kept
+
+
+def test_many_repeats_of_two_rows_are_as_cheap_as_two(spark):
+    import time
+
+    one, two = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 41))
+    took = []
+    for times in (1, 1, 1000):
+        df = spark.createDataFrame([(1, one), (2, two)] * times, "doc_id bigint, text string")
+        began = time.perf_counter()
+        got = nd.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+        took.append(time.perf_counter() - began)
+        assert {(r.doc_id, r.component_id, r.kept, r["count"]) for r in got} == {(1, 1, True, times), (2, 1, False, times)}
+    assert took[2] < 2 * took[1] + 5
+
+
+def test_hot_bucket_of_dissimilar_documents(spark, monkeypatch):
+    """All share a long passage and a band, none is similar, two pairs are: blocks find them."""
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join([*common, *[f"r{rng.random()}" for _ in range(40)]])) for i in range(60)]
+    rows += [(100, f"{rows[3][1]} end"), (101, f"{rows[40][1]} end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df).collect()}
+    assert got == brute(rows)

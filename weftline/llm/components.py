@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import discard, stage
+from weftline.llm.staging import discard, scoped, stage
 
 
+@scoped
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``links`` (a, b) reaches.
 

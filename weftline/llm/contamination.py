@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import prepare_workers, stage
+from weftline.llm.staging import prepare_workers, scoped, stage
 from weftline.llm.textvec import ALNUM, Words, chunks, release
 
 WINDOW = 10
@@ -300,6 +300,7 @@ def _passes(rows: DataFrame, benchmark: DataFrame, add: Callable[[DataFrame, Cal
     return rows, n
 
 
+@scoped
 def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """Finds the test passages in each document.
 
@@ -326,6 +327,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "te
     return rows.withColumn("matches", merged).drop(*[name(k) for k in range(n)])
 
 
+@scoped
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a match, of items with a null id too, with their own columns."""
     return _passes(documents, benchmark, lambda rows, find, k: rows.filter(find(F.col(f"`{text_col}`"))["n_hit"] == 0), False, True)[0]

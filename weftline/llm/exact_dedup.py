@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import new_path, stage
+from weftline.llm.staging import new_path, scoped, stage
 
 #: The characters of [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -78,6 +78,7 @@ def groups_of(rows: DataFrame) -> DataFrame:
     )
 
 
+@scoped
 def exact_dedup(documents: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds a batch to the index and says of each of its rows which document stands for its text.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import stage
+from weftline.llm.staging import scoped, stage
 
 #: Up to so many cells are raked on the driver and broadcast; more are raked and joined as tables.
 MAX_CELLS = 200_000
@@ -135,6 +135,7 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(16**13))
 
 
+@scoped
 def mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SAMPLE_SHARE, max_cells: int = MAX_CELLS) -> DataFrame:
     """Adds weight, probability and kept to ``rows`` (doc_id, source, lang, topic, tokens).
 
@@ -157,6 +158,7 @@ def mix(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     return out.withColumn("kept", uniform(F.col("doc_id")) < F.col("probability"))
 
 
+@scoped
 def sample(documents: DataFrame, share: float = SAMPLE_SHARE) -> DataFrame:
     """The documents that the mix keeps, with their own columns; ids decide, so the texts are not shuffled where cells are few."""
     tokens = token_count(F.col("text"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.staging import prepare_workers, stage
+from weftline.llm.staging import prepare_workers, scoped, stage
 from weftline.llm.textvec import NOT_SPACE, Words, chunks, mix, release, shingles
 
 WORDS = 5
@@ -312,6 +312,7 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
 
 
+@scoped
 def _verified(links: DataFrame, texts: DataFrame, how: Scheme) -> DataFrame:
     """The links (a, b) whose texts are similar, staged."""
     links = stage(links.select("a", "b"), "candidates", narrow=True)
@@ -323,6 +324,7 @@ def _verified(links: DataFrame, texts: DataFrame, how: Scheme) -> DataFrame:
     return stage(both.filter(similar("text_a", "text_b")).select("a", "b"), "verified", narrow=True)
 
 
+@scoped
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels (node, component) after the links' ends are joined too."""
     at = lambda side: links.join(labels, links[side] == labels["node"], "left").select("a", "b", F.coalesce("component", F.col(side)).alias(f"c{side}"))
@@ -337,6 +339,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(out.select("node", F.coalesce("new", "component").alias("component")), "components", narrow=True)
 
 
+@scoped
 def links_between(classes: DataFrame, texts: DataFrame, how: Scheme) -> DataFrame:
     """(node, component) of the classes (rep, n, sig, bands) that have links; ``texts`` has (id, text) of each rep."""
     in_bucket = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -394,32 +397,53 @@ def _grouped(rows: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
     return mixed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Staged ids, broadcast in joins while they are few."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
+@scoped
 def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``documents`` (doc_id, text).
 
     Shingles are five words between white space of ASCII, A-Z lowered; fewer words are one shingle as a whole; a null
     or wordless text has none and is linked with nothing. component_id is the smallest doc_id reached over links of
-    ``similarity`` hundredths or more; kept says that it is the row's own. doc_id identifies a document: rows that repeat it
-    with the same text are answered alike. A row with a null doc_id has a null component and is kept. An empty table gives an empty result. Other
+    ``similarity`` hundredths or more; kept says that it is the row's own. doc_id identifies a document: of rows that repeat it
+    the one with the least text, in the order of its bytes and null as empty, is compared, and all of them are answered as that one. A row with
+    a null doc_id is compared with nothing, has a null component and is kept. An empty table gives an empty result. Other
     columns are not read.
     """
     prepare_workers(documents.sparkSession)
-    how = scheme(similarity)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    repeated = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    repeated = stage(repeated, "repeated-ids", narrow=True)
+    if not repeated.limit(1).count():
+        return _answers(rows, scheme(similarity))
+    again = rows.join(_few(repeated), "doc_id", "left_semi")
+    one = stage(again.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "one-per-id")
+    out = _answers(rows.join(_few(repeated), "doc_id", "left_anti").unionByName(one), scheme(similarity))
+    out = stage(out, "answers")
+    answer = stage(out.join(_few(repeated), "doc_id", "left_semi"), "repeated-answers", narrow=True)
+    return out.join(_few(repeated), "doc_id", "left_anti").unionByName(again.select("doc_id").join(_few(answer), "doc_id"))
+
+
+def _answers(documents: DataFrame, how: Scheme) -> DataFrame:
+    """What near_duplicates says of (doc_id, text), where an id is null or stands once."""
     sketch = F.arrow_udf(_sketch(how), SKETCH)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
+    rows = documents.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
     rows = stage(rows, "sketches")
     keyed = ["n", "f1", "f2"]
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    owner = stage(known.groupBy(*keyed).agg(F.min("doc_id").alias("rep")), "classes")
-    classes = known.join(owner.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    classes = stage(classes.select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "representatives")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("text IS NOT NULL")
-    labels = links_between(classes, texts, how)
-    named = owner.join(labels, owner["rep"] == labels["node"], "left").select(*keyed, "rep", F.coalesce("component", "rep").alias("component"))
+    # equal sets have equal sketches
+    classes = known.groupBy(*keyed).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    classes = stage(classes, "classes")
+    texts = documents.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
+    labels = links_between(classes.select("rep", "n", "sig", "bands"), texts, how)
+    owner = classes.select(*keyed, "rep", "rows")
+    named = owner.join(labels, owner["rep"] == labels["node"], "left").select(*keyed, "rows", F.coalesce("component", "rep").alias("component"))
     # hot classes are few: those of more than a thousandth of the rows
     total = rows.count()
-    sizes = known.groupBy(*keyed).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") * 1000 > total)
-    hot = stage(named.join(sizes, keyed).select(*keyed, "component"), "hot-classes", narrow=True)
+    hot = stage(named.filter(F.col("rows") * 1000 > total).select(*keyed, "component"), "hot-classes", narrow=True)
     narrow = rows.select("doc_id", *keyed)
     few = narrow.join(F.broadcast(hot), keyed)
     rest = narrow.join(F.broadcast(hot), keyed, "left_anti").join(named.select(*keyed, "component"), keyed, "left")
@@ -428,19 +452,23 @@ def near_duplicates(documents: DataFrame, similarity: int = SIMILARITY) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), F.when(F.col("doc_id").isNull(), True).otherwise(kept).alias("kept"))
 
 
+@scoped
 def keep_one(documents: DataFrame, similarity: int = STAGE_SIMILARITY) -> DataFrame:
     """The documents that stand for their component over links of ``similarity`` hundredths or more, with their own columns.
 
-    Ids without a duplicate are not joined to texts by a shuffle where the dropped ids are few.
-    Rows with a null doc_id are numbered after the largest id, so that they too are compared, and stay only where no row before them is
-    a near copy. Rows that repeat a kept doc_id all stay.
+    One row of each component stays, that with the smallest doc_id. Rows whose doc_id is null or stands in several rows are
+    numbered after the largest id, so that each is compared as a document of its own, and stay only where no row before them is a near copy.
+    Texts are not shuffled where the dropped ids are few.
     """
     key = "weftline__id"
     rows = documents.withColumn(key, F.col("doc_id").cast("bigint"))
-    if documents.filter("doc_id IS NULL").limit(1).count():
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(f"n > 1 AND {key} IS NOT NULL").select(F.col(key).alias("weftline__again"))
+    repeated = stage(repeated, "repeated-ids", narrow=True)
+    if repeated.limit(1).count() or rows.filter(f"{key} IS NULL").limit(1).count():
         last = rows.agg(F.max(key)).first()[0] or 0
-        unnamed = rows.filter("doc_id IS NULL").withColumn(key, F.monotonically_increasing_id() + F.lit(max(0, last + 1)))
-        rows = rows.filter("doc_id IS NOT NULL").unionByName(stage(unnamed, "unnamed"))
-    gone = stage(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), similarity).filter("NOT kept").select("doc_id").distinct(), "dropped", narrow=True)
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
-    return rows.join(gone.withColumnRenamed("doc_id", "weftline__gone"), F.col(key) == F.col("weftline__gone"), "left_anti").drop(key)
+        again = rows[key].isNull() | F.col("weftline__again").isNotNull()
+        marked = rows.join(_few(repeated), F.col(key) == F.col("weftline__again"), "left").withColumn("weftline__again", again)
+        unclear = marked.filter("weftline__again").drop("weftline__again").withColumn(key, F.monotonically_increasing_id() + F.lit(max(0, last + 1)))
+        rows = marked.filter("NOT weftline__again").drop("weftline__again").unionByName(stage(unclear, "unclear-ids"))
+    gone = stage(near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), similarity).filter("NOT kept").select(F.col("doc_id").alias("weftline__gone")).distinct(), "dropped", narrow=True)
+    return rows.join(_few(gone), F.col(key) == F.col("weftline__gone"), "left_anti").drop(key)

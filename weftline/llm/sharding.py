@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.staging import stage
+from weftline.llm.staging import scoped, stage
 
 ROUNDS = 6
 #: Cycle walking ends when the walk is back in the domain. The network's domain exceeds n by less than its side, so one step in many needs a second one; MAX_WALK is far beyond what can occur, and is checked.
@@ -139,6 +139,7 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("bigint")
 
 
+@scoped
 def shard(df: DataFrame, order: list[Column], n_shards: int, seed: int = 1) -> DataFrame:
     """Adds shard (int, 0 to n_shards - 1) and slot (long, without gaps from 0) to all columns of ``df``.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.labels import is_training, logistic, sample, sigmoid
-from weftline.llm.staging import prepare_workers, stage
+from weftline.llm.staging import prepare_workers, scoped, stage
 from weftline.llm.textvec import NOT_SPACE, Words, chunks, release
 
 #: The bounds of the sample: documents of a class on average, and bytes of text in all; where there are more bytes, documents are thinned by a hash.
@@ -194,6 +194,7 @@ def contrasted(rows: DataFrame) -> list[dict[bytes, float]] | None:
     return [{r["word"].encode(): round(r[f"g{i}"], 6) for r in found if r[f"g{i}"] is not None} for i in range(FOLDS + 1)]
 
 
+@scoped
 def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     """Dictionaries from the whole sample; log-odds and calibration from each fold seen through dictionaries of the others.
 
