@@ -4,8 +4,10 @@ import hashlib
 import re
 
 import duckdb
+import pytest
 
 from weftline.llm import contamination, exact_dedup, licenses, queries
+from weftline.llm.staging import stage
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -153,14 +155,34 @@ def test_index_persists(spark):
     one = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (None, "c")], "doc_id bigint, text string")
     two = spark.createDataFrame([(10, "a  b"), (11, "new"), (None, "null id")], "doc_id bigint, text string")
     exact_dedup.exact_dedup(one, first).count()
-    again = exact_dedup.DigestIndex(spark, first.path, 4)
+    again = exact_dedup.DigestIndex(spark, first.path)
+    assert again.buckets == 4
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(two, again).collect()}
     assert got == {10: (1, False), 11: (11, True), None: (None, False)}
-    assert again.read().count() == 4
-    groups = exact_dedup.groups_of(exact_dedup.digests(two))
-    plan = again.fresh(groups)._jdf.queryExecution().toString().split("Physical Plan")[1]
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
-    assert plan.count("Exchange") == 1  # partial groups are dealt to the index's buckets; the index stays where it is
+    assert again.read().count() == 4 and len(again.runs) == 2
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, first.path, 8)
+
+
+def test_runs_are_read_as_they_are_sorted(spark):
+    """After two appends: one exchange and one sort, both of the batch; the runs stay where and as they are."""
+    index = exact_dedup.fresh_index(spark, 4)
+    batch = lambda a, b: spark.range(a, b).selectExpr("id AS doc_id", "concat('text ', id % 500) AS text")
+    for a, b in ((0, 300), (200, 450)):
+        index.append(exact_dedup.groups_of(exact_dedup.digests(batch(a, b))))
+    groups = stage(exact_dedup.groups_of(exact_dedup.digests(batch(400, 600))), "groups")
+    with index.sorted_scans():
+        plan = index.fresh(groups)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2 and "LeftAnti" in plan
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
+        assert index.fresh(groups).count() == 50
+    for k in range(4):  # more runs than MOST_RUNS become one, and nothing is lost
+        index.append(exact_dedup.groups_of(exact_dedup.digests(batch(450 + 10 * k, 460 + 10 * k))))
+    assert len(index.runs) <= exact_dedup.MOST_RUNS
+    assert index.read().count() == index.read().select("digest").distinct().count() == 490
+    assert exact_dedup.DigestIndex(spark, index.path).read().count() == 490
+    index.close()
+    assert not spark.sql("SHOW TABLES").filter(f"tableName IN ('{list(index.runs.values())}')").count()
 
 
 def test_items_with_a_null_id_count(spark, tmp_path, monkeypatch):

@@ -27,8 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against an index that begins empty."""
-    index = exact_dedup.fresh_index(spark)
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), index)
+    documents = table(spark, sf_dir, "documents")
+    index = exact_dedup.fresh_index(spark, exact_dedup.buckets_for(spark, documents.count()))
+    out = exact_dedup.exact_dedup(documents, index)
+    index.close()
+    return out
 
 
 SQL["op7_exact_dedup"] = r"""
