@@ -164,13 +164,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op10_mixing"] = rf"""
 WITH RECURSIVE d AS (
-    SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
+    SELECT row_number() OVER () AS row, doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
     FROM documents
+), v AS (
+    SELECT word FROM (SELECT unnest(list_distinct(w)) AS word FROM d) WHERE strlen(word) BETWEEN {mixing.SHORTEST} AND {mixing.LONGEST}
+    GROUP BY word HAVING count(*) * {mixing.RARER} <= (SELECT count(*) FROM d) ORDER BY count(*) DESC, word LIMIT {mixing.TOPICS}
+), o AS (
+    SELECT row, first(word ORDER BY n DESC, word) AS topic FROM (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM d) JOIN v USING (word) GROUP BY ALL) GROUP BY row
 ), r AS (
-    SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, 'icense') THEN 'legal'
-           WHEN regexp_matches(text, '[$#%&*]{{3}}') THEN 'symbols' WHEN tokens >= 1000 THEN 'long' ELSE 'prose' END AS topic, tokens
-    FROM d
+    SELECT doc_id, source, lang, coalesce(topic, '(none)') AS topic, tokens FROM d LEFT JOIN o USING (row)
 ), c AS (
     SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM r GROUP BY ALL
 ), t AS (
