@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import contamination, language, mixing, near_dedup, sharding
-from weftline.llm.staging import stage
+from weftline.llm.staging import scoped, stage, sweep
 
 N_SHARDS = 40
 #: Least similarity of near copies, in hundredths.
@@ -58,11 +58,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+@scoped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each staged in the shared folder."""
+    """All stages over documents, each staged in the shared folder until the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, name)
+            sweep(docs)
     return docs
