@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path, docs):
         if name == "language_id":
             want = [r.doc_id for r in language.identify(at).collect() if r.lang_pred != "und" and r.score >= 0.5]
         elif name == "near_dedup":
-            want = [r.doc_id for r in near_dedup.near_duplicates(at).collect() if r.kept]
+            want = {r.doc_id for r in near_dedup.near_duplicates(at).collect() if r.kept}  # one row of each group, of repeated rows too
         elif name == "decontamination":
             want = [r.doc_id for r in contamination.contaminated(at, spark.read.parquet(f"{folder}/benchmark.parquet")).collect() if not r.matches.n_hit]
             assert 15 in before and 15 not in after

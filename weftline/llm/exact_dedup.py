@@ -194,4 +194,5 @@ def exact_dedup(documents: DataFrame, index: DigestIndex, id_col: str = "doc_id"
 
 
 def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
+    """An empty index in the shared folder, deleted with what is staged there."""
     return DigestIndex(spark, new_path(spark, "digest-index"), buckets)

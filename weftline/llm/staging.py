@@ -43,7 +43,10 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, deleted like a staged table."""
+    path = f"{work_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
 
 
 def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
@@ -56,7 +59,6 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.repartition(max(2, 2 * spark.sparkContext.defaultParallelism))
     path = new_path(spark, name)
-    _remember(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
