@@ -116,7 +116,7 @@ def _sketch(how: Scheme):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
-            for data, offs in chunks(texts, 1 << 19):
+            for data, offs in chunks(texts, 1 << 17):
                 first, hashes = shingles(Words(data, offs, NOT_SPACE), WORDS)
                 n = np.diff(first)
                 bins = mix(sketches(first, hashes))
@@ -434,12 +434,10 @@ def _answers(documents: DataFrame, how: Scheme) -> DataFrame:
     rows = stage(rows, "sketches")
     keyed = ["n", "f1", "f2"]
     known = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    # equal sets have equal sketches
-    classes = known.groupBy(*keyed).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
-    classes = stage(classes, "classes")
+    owner = stage(known.groupBy(*keyed).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = known.withColumnRenamed("doc_id", "rep").join(owner.select("rep"), "rep", "left_semi").select("rep", "n", "sig", "bands")
     texts = documents.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
-    labels = links_between(classes.select("rep", "n", "sig", "bands"), texts, how)
-    owner = classes.select(*keyed, "rep", "rows")
+    labels = links_between(stage(classes, "representatives"), texts, how)
     named = owner.join(labels, owner["rep"] == labels["node"], "left").select(*keyed, "rows", F.coalesce("component", "rep").alias("component"))
     # hot classes are few: those of more than a thousandth of the rows
     total = rows.count()

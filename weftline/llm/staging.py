@@ -17,6 +17,7 @@ from typing import Any
 
 from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.functions.workers import ship_package
 
@@ -57,7 +58,7 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     if narrow:
-        df = df.repartition(max(2, 2 * spark.sparkContext.defaultParallelism))
+        df = df.repartition(max(2, 2 * spark.sparkContext.defaultParallelism), *[F.col(f"`{c}`") for c in df.columns])  # by a key, which needs no sort
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
