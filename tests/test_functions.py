@@ -1,3 +1,6 @@
+import datetime
+import math
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,3 +231,109 @@ def test_pandas_frames():
         with pytest.raises(AssertionError):
             assert_pandas_df_equal(a, bad)
     assert_pandas_df_equal(a, c, assert_not_deep=True)
+
+
+D = datetime.datetime
+T0 = D(2024, 2, 29, 13, 45, 59, 123456)
+#: method, input, arguments, keywords, what comes out
+CASES = [
+    ("abs", -2.5, [], {}, 2.5), ("round", 2.345, [2], {}, 2.35), ("cast", "7", ["int"], {}, 7), ("floor", -2.5, [], {}, -3), ("ceil", -2.5, [], {}, -2), ("sqrt", 9.0, [], {}, 3.0),
+    ("exp", 1.0, [], {}, math.e), ("log", 8.0, [2], {}, 3.0), ("log", math.e, [], {}, 1.0), ("sin", 1.0, [], {}, math.sin(1)), ("cos", 1.0, [], {}, math.cos(1)), ("tan", 1.0, [], {}, math.tan(1)),
+    ("pow", 3.0, [2], {}, 9.0), ("sign", -3.0, [], {}, -1.0), ("clip", 7.0, [0.0, 5.0], {}, 5.0), ("is_finite", float("inf"), [], {}, False), ("is_finite", 1.0, [], {}, True),
+    ("fill_null", None, [4], {}, 4), ("fill_null", None, [], {"strategy": "zero"}, 0), ("fill_null", None, [], {"strategy": "one"}, 1), ("fill_nan", float("nan"), [1.5], {}, 1.5),
+    ("is_null", None, [], {}, True), ("is_not_null", 1, [], {}, True), ("is_nan", float("nan"), [], {}, True), ("is_in", 2, [[1, 2]], {}, True), ("is_between", 2, [2, 3], {}, True),
+    ("replace_strict", "a", [["a", "b"], [1, 2]], {}, 1), ("replace_strict", "z", [{"a": 1}], {"default": 9}, 9),
+    ("str.to_lowercase", "Ab", [], {}, "ab"), ("str.to_uppercase", "Ab", [], {}, "AB"), ("str.to_titlecase", "ab cd", [], {}, "Ab Cd"), ("str.replace_all", "a.b.", [".", "-"], {"literal": True}, "a-b-"),
+    ("str.replace", "a1b1", [r"(\d)", "<$1>"], {}, "a<1>b1"), ("str.replace", "xaabb", [r"(a)\1", "${1}!"], {}, "xa!bb"), ("str.replace", "a$b", ["$", r"\$1"], {"literal": True}, r"a\$1b"), ("str.replace", "none", ["z", "y"], {}, "none"),
+    ("str.starts_with", "abc", ["ab"], {}, True), ("str.ends_with", "abc", ["bc"], {}, True), ("str.len_chars", "é", [], {}, 1), ("str.len_bytes", "é", [], {}, 2), ("str.split", "a.b", ["."], {}, ["a", "b"]),
+    ("str.strip_chars_start", "  a ", [], {}, "a "), ("str.strip_chars_end", " a  ", [], {}, " a"), ("str.zfill", "+7", [4], {}, "+007"), ("str.contains", "a.c", ["."], {"literal": True}, True),
+    ("str.to_date", "29/02/24", ["%d/%m/%y"], {}, datetime.date(2024, 2, 29)), ("str.to_date", "2024-02-29", [], {}, datetime.date(2024, 2, 29)), ("str.to_date", "no", ["%Y"], {}, None),
+    ("str.to_datetime", "2024-02-29T13:45:59", ["%Y-%m-%dT%H:%M:%S"], {}, D(2024, 2, 29, 13, 45, 59)), ("str.to_datetime", "2024-02-29 13:45:59.123456", ["%F %T%.f"], {}, T0), ("str.to_datetime", "20240229", ["yyyyMMdd"], {}, D(2024, 2, 29)),
+    ("dt.year", T0, [], {}, 2024), ("dt.month", T0, [], {}, 2), ("dt.quarter", T0, [], {}, 1), ("dt.week", T0, [], {}, 9), ("dt.day", T0, [], {}, 29), ("dt.hour", T0, [], {}, 13), ("dt.minute", T0, [], {}, 45), ("dt.second", T0, [], {}, 59),
+    ("dt.millisecond", T0, [], {}, 123), ("dt.microsecond", T0, [], {}, 123456), ("dt.nanosecond", T0, [], {}, 123456000), ("dt.ordinal_day", T0, [], {}, 60), ("dt.weekday", T0, [], {}, 4), ("dt.date", T0, [], {}, datetime.date(2024, 2, 29)),
+    ("dt.timestamp", T0, [], {}, 1709214359123456), ("dt.timestamp", T0, ["ms"], {}, 1709214359123), ("dt.timestamp", T0, ["ns"], {}, 1709214359123456000), ("dt.timestamp", D(1969, 12, 31, 23, 59, 59, 999500), ["ms"], {}, -1),
+    ("dt.to_string", T0, ["%Y-%m-%d %H:%M"], {}, "2024-02-29 13:45"), ("dt.to_string", T0, ["%d of %B, %j%%"], {}, "29 of February, 060%"), ("dt.to_string", T0, ["yyyy"], {}, "2024"), ("dt.to_string", T0, ["%H:%M:%S%.3f"], {}, "13:45:59.123"),
+    ("dt.truncate", T0, ["1y"], {}, D(2024, 1, 1)), ("dt.truncate", T0, ["1q"], {}, D(2024, 1, 1)), ("dt.truncate", T0, ["1mo"], {}, D(2024, 2, 1)), ("dt.truncate", T0, ["5mo"], {}, D(2023, 10, 1)), ("dt.truncate", T0, ["1w"], {}, D(2024, 2, 26)),
+    ("dt.truncate", T0, ["2w"], {}, D(2024, 2, 19)), ("dt.truncate", T0, ["1d"], {}, D(2024, 2, 29)), ("dt.truncate", T0, ["4d"], {}, D(2024, 2, 27)), ("dt.truncate", T0, ["1h"], {}, D(2024, 2, 29, 13)), ("dt.truncate", T0, ["15m"], {}, D(2024, 2, 29, 13, 45)),
+    ("dt.truncate", T0, ["7s"], {}, D(2024, 2, 29, 13, 45, 53)), ("dt.truncate", T0, ["10ms"], {}, D(2024, 2, 29, 13, 45, 59, 120000)), ("dt.truncate", D(1969, 12, 31, 23, 50), ["1h"], {}, D(1969, 12, 31, 23)), ("dt.truncate", D(1969, 12, 31, 23, 50), ["2d"], {}, D(1969, 12, 30)),
+    ("dt.offset_by", T0, ["1y"], {}, D(2025, 2, 28, 13, 45, 59, 123456)), ("dt.offset_by", T0, ["-1mo2h"], {}, D(2024, 1, 29, 11, 45, 59, 123456)), ("dt.offset_by", T0, ["1d12h1us"], {}, D(2024, 3, 2, 1, 45, 59, 123457)),
+    ("dt.convert_time_zone", T0, ["Asia/Tokyo"], {}, D(2024, 2, 29, 22, 45, 59, 123456)), ("dt.replace_time_zone", T0, ["Asia/Tokyo"], {}, D(2024, 2, 29, 4, 45, 59, 123456)),
+    ("list.len", [1, 2], [], {}, 2), ("list.sort", [2, 1], [], {}, [1, 2]), ("list.unique", [1, 1], [], {}, [1]), ("list.contains", [1, 2], [2], {}, True), ("list.get", [1, 2], [5], {}, None), ("list.max", [1, 2], [], {}, 2), ("list.min", [1, 2], [], {}, 1),
+]
+SPANS = {"days": -1, "hours": -25, "minutes": -1501, "seconds": -90061, "milliseconds": -90061500, "microseconds": -90061500000, "nanoseconds": -90061500000000}
+
+
+def test_column_methods(spark):
+    columns = []
+    for i, (name, value, args, kwargs, _) in enumerate(CASES):
+        given = F.lit(value) if not isinstance(value, list) else F.array(*map(F.lit, value))
+        given = given.cast("int") if value is None else given
+        columns.append(column_method(name)(given, *args, **kwargs).alias(f"c{i}"))
+    got = spark.range(1).select(*columns).first()
+    for (name, value, args, kwargs, want), out in zip(CASES, got, strict=True):
+        out = out.replace(tzinfo=None) if isinstance(out, datetime.datetime) else out
+        assert out == (pytest.approx(want) if isinstance(want, float) else want), (name, value, args, kwargs)
+    span = F.lit(datetime.timedelta(days=-1, hours=-1, minutes=-1, seconds=-1, milliseconds=-500))
+    got = spark.range(1).select(*[column_method(f"dt.total_{k}")(span).alias(k) for k in SPANS]).first()
+    assert got.asDict() == SPANS
+    assert spark.range(1).select(column_method("struct.field")(F.struct(F.lit(3).alias("x")), "x")).first()[0] == 3
+
+
+@pytest.mark.parametrize(
+    ("name", "args"), [("dt.truncate", ["1x"]), ("dt.truncate", ["0d"]), ("dt.truncate", ["1d1h"]), ("dt.truncate", ["month"]), ("dt.to_string", ["%Q"]), ("str.to_date", ["%"]), ("dt.offset_by", ["soon"]), ("dt.timestamp", ["s"]), ("fill_null", []), ("rank", ["best"]), ("str.replace", ["a", "$0"])]
+)
+def test_bad_arguments(spark, name, args):
+    with pytest.raises(ValueError):
+        column_method(name)(F.lit("x"), *args)
+
+
+def test_ordered_methods(spark):
+    rows = [(1, "a", 5.0), (2, "a", None), (3, "a", 5.0), (4, "a", 1.0), (5, "b", 2.0)]
+    df = spark.createDataFrame(rows, "i int, k string, x double")
+
+    def run(name, *args, c="x", **kwargs):
+        out = df.select("i", column_method(name)(col(c), *args, **kwargs).alias("out")).orderBy("i")
+        return [r.out for r in out.collect()]
+
+    by = {"order_by": "i", "partition_by": "k"}
+    assert run("shift", **by) == [None, 5.0, None, 5.0, None] and run("diff", c="i", **by) == [None, 1, 1, 1, None]
+    assert run("cum_sum", **by) == [5.0, 5.0, 10.0, 11.0, 2.0] and run("cum_max", **by) == [5.0, 5.0, 5.0, 5.0, 2.0] and run("cum_min", **by) == [5.0, 5.0, 5.0, 1.0, 2.0]
+    assert run("cum_count", **by) == [1, 1, 2, 3, 1]
+    assert run("rank") == [3.5, None, 3.5, 1.0, 2.0] and run("rank", "max") == [4, None, 4, 1, 2] and run("rank", "min") == [3, None, 3, 1, 2]
+    assert run("rank", "dense", descending=True) == [1, None, 1, 3, 2] and sorted(run("rank", "ordinal"), key=str) == [1, 2, 3, 4, None]
+    assert run("rank", "average", partition_by="k") == [2.5, None, 2.5, 1.0, 1.0] and run("rank", "min", c="k", order_by="i") == [1, 2, 3, 4, 5]
+    assert run("rolling_sum", 2, **by) == [None, None, None, 6.0, None] and run("rolling_sum", 2, min_samples=1, **by) == [5.0, 5.0, 5.0, 6.0, 2.0]
+    assert run("rolling_mean", 2, **by) == [None, None, None, 3.0, None] and run("rolling_min", 2, **by)[3] == 1.0 and run("rolling_max", 2, **by)[3] == 5.0
+    assert run("rolling_var", 2, **by)[3] == 8.0 and run("rolling_std", 2, **by)[3] == pytest.approx(8**0.5)
+    assert run("fill_null", strategy="forward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0] and run("fill_null", strategy="backward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0]
+    assert run("is_duplicated") == [True, False, True, False, False] and run("is_unique") == [False, True, False, True, True]
+
+
+def test_every_method_is_tested():
+    named = {c[0] for c in CASES} | {f"dt.total_{k}" for k in SPANS}
+    text = open(__file__, encoding="utf-8").read()
+    assert not [m for m in COLUMN_METHODS if m not in named and f'"{m}"' not in text]
+
+
+def test_frame_methods(spark):
+    df = spark.createDataFrame([(1, "a", [1, 2]), (2, None, []), (3, "c", None)], "i int, s string, l array<int>")
+    run = lambda m, *a, **k: [tuple(r) for r in frame_method(m)(df, *a, **k).orderBy("i").collect()]
+    assert run("tail", 1, by="i") == [(3, "c", None)] and frame_method("rename")(df, {"s": "t"}).columns == ["i", "t", "l"]
+    assert frame_method("drop")(df, "s", ["l"]).columns == ["i"] and frame_method("select")(df, "l", "i").columns == ["l", "i"]
+    assert run("drop_nulls", "s") == [(1, "a", [1, 2]), (3, "c", None)] and run("drop_nulls") == [(1, "a", [1, 2])]
+    assert [r.n for r in frame_method("with_row_index")(df, "n", order_by="i").orderBy("i").collect()] == [0, 1, 2]
+    assert run("explode", "l") == [(1, "a", 1), (1, "a", 2), (2, None, None), (3, "c", None)]
+    assert run("filter", "i > 1", "s IS NOT NULL") == [(3, "c", None)]
+    assert [r.j for r in frame_method("with_columns")(df, j="i * 2").orderBy("i").collect()] == [2, 4, 6]
+    assert frame_method("null_count")(df).first().asDict() == {"i": 0, "s": 1, "l": 1}
+
+
+def test_comparison_tells_where_nulls_are(spark):
+    one = spark.createDataFrame([("x", None), ("a-b", "c")], "a string, b string")
+    two = spark.createDataFrame([(None, "x"), ("a", "b-c")], "a string, b string")
+    with pytest.raises(AssertionError):
+        compare_dfs(one, two)
+    more, less = compare_dfs(one, two, return_mismatched_rows=True)
+    assert more.count() == less.count() == 2 and compare_dfs(one, one.repartition(3)) == (None, None)
+    nan = spark.createDataFrame([(float("nan"), {"k": 1})], "x double, m map<string,int>")
+    assert compare_dfs(nan, nan) == (None, None)

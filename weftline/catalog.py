@@ -201,7 +201,7 @@ add(
     [
         SelectColumns(columns=["o_orderkey", "o_custkey"]),
         WithColumns(columns="o_orderkey", method="cum_sum", kwargs={"order_by": "o_orderkey", "partition_by": "o_custkey"}, alias="running"),
-        WithColumns(columns="o_orderkey", method="rank", kwargs={"order_by": "o_orderkey", "partition_by": "o_custkey"}, alias="place"),
+        WithColumns(columns="o_orderkey", method="rank", args=["min"], kwargs={"order_by": "o_orderkey", "partition_by": "o_custkey"}, alias="place"),
     ],
     "SELECT o_orderkey, o_custkey, CAST(sum(o_orderkey) OVER w AS BIGINT) AS running, CAST(rank() OVER w AS INTEGER) AS place FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
 )
@@ -678,3 +678,158 @@ def q5_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
     nations.run(lines, verbose=False)
     return TransformerPipeline(steps, store=store).run(lines, verbose=False)
+
+
+def _methods(name: str, table: str, sql: str, *steps: tuple, windows: str = "") -> None:
+    """A query of column methods, each (column, method, alias, arguments, keywords) after the others; columns with a name of one letter and a digit are only on the way."""
+    made = [WithColumns(columns=c, method=m, alias=a, args=list(args), kwargs=kwargs or None) for c, m, a, args, kwargs in steps]
+    out = [a for _, _, a, _, _ in steps if not a[-1].isdigit()]
+    key = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id", "embeddings": "vec_id"}[table]
+    add(f"methods_{name}", table, [*made, SelectColumns(columns=[key, *out])], f"SELECT {key}, {sql} FROM {table} {windows}")
+
+
+def _m(c: str, method: str, alias: str, *args: Any, **kwargs: Any) -> tuple:
+    return c, method, alias, args, kwargs
+
+
+_methods(
+    "math",
+    "customer",
+    "floor(c_acctbal)::BIGINT AS low, ceil(c_acctbal)::BIGINT AS high, round(sqrt(abs(c_acctbal)), 6) AS root, sign(c_acctbal)::DOUBLE AS side, pow(c_acctbal, 2) AS squared,"
+    " CASE WHEN c_acctbal < 0 THEN 0.0 WHEN c_acctbal > 5000 THEN 5000.0 ELSE c_acctbal END AS clipped, isfinite(c_acctbal) AS finite, round(sin(c_acctbal), 6) AS s, round(cos(c_acctbal), 6) AS c,"
+    " CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code",
+    _m("c_acctbal", "floor", "low"),
+    _m("c_acctbal", "ceil", "high"),
+    _m("c_acctbal", "abs", "a1"),
+    _m("a1", "sqrt", "a2"),
+    _m("a2", "round", "root", 6),
+    _m("c_acctbal", "sign", "side"),
+    _m("c_acctbal", "pow", "squared", 2),
+    _m("c_acctbal", "clip", "clipped", 0.0, 5000.0),
+    _m("c_acctbal", "is_finite", "finite"),
+    _m("c_acctbal", "sin", "s1"),
+    _m("s1", "round", "s", 6),
+    _m("c_acctbal", "cos", "c1"),
+    _m("c1", "round", "c", 6),
+    _m("c_mktsegment", "replace_strict", "code", {"BUILDING": 1, "MACHINERY": 2}, default=0),
+)
+_methods(
+    "text",
+    "customer",
+    "upper(c_name) AS up, regexp_replace(c_name, '([a-z])([a-z])', '\\2\\1') AS swapped, starts_with(c_name, 'Cust') AS begins, ends_with(c_name, '7') AS ends, length(c_name)::INTEGER AS chars, strlen(c_name)::INTEGER AS bytes,"
+    " ltrim(c_name, 'Cu') AS cut, rtrim(c_name, '0123456789') AS word, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS title, split_part(c_name, '#', 1) AS first_part, lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS padded",
+    _m("c_name", "str.to_uppercase", "up"),
+    _m("c_name", "str.replace", "swapped", "([a-z])([a-z])", "$2$1"),
+    _m("c_name", "str.starts_with", "begins", "Cust"),
+    _m("c_name", "str.ends_with", "ends", "7"),
+    _m("c_name", "str.len_chars", "chars"),
+    _m("c_name", "str.len_bytes", "bytes"),
+    _m("c_name", "str.strip_chars_start", "cut", "Cu"),
+    _m("c_name", "str.strip_chars_end", "word", "0123456789"),
+    _m("c_mktsegment", "str.to_titlecase", "title"),
+    _m("c_name", "str.split", "p1", "#"),
+    _m("p1", "list.get", "first_part", 0),
+    _m("c_nationkey", "cast", "n1", "string"),
+    _m("n1", "str.zfill", "padded", 4),
+)
+_methods(
+    "dates",
+    "orders",
+    "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS week_start, CAST(make_date(year(o_orderdate) - year(o_orderdate) % 2, 1, 1) AS TIMESTAMP) AS two_years,"
+    " strftime(o_orderdate, '%d.%m.%Y') AS german, CAST(o_orderdate AS DATE) AS back, CAST(o_orderdate AS TIMESTAMP) AS back_time, CAST(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MONTH - INTERVAL 0 DAY AS TIMESTAMP) AS later,"
+    " CAST(quarter(o_orderdate) AS INTEGER) AS q, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(week(o_orderdate) AS INTEGER) AS w, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ms",
+    _m("o_orderdate", "dt.truncate", "month_start", "1mo"),
+    _m("o_orderdate", "dt.truncate", "week_start", "1w"),
+    _m("o_orderdate", "dt.truncate", "two_years", "2y"),
+    _m("o_orderdate", "dt.to_string", "german", "%d.%m.%Y"),
+    _m("german", "str.to_date", "back", "%d.%m.%Y"),
+    _m("german", "str.to_datetime", "back_time", "%d.%m.%Y"),
+    _m("o_orderdate", "dt.offset_by", "later", "1mo"),
+    _m("o_orderdate", "dt.quarter", "q"),
+    _m("o_orderdate", "dt.month", "m"),
+    _m("o_orderdate", "dt.day", "d"),
+    _m("o_orderdate", "dt.week", "w"),
+    _m("o_orderdate", "dt.timestamp", "ms", "ms"),
+)
+_ROWS = {"order_by": "event_id", "partition_by": "user_id"}
+_methods(
+    "windows",
+    "events",
+    "CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS mean, CASE WHEN count(value) OVER w >= 1 THEN CAST(sum(event_id) OVER w AS BIGINT) END AS total,"
+    " rank() OVER k + (count(*) OVER (PARTITION BY user_id, event_type) - 1) / 2 AS place, CAST(rank() OVER k + count(*) OVER (PARTITION BY user_id, event_type) - 1 AS BIGINT) AS last_place,"
+    " event_id - lag(event_id) OVER o AS gap, max(value) OVER c AS highest, min(value) OVER c AS lowest, count(*) OVER (PARTITION BY event_type) = 1 AS only,"
+    " CASE WHEN count(value) OVER w >= 3 THEN max(value) OVER w END AS top",
+    _m("value", "rolling_mean", "mean", 3, **_ROWS),
+    _m("event_id", "rolling_sum", "total", 3, min_samples=1, **_ROWS),
+    _m("event_type", "rank", "place", partition_by="user_id"),
+    _m("event_type", "rank", "last_place", "max", partition_by="user_id"),
+    _m("event_id", "diff", "gap", **_ROWS),
+    _m("value", "cum_max", "highest", **_ROWS),
+    _m("value", "cum_min", "lowest", **_ROWS),
+    _m("event_type", "is_unique", "only"),
+    _m("value", "rolling_max", "top", 3, **_ROWS),
+    windows="WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), c AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),"
+    " o AS (PARTITION BY user_id ORDER BY event_id), k AS (PARTITION BY user_id ORDER BY event_type)",
+)
+_methods(
+    "lists",
+    "embeddings",
+    "CAST(len(embedding) AS INTEGER) AS n, list_max(embedding) AS most, list_min(embedding) AS least, embedding[2] AS second, list_sort(embedding, 'DESC')[1] AS top",
+    _m("embedding", "list.len", "n"),
+    _m("embedding", "list.max", "most"),
+    _m("embedding", "list.min", "least"),
+    _m("embedding", "list.get", "second", 1),
+    _m("embedding", "list.unique", "u1"),
+    _m("u1", "list.len", "u2"),
+    _m("embedding", "list.sort", "s1", descending=True),
+    _m("s1", "list.get", "top", 0),
+)
+add(
+    "window_statistics",
+    "events",
+    [
+        AggregateOverWindow(**_WIN, rows_between=[-3, 0], aggregations=[{"agg": a, "col": "value", "alias": a} for a in ("avg", "mean", "stddev", "variance", "collect_list")]),
+        AggregateOverWindow(partition_cols="user_id", aggregations=[{"agg": "collect_set", "col": "event_type", "alias": "kinds"}]),
+        SparkSqlFunction(column="kinds", function="array_sort", args=["kinds"]),
+        SparkSqlFunction(column="kinds", function="array_join", args=["kinds"], kwargs={"delimiter": ","}),
+        SparkSqlFunction(column="n", function="size", args=["collect_list"]),
+        SelectColumns(columns=["event_id", "avg", "mean", "stddev", "variance", "n", "kinds"]),
+    ],
+    "SELECT event_id, avg(value) OVER w AS avg, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS stddev, var_samp(value) OVER w AS variance, CAST(count(value) OVER w AS INTEGER) AS n, kinds FROM events"
+    " JOIN (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL) GROUP BY 1) USING (user_id)"
+    " WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+)
+for _agg, _sql in (("min", "min(l_quantity)"), ("mean", "avg(l_quantity)"), ("median", "median(l_quantity)")):
+    add(
+        f"pivot_{_agg}",
+        "lineitem",
+        [SelectColumns(columns=["l_returnflag", "l_linestatus", "l_quantity"]), Pivot(pivot_col="l_linestatus", id_cols="l_returnflag", aggregate_function=_agg, values_cols="l_quantity")],
+        f"SELECT l_returnflag, {_sql} FILTER (l_linestatus = 'F') AS F, {_sql} FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY 1",
+    )
+for _agg in ("first", "last"):  # one row a cell, so that the order does not matter
+    add(f"pivot_{_agg}", "nation", [Pivot(pivot_col="n_regionkey", id_cols="n_nationkey", aggregate_function=_agg, values_cols="n_name")], "SELECT n_nationkey, " + ", ".join(f"any_value(n_name) FILTER (n_regionkey = {r}) AS \"{r}\"" for r in range(5)) + " FROM nation GROUP BY 1")
+add("frame_tail", "orders", [SelectColumns(columns=["o_orderkey", "o_totalprice"]), DataFrameMethod(method="tail", args=[7], kwargs={"by": "o_orderkey"})], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 7")
+add("frame_rename", "region", [DataFrameMethod(method="rename", args=[{"r_name": "name"}]), SelectColumns(columns=["r_regionkey", "name"])], "SELECT r_regionkey, r_name AS name FROM region")
+add("frame_explode", "embeddings", [SelectColumns(columns=["vec_id", "embedding"]), DataFrameMethod(method="explode", args=["embedding"])], "SELECT vec_id, unnest(embedding) AS embedding FROM embeddings")
+add("frame_null_count", "orders", [SelectColumns(columns=["o_orderkey", "o_custkey"]), DataFrameMethod(method="null_count")], "SELECT count_if(o_orderkey IS NULL) AS o_orderkey, count_if(o_custkey IS NULL) AS o_custkey FROM orders")
+add("frame_filter", "orders", [SelectColumns(columns=["o_orderkey", "o_custkey"]), DataFrameMethod(method="filter", args=["o_orderkey > 100", "o_custkey < 50"])], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 AND o_custkey < 50")
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    for name in ("md5", "sha1", "sha2"):
+        df = hash_dataframe(df, name, f"h_{name}") if name == "md5" else df.withColumn(f"h_{name}", hash_dataframe(df.select("n_nationkey", "n_name"), name, return_func=True))
+    return df
+
+
+QUERIES["hash_values"] = _hashes
+SQL["hash_values"] = "SELECT n_nationkey, n_name, md5(n_name || '-' || n_nationkey) AS h_md5, sha1(n_name || '-' || n_nationkey) AS h_sha1, sha256(n_name || '-' || n_nationkey) AS h_sha2 FROM nation"
+
+
+def _from_storage(spark: SparkSession, sf_dir: str, store: Storage) -> list:
+    store.set("nations", read_table(spark, sf_dir, "nation"))
+    side = TransformerPipeline([Filter(input_col="n_regionkey", operator="eq", value=1), SelectColumns(columns=["n_nationkey", "n_regionkey"])], branch={"storage": "nations", "end": "join", "how": "inner", "left_on": "r_regionkey", "right_on": "n_regionkey"}, store=store)
+    return [SelectColumns(columns=["r_regionkey", "r_name"]), side, {"store": "joined"}, {"clear": ["nations"]}, SelectColumns(columns=["r_regionkey", "r_name", "n_nationkey"])]
+
+
+add("branch_from_storage", "region", _from_storage, "SELECT r_regionkey, r_name, n_nationkey FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_regionkey = 1")

@@ -62,7 +62,7 @@ def compare_dfs(
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """Raises AssertionError unless columns, types, number of rows and the rows themselves, repetitions included, agree.
 
-    Rows are compared by counts per row hash, on the cluster. With ``return_mismatched_rows`` nothing is raised for rows: the
+    Rows are compared by counts per row, on the cluster: by a hash of the row as JSON, where nulls are written and texts quoted. With ``return_mismatched_rows`` nothing is raised for rows: the
     rows that one side has more often are returned.
     """
     names = as_list(columns)
@@ -77,7 +77,7 @@ def compare_dfs(
     if raise_if_row_number_mismatch and (n1 := df1.count()) != (n2 := df2.count()):
         raise AssertionError(f"rows differ in number: {n1} and {n2}")
     key = "weftline__hash"
-    one, two = (hash_dataframe(d, "md5", key) for d in (df1, df2))
+    one, two = (d.withColumn(key, F.sha2(F.to_json(F.struct(*map(col, d.columns)), {"ignoreNullFields": "false"}), 256)) for d in (df1, df2))
     counted = [d.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, d in enumerate((one, two))]
     both = counted[0].join(counted[1], key, "full").select(key, *[F.coalesce(f"n{i}", F.lit(0)).alias(f"n{i}") for i in (0, 1)])
     if return_mismatched_rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -9,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import dates
 from weftline.functions.selectors import as_list, col
 from weftline.functions.types import cast, resolve
 
@@ -61,9 +63,15 @@ def _replace(every: bool) -> Callable[..., Column]:
     def replace(c: Column, pattern: str, value: str, literal: bool = False) -> Column:
         if every:
             return F.replace(c, F.lit(pattern), F.lit(value)) if literal else F.regexp_replace(c, pattern, value)
-        found = f"(?s)^(.*?)(?:{_escape(pattern) if literal else pattern})"
-        with_ = value.replace("\\", "\\\\").replace("$", "\\$") if literal else value
-        return F.regexp_replace(c, found, "$1" + with_)
+        # what stands before the first match is group 1, so that the pattern's own groups are one further
+        own = _escape(pattern) if literal else re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9]\d*)", lambda m: f"{m[1]}\\{int(m[2]) + 1}", pattern)
+        if literal:
+            with_ = value.replace("\\", "\\\\").replace("$", "\\$")
+        else:
+            with_ = re.sub(r"(?<!\\)\$(?:\{(\d+)\}|(\d+))", lambda m: f"${int(m[1] or m[2]) + 1}" if int(m[1] or m[2]) else "__ALL__", value)
+            if "__ALL__" in with_:
+                raise ValueError("'$0' is not supported: put the pattern in a group")
+        return F.regexp_replace(c, f"(?s)^(.*?)(?:{own})", "$1" + with_)
 
     return replace
 
@@ -94,10 +102,50 @@ def _over(function: Callable[..., Column]) -> Callable[..., Column]:
 
 
 def _rolling(name: str) -> Callable[..., Column]:
-    return _over(lambda c, w, window_size: getattr(F, name)(c).over(w.rowsBetween(1 - window_size, 0)))
+    """Over the last ``window_size`` rows; null where fewer than ``min_samples`` of them, by default all, have a value."""
 
+    def run(c: Column, w: Any, window_size: int, min_samples: int | None = None) -> Column:
+        w = w.rowsBetween(1 - window_size, 0)
+        return F.when(F.count(c).over(w) >= (window_size if min_samples is None else min_samples), getattr(F, name)(c).over(w))
+
+    return _over(run)
+
+
+RANKS = ("average", "min", "max", "dense", "ordinal")
+
+
+def _rank(c: Column, method: str = "average", order_by: Any = None, partition_by: Any = None, descending: bool = False) -> Column:
+    """The rank of each value, from 1, among those of its partition, or that of the rows by ``order_by``; nulls have none."""
+    if method not in RANKS:
+        raise ValueError(f"rank method '{method}'; known are {RANKS}")
+    keys, order = [col(x) for x in as_list(partition_by)], [col(x) for x in as_list(order_by)] or [c]
+    known = c.isNotNull()
+    w = Window.partitionBy(*keys, known).orderBy(*[x.desc() if descending else x.asc() for x in order])
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, known, *order))
+    lowest = F.rank().over(w)
+    ranks = {"average": lambda: lowest + (ties - 1) / 2, "min": lambda: lowest, "max": lambda: lowest + ties - 1, "dense": lambda: F.dense_rank().over(w), "ordinal": lambda: F.row_number().over(w)}
+    return F.when(known, ranks[method]())
+
+
+def _fill_null(c: Column, value: Any = None, strategy: str | None = None, order_by: Any = None, partition_by: Any = None) -> Column:
+    """``value``, or the value before (``forward``) or after (``backward``) in the order given, or ``zero`` or ``one``."""
+    if (value is None) == (strategy is None):
+        raise ValueError("give either 'value' or 'strategy'")
+    if strategy is None:
+        return F.coalesce(c, F.lit(value))
+    if strategy in ("zero", "one"):
+        return F.coalesce(c, F.lit(0 if strategy == "zero" else 1))
+    if strategy not in ("forward", "backward"):
+        raise ValueError(f"strategy '{strategy}'; known are forward, backward, zero and one")
+    near = F.last if strategy == "forward" else F.first
+    frame = (Window.unboundedPreceding, 0) if strategy == "forward" else (0, Window.unboundedFollowing)
+    return _over(lambda c, w: near(c, ignorenulls=True).over(w.rowsBetween(*frame)))(c, order_by=order_by, partition_by=partition_by)
+
+
+def _alike(c: Column, partition_by: Any = None) -> Column:
+    """How many rows have the value; null is a value."""
+    return F.count(F.lit(1)).over(Window.partitionBy(*[col(x) for x in as_list(partition_by)], c))
 
-_RANKS = {"min": F.rank, "dense": F.dense_rank, "ordinal": F.row_number}
 
 COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "abs": F.abs,
@@ -115,7 +163,7 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "sign": F.signum,
     "clip": _clip,
     "is_finite": lambda c: ~F.isnan(c) & ~c.isin(float("inf"), float("-inf")),
-    "fill_null": lambda c, value: F.coalesce(c, F.lit(value)),
+    "fill_null": _fill_null,
     "fill_nan": lambda c, value=None: F.when(F.isnan(c), F.lit(value)).otherwise(c),
     "is_null": lambda c: c.isNull(),
     "is_not_null": lambda c: c.isNotNull(),
@@ -128,11 +176,16 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "cum_sum": _over(lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
     "cum_max": _over(lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
     "cum_min": _over(lambda c, w: F.min(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
-    "rank": _over(lambda c, w, method="min": _RANKS[method]().over(w)),
+    "rank": _rank,
+    "is_duplicated": lambda c, partition_by=None: _alike(c, partition_by) > 1,
+    "is_unique": lambda c, partition_by=None: _alike(c, partition_by) == 1,
+    "cum_count": _over(lambda c, w: F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
     "rolling_sum": _rolling("sum"),
     "rolling_mean": _rolling("avg"),
     "rolling_min": _rolling("min"),
     "rolling_max": _rolling("max"),
+    "rolling_std": _rolling("stddev_samp"),
+    "rolling_var": _rolling("var_samp"),
     "str.strip_chars": _strip("both"),
     "str.strip_chars_start": _strip("start"),
     "str.strip_chars_end": _strip("end"),
@@ -151,8 +204,8 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "str.len_bytes": F.octet_length,
     "str.split": lambda c, by: F.split(c, _escape(by)),
     "str.zfill": _zfill,
-    "str.to_date": lambda c, format=None: F.try_to_date(c, format) if format else c.try_cast("date"),
-    "str.to_datetime": lambda c, format=None: F.try_to_timestamp(c, F.lit(format)) if format else c.try_cast("timestamp"),
+    "str.to_date": lambda c, format=None: F.try_to_date(c, dates.pattern(format)) if format else c.try_cast("date"),
+    "str.to_datetime": lambda c, format=None: F.try_to_timestamp(c, F.lit(dates.pattern(format))) if format else c.try_cast("timestamp"),
     "dt.year": F.year,
     "dt.month": F.month,
     "dt.quarter": F.quarter,
@@ -164,8 +217,21 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "dt.ordinal_day": F.dayofyear,
     "dt.weekday": lambda c: F.weekday(c) + 1,
     "dt.date": F.to_date,
-    "dt.to_string": lambda c, format: F.date_format(c, format),
-    "dt.truncate": lambda c, every: F.date_trunc(every, c),
+    "dt.millisecond": dates.part_of_second(1000),
+    "dt.microsecond": dates.part_of_second(1_000_000),
+    "dt.nanosecond": dates.part_of_second(1_000_000_000),
+    "dt.timestamp": dates.epoch,
+    "dt.to_string": lambda c, format: F.date_format(c, dates.pattern(format)),
+    "dt.truncate": dates.truncate,
+    "dt.offset_by": dates.offset_by,
+    "dt.replace_time_zone": lambda c, time_zone: F.to_utc_timestamp(c, time_zone),
+    "dt.total_days": dates.total(86_400_000_000),
+    "dt.total_hours": dates.total(3_600_000_000),
+    "dt.total_minutes": dates.total(60_000_000),
+    "dt.total_seconds": dates.total(1_000_000),
+    "dt.total_milliseconds": dates.total(1000),
+    "dt.total_microseconds": dates.total(1),
+    "dt.total_nanoseconds": dates.total(0.001),
     "dt.convert_time_zone": lambda c, time_zone: F.convert_timezone(F.lit("UTC"), F.lit(time_zone), c),
     "list.len": F.size,
     "list.sort": lambda c, descending=False: F.sort_array(c, not descending),
@@ -174,6 +240,7 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "list.get": lambda c, index: F.get(c, F.lit(index)),
     "list.max": F.array_max,
     "list.min": F.array_min,
+    "struct.field": lambda c, name: c.getField(name),
 }
 
 
@@ -325,6 +392,9 @@ FRAME_METHODS: dict[str, Callable[..., DataFrame]] = {
     "with_row_index": lambda df, name="index", order_by=None: _row_index(df, name, order_by),
     "join_asof": _join_asof,
     "clear": lambda df: df.limit(0),
+    "filter": lambda df, *predicates: df.filter(reduce(lambda a, b: a & b, [F.expr(p) for p in predicates])),
+    "with_columns": lambda df, **columns: df.withColumns({c: F.expr(e) for c, e in columns.items()}),
+    "null_count": lambda df: df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in df.columns]),
 }
 
 
