@@ -23,8 +23,8 @@ from weftline.llm.staging import prepare_workers, scoped, stage
 from weftline.llm.textvec import ALNUM, Words, chunks, release
 
 WINDOW = 10
-#: Bytes of text of a shard; a longer document is in a shard with those before it.
-SHARD_BYTES = 8 << 20
+#: Bytes of text of a shard; a longer document is in a shard with those before it. Sorting holds some twenty bytes for each of them.
+SHARD_BYTES = 2 << 20
 #: Bytes of test text that a pass over the documents searches, so that what the driver and a task hold is bounded; about twice that is held.
 PART_BYTES = 16 << 20
 #: Pairs that are expanded at once.
@@ -46,15 +46,8 @@ class TestSet:
     vocabulary: np.ndarray  # sorted hashes
     words: np.ndarray  # place in the vocabulary plus 1 of the words of all items, each item followed by 0
     first: np.ndarray  # where each item begins, and the end
-    window: int
-
-    def suffixes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each searched suffix begins, and how many words must match: the window, or the whole of a shorter item."""
-        n = np.diff(self.first) - 1
-        need = np.minimum(n, self.window)
-        count = np.where(n > 0, n - need + 1, 0)
-        at = np.repeat(self.first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return at, np.repeat(need, count)
+    suffix: np.ndarray  # where each searched suffix begins
+    need: np.ndarray  # how many of its words must match: the window, or the whole of a shorter item
 
     def item(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -69,7 +62,11 @@ def test_set(names: list[str | None], items: list[bytes], window: int = WINDOW)
     inside = np.ones(first[-1], bool)
     inside[first[1:] - 1] = False
     words[inside] = code + 1
-    return TestSet(names, vocabulary, words, first, window)
+    n = sizes - 1
+    need = np.minimum(n, window)
+    count = np.where(n > 0, n - need + 1, 0)
+    suffix = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return TestSet(names, vocabulary, words, first, suffix.astype(np.int32), np.repeat(need, count).astype(np.int16))
 
 
 def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -100,24 +97,25 @@ class Shard:
     def __init__(self, hash: np.ndarray, count: np.ndarray):
         self.count = count
         self.start = np.concatenate([[0], np.cumsum(count + 1)])[:-1]  # a text's first word; one 0 follows each text, so that no match crosses texts
-        self.place = np.repeat(self.start - (np.cumsum(count) - count), count) + np.arange(len(hash))
         self.length = 1
-        self._sort(hash, self.place)
+        self._sort(hash, (np.repeat(self.start - (np.cumsum(count) - count), count) + np.arange(len(hash))).astype(np.int32))
 
     def _sort(self, key: np.ndarray, at: np.ndarray) -> None:
         """The array of the suffixes that begin at ``at``, in the order of their keys; ``rank`` is from 1, and 0 for other places."""
-        order = np.argsort(key)
-        key = key[order]
+        order = np.argsort(key).astype(np.int32)
+        key, self.array = key[order], at[order]
+        del order
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        self.array, self.keys, self.head = at[order], key[new], np.append(np.flatnonzero(new), len(key))
+        self.keys, self.head = key[new], np.append(np.flatnonzero(new), len(key)).astype(np.int32)
+        del key
         self.rank = np.zeros(int(self.count.sum()) + len(self.count), np.int32)
-        self.rank[self.array] = np.cumsum(new)
+        self.rank[self.array] = np.cumsum(new, dtype=np.int32)
 
     def double(self) -> None:
         """Sorts by twice as many words; suffixes that a text ends within leave."""
         second = _ahead(self.rank, self.length)
-        live = np.flatnonzero((self.rank > 0) & (second > 0))
+        live = np.flatnonzero((self.rank > 0) & (second > 0)).astype(np.int32)
         self._sort(self.pair(self.rank[live], second[live]), live)
         self.length *= 2
 
@@ -133,7 +131,7 @@ class Shard:
 
     def occurrences(self, tests: TestSet) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each number of words that must match: it, the places of this shard where a window stands, the window's number, and the windows' numbers and places in the test set."""
-        at, need = tests.suffixes()
+        at, need = tests.suffix, tests.need
         found = np.concatenate([np.zeros(1, np.int32), self.find(tests.vocabulary)])[tests.words]
         while True:
             lengths = [int(k) for k in np.unique(need) if self.length <= k < 2 * self.length]
