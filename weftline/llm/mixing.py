@@ -38,21 +38,23 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         for data, offs in chunks(batch.column(0), 1 << 20):
             w = Words(data, offs, ALNUM)
-            order = np.lexsort((w.doc(), w.hash))
-            key, doc = w.hash[order], w.doc()[order]
-            word = np.ones(len(order), bool)
+            fits = np.flatnonzero((w.end - w.start >= SHORTEST) & (w.end - w.start <= LONGEST))
+            key, doc = w.hash[fits], w.doc()[fits]
+            order = np.argsort(key)
+            key = key[order]
+            word = np.ones(len(key), bool)
             word[1:] = key[1:] != key[:-1]
-            new = word.copy()
-            new[1:] |= doc[1:] != doc[:-1]
-            first = np.flatnonzero(word)
-            held = np.add.reduceat(new, first) if len(first) else np.zeros(0, np.int64)
-            size = (w.end - w.start)[order[first]]
-            fits = (size >= SHORTEST) & (size <= LONGEST)
-            at, size = w.start[order[first]][fits], size[fits]
+            number = np.cumsum(word) - 1
+            pairs = np.sort(number * (len(offs) - 1) + doc[order])  # each word's documents
+            new = np.ones(len(pairs), bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            first = fits[order[word]]
+            held = np.bincount(pairs[new] // max(1, len(offs) - 1), minlength=len(first))
+            at, size = w.start[first], (w.end - w.start)[first]
             ends = np.concatenate([[0], np.cumsum(size)])
             raw = w.bytes[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
             texts = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([texts, pa.array(held[fits].astype(np.int64))], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([texts, pa.array(held.astype(np.int64))], ["word", "n"])
         release()
 
 
@@ -76,7 +78,7 @@ def topic_and_tokens(text: Column, topics: list[str]) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             topic, tokens = [np.zeros(0, object)], [np.zeros(0, np.int64)]
-            for data, offs in chunks(texts, 1 << 20):
+            for data, offs in chunks(texts):
                 n = len(offs) - 1
                 tokens.append(Words(data, offs, NOT_SPACE).count)
                 best = np.full(n, len(topics))
