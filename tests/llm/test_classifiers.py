@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -183,3 +184,98 @@ def test_toxicity_of_ties_repeats_and_long_words(spark):
     assert all(len(v) == 1 for v in by.values()) and by[9001] == by[0]
     assert max(by[9002]) < 0.5 < min(by[9003])
     assert [r.held_out for r in got if r.doc_id is None] == [True]
+
+
+def test_word_vectors_and_pooling_are_as_defined(spark):
+    texts = [None, "", " \n", "One two -- TWO two, é́!! THREE three three", "a", "x " * 3 + "\x0b x\x00y", prose(5, 60), "STONE RIVER stone... river?! " * 5]
+    single = lambda t: int(quality.tokens(*_flat([t]))[0][0])
+
+    def read(text):
+        """(row, in capitals, repeats the one before) of each token."""
+        out = []
+        for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+", (text or "").encode()):
+            row = single(re.sub(rb"[A-Z]", lambda m: m[0].lower(), t).decode("latin-1").encode("latin-1").decode("utf-8"))
+            out.append((row, bool(re.fullmatch(rb"[A-Z]{2,}", t)), bool(out) and out[-1][0] == row))
+        return out
+
+    index = quality.index_vectors()
+    table = np.zeros((quality.ROWS, quality.DIMENSIONS))
+    for t in texts:
+        read_ = read(t)
+        for i, (row, capitals, again) in enumerate(read_):
+            for j in range(max(0, i - 2), min(len(read_), i + 3)):
+                if j != i:
+                    table[row] += index[read_[j][0]]
+            table[row] += index[quality.CAPITALS] * capitals + index[quality.REPEATED] * again
+    want = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    vectors = quality.word_vectors(df)
+    assert np.allclose(vectors, want, atol=1e-6)
+    got = quality.pool(vectors, *quality.tokens(*_flat([t or "" for t in texts])), len(texts))
+    for x, t in zip(got, texts, strict=True):
+        own = read(t)
+        n = max(1, len(own))
+        v = np.array([want[r] for r, _, _ in own]).reshape(-1, quality.DIMENSIONS)
+        mean = v.sum(axis=0) / n
+        spread = np.sqrt(np.maximum((v**2).sum(axis=0) / n - mean**2, 0))
+        rest = [np.linalg.norm(mean), sum(c for _, c, _ in own) / n, sum(a for _, _, a in own) / n, len({r for r, _, _ in own}) / n, np.log1p(len(own))]
+        assert np.allclose(x, [*mean, *spread, *rest], atol=1e-3)
+
+
+def test_a_training_step_follows_the_gradient(monkeypatch):
+    """After one step of Adam from the same start, each weight has moved by the rate against the sign of a numeric gradient."""
+    rng = np.random.default_rng(3)
+    x, y, weight = rng.normal(size=(25, 4)), rng.integers(0, 2, 25).astype(float), rng.uniform(1, 2, 25)
+    monkeypatch.setattr(quality, "DECAY", 0.0)
+    monkeypatch.setattr(quality, "EPOCHS", 0)
+    start = quality.fit(x, y, weight)
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    after = quality.fit(x, y, weight)
+    use = np.random.default_rng(quality.SEED).permutation(25)[5:]
+
+    def loss(w2):
+        net = quality.Network(start.center, start.scale, start.w1, start.b1, w2, start.b2)
+        q = 1 / (1 + np.exp(-net.logits(x[use])))
+        return -(weight[use] * (y[use] * np.log(q) + (1 - y[use]) * np.log(1 - q))).sum()
+
+    for i in range(quality.HIDDEN):
+        step = np.zeros(quality.HIDDEN)
+        step[i] = 1e-5
+        slope = loss(start.w2 + step) - loss(start.w2 - step)
+        assert after.w2[i] - start.w2[i] == pytest.approx(-quality.RATE * np.sign(slope), rel=1e-3)
+
+
+def test_languages_are_those_of_the_shortest_code(spark):
+    rng = random.Random(6)
+    words = {"aa": "mala kasa tola".split(), "bb": "mola kesi tuli".split(), "cc": "xyz zzy".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 8))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 12)]
+    rows += [(100, None, "aa"), (101, "12 34", "bb"), (102, "", "cc"), (103, "MALA kesi", None), (104, "q", None), (105, "mala", "aa"), (105, "mala", "aa")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    counts = {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and not held(i, 5, 0):
+            b = b"\0\0\0" + t.lower().encode()
+            for k in range(3, len(b)):
+                for n in range(4):
+                    seen = counts.setdefault(lang, {}).setdefault(b[k - n : k], {})
+                    seen[b[k]] = seen.get(b[k], 0) + 1
+
+    def bits(lang, context, symbol):
+        seen = counts[lang].get(context)
+        if seen and symbol in seen:
+            return -np.log2(seen[symbol] / (sum(seen.values()) + len(seen)))
+        escape = -np.log2(len(seen) / (sum(seen.values()) + len(seen))) if seen else 0.0
+        return escape + (bits(lang, context[1:], symbol) if context else 8.0)
+
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert len(got) == len(rows) - 1
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        b = b"\0\0\0" + t.lower().encode()
+        length = {lang: sum(bits(lang, b[k - 3 : k], b[k]) for k in range(3, len(b))) for lang in sorted(counts)}
+        best = min(length, key=lambda lang: (length[lang], lang))
+        n = len(b) - 3
+        score = 1 / sum(2 ** (-(x - length[best]) * min(n, 32) / n) for x in length.values())
+        assert got[i].lang_pred == best and got[i].score == pytest.approx(score, abs=2e-3) and got[i].held_out == held(i, 5, 0)

@@ -4,7 +4,7 @@ Every token has a fixed sparse random index vector; a token's word vector is the
 neighbours over the whole corpus. A document is the pooled vectors of its tokens, which a network of two layers in numpy
 turns into a probability, calibrated by a temperature.
 
-Tokens are words, runs of punctuation, and marks for words in capitals, for repetition and for the ends of lines. Token types are hashed to
+Tokens are words and runs of punctuation; marks tell words in capitals and repetition. Token types are hashed to
 a fixed number of rows, so that the table of word vectors has the same size for any corpus.
 """
 
@@ -36,7 +36,7 @@ _KIND = np.where(WORDLIKE, 1, np.where(NOT_SPACE, 2, 0)).astype(np.uint8)
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 #: Rows of the marks, before those of hashed tokens.
-CAPITALS, REPEATED, LINE_END = 0, 1, 2
+CAPITALS, REPEATED = 0, 1
 MARKS = 8
 
 
