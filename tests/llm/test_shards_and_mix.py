@@ -42,7 +42,7 @@ def test_copies_of_one_row_spread(spark):
     assert sorted(r.weftline__row for r in parts.collect()) == list(range(5000))
 
 
-def test_mix(docs, none):
+def test_mix(docs, none, monkeypatch):
     rows = mixing.described(docs)
     got = mixing.mix(rows).collect()
     assert len(got) == docs.count() and all(0 <= r.probability <= 1 for r in got)
@@ -52,12 +52,14 @@ def test_mix(docs, none):
     key = lambda r: (r.doc_id, r.source, r.lang, r.topic)
     a, b = ({key(r): (r.weight, r.probability) for r in x} for x in (got, tables))
     assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=1e-12, abs=1e-14) for k in a)
+    monkeypatch.setattr(mixing, "ROUNDS", 6)
     for share in (0.0, 0.3, 1.0):  # given targets, and shares at the ends, are the same either way too
         targets = {d: dict.fromkeys({r[d] for r in got}, 0.0) for d in mixing.DIMENSIONS}
         targets = {d: {v: (i + 1) * 2 / len(t) / (len(t) + 1) for i, v in enumerate(sorted(t))} for d, t in targets.items()}
         with pytest.warns(UserWarning, match="margins"):
             a, b = ({key(r): (r.weight, r.probability, r.kept) for r in mixing.mix(rows, targets, share, most).collect()} for most in (mixing.MAX_CELLS, 0))
         assert set(a) == set(b) and all(a[k] == pytest.approx(b[k], rel=1e-9, abs=1e-12) for k in a)
+    monkeypatch.undo()
     assert mixing.mix(mixing.described(none)).count() == 0
     kept = mixing.sample(docs)
     assert kept.columns == docs.columns
