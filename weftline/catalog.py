@@ -755,12 +755,12 @@ _ROWS = {"order_by": "event_id", "partition_by": "user_id"}
 _methods(
     "windows",
     "events",
-    "CASE WHEN count(value) OVER w >= 3 THEN round(avg(value) OVER w, 4) END AS mean, CASE WHEN count(value) OVER w >= 1 THEN CAST(sum(event_id) OVER w AS BIGINT) END AS total,"
+    "CASE WHEN count(value) OVER w >= 3 THEN round(avg(value) OVER w, 7) END AS mean, CASE WHEN count(value) OVER w >= 1 THEN CAST(sum(event_id) OVER w AS BIGINT) END AS total,"
     " rank() OVER k + (count(*) OVER (PARTITION BY user_id, event_type) - 1) / 2 AS place, CAST(rank() OVER k + count(*) OVER (PARTITION BY user_id, event_type) - 1 AS BIGINT) AS last_place,"
     " event_id - lag(event_id) OVER o AS gap, max(value) OVER c AS highest, min(value) OVER c AS lowest, count(*) OVER (PARTITION BY event_type) = 1 AS only,"
     " CASE WHEN count(value) OVER w >= 3 THEN max(value) OVER w END AS top",
     _m("value", "rolling_mean", "m1", 3, **_ROWS),
-    _m("m1", "round", "mean", 4),
+    _m("m1", "round", "mean", 7),
     _m("event_id", "rolling_sum", "total", 3, min_samples=1, **_ROWS),
     _m("event_type", "rank", "place", partition_by="user_id"),
     _m("event_type", "rank", "last_place", "max", partition_by="user_id"),
@@ -794,10 +794,10 @@ add(
         SparkSqlFunction(column="kinds", function="array_sort", args=["kinds"]),
         SparkSqlFunction(column="kinds", function="array_join", args=["kinds"], kwargs={"delimiter": ","}),
         SparkSqlFunction(column="n", function="size", args=["collect_list"]),
-        WithColumns(columns=["avg", "mean", "stddev", "variance"], method="round", args=[4]),
+        WithColumns(columns=["avg", "mean", "stddev", "variance"], method="round", args=[7]),
         SelectColumns(columns=["event_id", "avg", "mean", "stddev", "variance", "n", "kinds"]),
     ],
-    "SELECT event_id, round(avg(value) OVER w, 4) AS avg, round(avg(value) OVER w, 4) AS mean, round(stddev_samp(value) OVER w, 4) AS stddev, round(var_samp(value) OVER w, 4) AS variance, CAST(count(value) OVER w AS INTEGER) AS n, kinds FROM events"
+    "SELECT event_id, round(avg(value) OVER w, 7) AS avg, round(avg(value) OVER w, 7) AS mean, round(stddev_samp(value) OVER w, 7) AS stddev, round(var_samp(value) OVER w, 7) AS variance, CAST(count(value) OVER w AS INTEGER) AS n, kinds FROM events"
     " JOIN (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IS NOT NULL) GROUP BY 1) USING (user_id)"
     " WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
 )
