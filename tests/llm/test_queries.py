@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9": "doc_id size text_crc32 law shard slot grown_shard",
     "op10": "doc_id kept",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 

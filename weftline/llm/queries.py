@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline, over whole tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and pipeline, over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, contamination, exact_dedup, language, licenses, mixing, near_dedup, quality, sharding, toxicity
+from weftline.llm import chat, contamination, exact_dedup, language, licenses, manifest, mixing, near_dedup, periodic, pieces, quality, sharding, toxicity
 
 N_SHARDS = 40
 
@@ -255,3 +255,36 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; learned from the labels of those that are not held out."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, one in ten with a periodic end."""
+    documents = table(spark, sf_dir, "documents")
+    return periodic.summary(periodic.periodic_runs(documents.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+SQL["op11_periodic_runs"] = periodic.runs_sql()
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, encoded with an end id, and decoded."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return pieces.digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; half of them, by crc32 of the id, tampered with by deleting line ends."""
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit("")))
+    out = manifest.manifest(table(spark, sf_dir, "documents"), tampered)
+    folded = manifest.fold(F.coalesce("altered", "leaf"), F.col("path"))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op13_merkle_manifest"] = manifest.manifest_sql()
