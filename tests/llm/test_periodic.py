@@ -89,7 +89,7 @@ def planted(doc_id, words):
 
 
 def test_query_columns(spark, docs, none):
-    rows = [(i, " ".join(random.Random(i).choice("abcdefgh") for _ in range(i % 250))) for i in range(400)]
+    rows = [(i, " ".join(random.Random(i).choices("abcdefgh", k=i % 250))) for i in range(400)]
     rows += [(7, "a b " * 30), (7, "a b " * 30), (None, "a b " * 30), (900, None), (901, " \n\t "), (902, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in ("runs", "collapsed", "start", "period", "n_words")}).repartition(3)
     out = periodic.summary(periodic.periodic_runs(df.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text")))))
