@@ -43,11 +43,11 @@ def rows_of(df):
     return sorted((r.doc_id is None, r.doc_id or 0, list(r.ids), r.text) for r in df.collect())
 
 
-@pytest.mark.parametrize(("batch", "unit", "buckets"), [(1 << 23, 1 << 25, None), (2000, 5000, 3), (1, 1, 1)])
-def test_equals_the_library(spark, docs, model, library, batch, unit, buckets):
+@pytest.mark.parametrize(("unit", "buckets"), [(1 << 25, None), (5000, 3), (1, 1)])
+def test_equals_the_library(spark, docs, model, library, unit, buckets):
     given = [(i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (3, "a"), (3, "a"), (100, None)]
     rows = spark.createDataFrame(given, "doc_id bigint, text string").unionByName(docs.select("doc_id", "text")).withColumns({c: F.lit("x") for c in ("ids", "unit", "batch", "bucket", "words", "size")})
-    got = rows_of(pieces.decode(pieces.encode(rows.repartition(3), model, True, buckets, batch, unit), model))
+    got = rows_of(pieces.decode(pieces.encode(rows.repartition(3), model, True, buckets, unit), model))
     want = []
     for r in rows.select("doc_id", "text").collect():
         ids = library.encode(r.text or "", add_eos=True)

@@ -4,10 +4,10 @@ Where no piece of a model holds a marker of white space behind another character
 it. A text then falls into chunks, each of markers and a word, whose pieces do not depend on what stands around them.
 Each distinct chunk is segmented once; texts are put together from the ids of their chunks by position.
 
-The texts are read once. A unit of them, whole texts of UNIT_BYTES together, leaves for each batch its texts as numbers of
+The texts are read once. A unit of them, whole texts of UNIT_BYTES together, leaves its texts as numbers of
 distinct chunks, the most frequent ones first, and these chunks, packed, in buckets by their hash. A bucket holds the chunks of all
-batches that hash to it and segments them; the answers go back to the unit that asked. As a batch asks for a chunk once,
-no chunk can have more than one in a batch's distinct chunks of all requests, however frequent it is in the texts. Units are
+units that hash to it and segments them; the answers go back to the unit that asked. As a unit asks for a chunk once,
+a chunk is at most one of a unit's distinct chunks in all requests, however frequent it is in the texts. Units are
 staged by unit, so that only the packed requests and answers are shuffled, not the texts.
 """
 
@@ -30,8 +30,10 @@ from weftline.llm.textvec import chunks, mix, release
 
 #: Fixed value: the marker that stands for a space.
 MARKER = "▁"
-#: Bytes of text of which the distinct chunks are listed together, and of a unit of such batches; a longer text is a unit alone.
-BATCH_BYTES, UNIT_BYTES = 1 << 23, 1 << 25
+#: Bytes of text of which the distinct chunks are listed together; a longer text is a unit alone.
+UNIT_BYTES = 1 << 25
+#: Bytes of text that are split into chunks at a time, but for a longer text, and ids that are put together at a time.
+SPLIT_BYTES, JOINED_IDS = 1 << 22, 1 << 20
 #: Most units of a task.
 UNITS = 1 << 20
 
@@ -124,22 +126,23 @@ def _bucket(words: pa.Array, n: int) -> np.ndarray:
     return (mix(each[offs[1:] - offs[0]] - each[offs[:-1] - offs[0]] + sizes.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-TABLE = "unit BIGINT, batch INT, bucket INT, doc_id BIGINT, size INT, ranks BINARY, words BINARY"
-_TABLE = pa.schema([("unit", pa.int64()), ("batch", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int32()), ("ranks", pa.binary()), ("words", pa.binary())])
+TABLE = "unit BIGINT, bucket INT, doc_id BIGINT, ranks BINARY, words BINARY"
+_TABLE = pa.schema([("unit", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("ranks", pa.binary()), ("words", pa.binary())])
 
 
-def _tables(n_buckets: int, batch_bytes: int, unit_bytes: int):
-    """Batches of (doc_id, text) to rows of TABLE: a text's chunk numbers, and the requests of each batch and bucket."""
+def _tables(n_buckets: int, unit_bytes: int):
+    """Batches of (doc_id, text) to rows of TABLE: a text's chunk numbers, and the requests of each unit and bucket."""
 
-    def told(unit: int, batch: int, ids: list, data: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-        array, first = split(data, offs)
-        coded = array.dictionary_encode()
+    def told(unit: int, parts: list[tuple[list, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        coded = pa.concat_arrays([array for _, array, _ in parts]).dictionary_encode()
         code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        numbers = rank[code] if len(code) else np.zeros(0, np.uint32)
-        rows = [(unit, batch, None, i, int(b - a), pack(numbers[a:b]), None) for i, a, b in zip(ids, first[:-1], first[1:], strict=True)]
+        rows, at = [], 0
+        for ids, array, first in parts:
+            rows += [(unit, None, i, pack(rank[code[at + a : at + b]]), None) for i, a, b in zip(ids, first[:-1], first[1:], strict=True)]
+            at += len(array)
         words = words.take(pa.array(order))
         bucket = _bucket(words, n_buckets)
         by = np.argsort(bucket, kind="stable")
@@ -147,48 +150,40 @@ def _tables(n_buckets: int, batch_bytes: int, unit_bytes: int):
         for k in np.flatnonzero(np.diff(cuts)):
             own = by[cuts[k] : cuts[k + 1]]
             mine = words.take(pa.array(own)).to_pylist()
-            text = pack(np.fromiter(map(len, mine), np.uint32, len(mine))), zstandard.ZstdCompressor(1).compress(b"".join(mine))
-            rows.append((unit, batch, int(k), None, len(mine), pack(np.diff(own, prepend=0)), len(text[0]).to_bytes(4, "little") + text[0] + text[1]))
+            sizes = pack(np.fromiter(map(len, mine), np.uint32, len(mine)))
+            rows.append((unit, int(k), None, pack(np.diff(own, prepend=0)), len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(1).compress(b"".join(mine))))
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _TABLE, strict=True)], schema=_TABLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, batch, held = TaskContext.get().partitionId() * UNITS, 0, 0
-        for given in _full(batches, batch_bytes):
+        unit, held, parts = TaskContext.get().partitionId() * UNITS, 0, []
+        for given in batches:
             at = 0
-            for data, offs in chunks(given.column(1), batch_bytes):
-                if held and held + len(data) > unit_bytes:
-                    unit, held = unit + 1, 0
+            for data, offs in chunks(given.column(1), min(SPLIT_BYTES, unit_bytes)):
+                if parts and held + len(data) > unit_bytes:
+                    yield told(unit, parts)
+                    unit, held, parts = unit + 1, 0, []
+                    release()
                 ids = given.column(0).slice(at, len(offs) - 1).to_pylist()
                 at += len(ids)
-                yield told(unit, batch, ids, data, offs)
-                batch, held = batch + 1, held + len(data)
-            release()
+                parts.append((ids, *split(data, offs)))
+                held += len(data)
+        if parts:
+            yield told(unit, parts)
+        release()
 
     return run
 
 
-def _full(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
-    """Batches put together until they have so many bytes: the larger they are, the fewer chunks are asked for twice."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.column(1).nbytes for b in held) >= least:
-            yield pa.Table.from_batches(held)
-            held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _unpacked(words: bytes) -> tuple[np.ndarray, bytes]:
     n = int.from_bytes(words[:4], "little")
     return unpack(words[4 : 4 + n]), zstandard.ZstdDecompressor().decompress(words[4 + n :])
 
 
-ANSWERS = "unit bigint, batch int, ranks binary, sizes binary, ids binary"
+ANSWERS = "unit bigint, ranks binary, sizes binary, ids binary"
 
 
 def _answers(model: bytes):
-    """The requests of a bucket to the ids of their chunks; chunks that several batches ask for are segmented once."""
+    """The requests of a bucket to the ids of their chunks; chunks that several units ask for are segmented once."""
 
     def run(table: pa.Table) -> pa.Table:
         asked = [_unpacked(w) for w in table.column("words").to_pylist()]
@@ -203,8 +198,8 @@ def _answers(model: bytes):
             own = code[at : at + len(s)]
             at += len(s)
             out.append((pack(n[own]), pack(gather(ids, first[own], n[own]))))
-        columns = [table.column("unit"), table.column("batch"), table.column("ranks"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())]
-        return pa.Table.from_arrays(columns, names=["unit", "batch", "ranks", "sizes", "ids"])
+        columns = [table.column("unit"), table.column("ranks"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["unit", "ranks", "sizes", "ids"])
 
     return run
 
@@ -216,41 +211,46 @@ def _joined(end: list[int]):
     """The texts of a unit and the answers to its batches, to the ids of each text."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        given: dict[int, list[dict]] = {}
-        for row in answers.select(["batch", "ranks", "sizes", "ids"]).to_pylist():
-            given.setdefault(row["batch"], []).append(row)
-        doc_ids, offs, parts = [], [np.zeros(1, np.int64)], []
-        texts = texts.sort_by("batch")
-        batch = texts.column("batch").to_numpy()
-        cuts = np.append(np.flatnonzero(np.diff(batch, prepend=-1)), len(batch))
-        total = 0
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = given.pop(int(batch[a]), [])
-            rank, sizes, ids = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*[(np.cumsum(unpack(r["ranks"]).astype(np.int32)), unpack(r["sizes"]).astype(np.int64), unpack(r["ids"])) for r in rows], strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            n, first = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            n[rank], first[rank] = sizes, before(sizes)
-            own = texts.slice(a, b - a)
-            doc_ids += own.column("doc_id").to_pylist()
-            numbers = [unpack(x) for x in own.column("ranks").to_pylist()]
-            count = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            code = np.concatenate(numbers)
-            width = np.add.reduceat(np.append(n[code], 0), before(count)) * (count > 0) + len(end)
-            flat = np.empty(int(width.sum()), np.int32)
+        told = [(np.cumsum(unpack(a).astype(np.int32)), unpack(n).astype(np.int64), unpack(i)) for a, n, i in zip(*[answers.column(c).to_pylist() for c in ("ranks", "sizes", "ids")], strict=True)]
+        rank, sizes, ids = (np.concatenate([t[k] for t in told]) if told else np.zeros(0, np.int64) for k in range(3))
+        n, first = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        n[rank], first[rank] = sizes, before(sizes)
+        widths, parts = [np.zeros(1, np.int64)], []
+        numbers = [unpack(x) for x in texts.column("ranks").to_pylist()]
+        for own in _runs(numbers, JOINED_IDS):
+            count = np.fromiter(map(len, own), np.int64, len(own))
+            code = np.concatenate(own)
+            width = np.diff(np.concatenate([[0], np.cumsum(n[code])])[np.concatenate([[0], np.cumsum(count)])]) + len(end)
             tail = np.cumsum(width)
+            flat = np.empty(int(tail[-1]), np.int32)
             is_end = np.zeros(len(flat), bool)
-            for k in range(len(end)):
+            for k, i in enumerate(end):
                 is_end[tail - len(end) + k] = True
-                flat[tail - len(end) + k] = end[k]
+                flat[tail - len(end) + k] = i
             flat[~is_end] = gather(ids, first[code], n[code])
             parts.append(flat)
-            offs.append(total + tail)
-            total += len(flat)
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(offs).astype(np.int32)), pa.array(np.concatenate(parts)))
-        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), ids], names=["doc_id", "ids"])
+            widths.append(width)
+        offs = np.cumsum(np.concatenate(widths)).astype(np.int32)
+        joined = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), joined], names=["doc_id", "ids"])
 
     return run
 
 
+def _runs(arrays: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """Arrays in runs of so many values together; a longer one is a run alone."""
+    held: list[np.ndarray] = []
+    size = 0
+    for x in arrays:
+        if held and size + len(x) > most:
+            yield held
+            held, size = [], 0
+        held.append(x)
+        size += len(x)
+    if held:
+        yield held
+
+
 def _staged(rows: DataFrame, buckets: int) -> DataFrame:
     """A table in the shared folder in buckets by unit, so that units are read where they are joined, and not moved."""
     spark: SparkSession = rows.sparkSession
@@ -267,7 +267,6 @@ def encode(
     model: bytes,
     end: bool = True,
     buckets: int | None = None,
-    batch_bytes: int = BATCH_BYTES,
     unit_bytes: int = UNIT_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -278,16 +277,16 @@ def encode(
     marker of white space are refused. Null and empty texts have no ids but the end id; a text without white space is one chunk. Repeated
     rows and null ids are rows of their own. An empty table gives an empty result. Columns other than the two are not read.
     ``buckets``: into how many parts the distinct chunks fall, by default the session's shuffle partitions; one part is held by a task. The result
-    depends neither on it nor on ``batch_bytes`` and ``unit_bytes``.
+    depends neither on it nor on ``unit_bytes``.
     """
     check(model)
     spark = documents.sparkSession
     prepare_workers(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_tables(n, batch_bytes, unit_bytes), TABLE)
+    rows = documents.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_tables(n, unit_bytes), TABLE)
     table = _staged(rows, n)
-    answers = table.filter("bucket IS NOT NULL").select("unit", "batch", "bucket", "ranks", "words").groupBy("bucket").applyInArrow(_answers(model), ANSWERS)
-    texts = table.filter("bucket IS NULL").select("unit", "batch", "doc_id", "ranks")
+    answers = table.filter("bucket IS NOT NULL").select("unit", "bucket", "ranks", "words").groupBy("bucket").applyInArrow(_answers(model), ANSWERS)
+    texts = table.filter("bucket IS NULL").select("unit", "doc_id", "ranks")
     return texts.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_joined([processor(model).eos_id()] if end else []), ENCODED)
 
 
