@@ -322,44 +322,12 @@ add(
 add("assert_count", "region", [AssertCount(expected=5), AssertCount(min_count=1, max_count=10), AssertNotEmpty(), AssertContainsColumns(columns=["r_name"]), PrintSchema()], "SELECT * FROM region")
 
 # joins
-_J = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0"
-_L = "SELECT l_orderkey AS o_orderkey, l_returnflag AS o_orderstatus, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0"
-
-
-def _join(name: str, sql: str, **options: Any) -> None:
-    @query(sql)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = Storage()
-        left = read_table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus")
-        right = read_table(spark, sf_dir, "lineitem").filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"), "l_quantity")
-        if "left_on" in options:
-            right = right.withColumnRenamed("o_orderkey", "key")
-        store.set("right", right)
-        return Join(store_key="right", store=store, **options).transform(left)
-
-    QUERIES[f"join_{name}"] = QUERIES.pop("run")
-    SQL[f"join_{name}"] = SQL.pop("run")
-
-
-_BOTH = "l.o_orderkey, l.o_orderstatus, r.o_orderstatus AS o_orderstatus_right, l_quantity"
-_join("inner", f"SELECT {_BOTH} FROM ({_J}) l JOIN ({_L}) r USING (o_orderkey)", how="inner", on="o_orderkey")
-_join("left", f"SELECT {_BOTH} FROM ({_J}) l LEFT JOIN ({_L}) r USING (o_orderkey)", how="left", on="o_orderkey")
-_join("full", f"SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, l.o_orderstatus, r.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_J}) l FULL JOIN ({_L}) r ON l.o_orderkey = r.o_orderkey", how="full", on="o_orderkey")
-_join("full_keys", f"SELECT l.o_orderkey, l.o_orderstatus, r.o_orderkey AS key, r.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_J}) l FULL JOIN ({_L}) r ON l.o_orderkey = r.o_orderkey", how="full", left_on="o_orderkey", right_on="key")
-_join("full_uncoalesced", f"SELECT l.o_orderkey, l.o_orderstatus, r.o_orderkey AS o_orderkey_right, r.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_J}) l FULL JOIN ({_L}) r ON l.o_orderkey = r.o_orderkey", how="full", on="o_orderkey", coalesce_keys=False)
-_join("semi", f"SELECT * FROM ({_J}) l SEMI JOIN ({_L}) r USING (o_orderkey)", how="semi", on="o_orderkey")
-_join("anti", f"SELECT * FROM ({_J}) l ANTI JOIN ({_L}) r USING (o_orderkey)", how="anti", on="o_orderkey")
-_join("right", f"SELECT r.o_orderkey, r.o_orderstatus, l_quantity, l.o_orderstatus AS o_orderstatus_right FROM ({_L}) r LEFT JOIN ({_J}) l USING (o_orderkey)", how="right", on="o_orderkey")
-_join("right_semi", f"SELECT * FROM ({_L}) l SEMI JOIN ({_J}) r USING (o_orderkey)", how="rightsemi", on="o_orderkey")
-_join("right_anti", f"SELECT * FROM ({_L}) l ANTI JOIN ({_J}) r USING (o_orderkey)", how="right_anti", on="o_orderkey")
-_join("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_J}) l JOIN ({_L}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
-
 _O = "SELECT o_orderkey, o_orderstatus FROM orders"
 _W = "SELECT l_orderkey AS o_orderkey, l_returnflag AS o_orderstatus, l_quantity FROM lineitem"
 
 
-def _join_whole(name: str, sql: str, lines_left: bool = False, **options: Any) -> None:
-    """As ``_join``, over all orders and all lines. Orders without lines are the rows without a match; ``lines_left`` has them on the right."""
+def _join(name: str, sql: str, lines_left: bool = False, **options: Any) -> None:
+    """A join of all orders and all lines. Orders without lines are the rows without a match; ``lines_left`` has them on the right."""
 
     @query(sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,22 +341,23 @@ def _join_whole(name: str, sql: str, lines_left: bool = False, **options: Any) -
         store.set("right", right)
         return Join(store_key="right", store=store, **options).transform(left)
 
-    QUERIES[f"join_{name}_whole"] = QUERIES.pop("run")
-    SQL[f"join_{name}_whole"] = SQL.pop("run")
+    QUERIES[f"join_{name}"] = QUERIES.pop("run")
+    SQL[f"join_{name}"] = SQL.pop("run")
 
 
+_BOTH = "l.o_orderkey, l.o_orderstatus, r.o_orderstatus AS o_orderstatus_right, l_quantity"
 _LINES = "l.o_orderstatus, l_quantity, r.o_orderstatus AS o_orderstatus_right"
-_join_whole("inner", f"SELECT {_BOTH} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", on="o_orderkey")
-_join_whole("left", f"SELECT {_BOTH} FROM ({_O}) l LEFT JOIN ({_W}) r USING (o_orderkey)", how="left", on="o_orderkey")
-_join_whole("full", f"SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey")
-_join_whole("full_keys", f"SELECT l.o_orderkey, r.o_orderkey AS key, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", left_on="o_orderkey", right_on="key")
-_join_whole("full_uncoalesced", f"SELECT l.o_orderkey, r.o_orderkey AS o_orderkey_right, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey", coalesce_keys=False)
-_join_whole("semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", how="semi", on="o_orderkey")
-_join_whole("anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", how="anti", on="o_orderkey")
-_join_whole("right", f"SELECT r.o_orderkey, r.o_orderstatus, l.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_O}) r LEFT JOIN ({_W}) l USING (o_orderkey)", lines_left=True, how="right", on="o_orderkey")
-_join_whole("right_semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="rightsemi", on="o_orderkey")
-_join_whole("right_anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="right_anti", on="o_orderkey")
-_join_whole("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
+_join("inner", f"SELECT {_BOTH} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", on="o_orderkey")
+_join("left", f"SELECT {_BOTH} FROM ({_O}) l LEFT JOIN ({_W}) r USING (o_orderkey)", how="left", on="o_orderkey")
+_join("full", f"SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey")
+_join("full_keys", f"SELECT l.o_orderkey, r.o_orderkey AS key, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", left_on="o_orderkey", right_on="key")
+_join("full_uncoalesced", f"SELECT l.o_orderkey, r.o_orderkey AS o_orderkey_right, {_LINES} FROM ({_W}) l FULL JOIN ({_O}) r ON l.o_orderkey = r.o_orderkey", lines_left=True, how="full", on="o_orderkey", coalesce_keys=False)
+_join("semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", how="semi", on="o_orderkey")
+_join("anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", how="anti", on="o_orderkey")
+_join("right", f"SELECT r.o_orderkey, r.o_orderstatus, l.o_orderstatus AS o_orderstatus_right, l_quantity FROM ({_O}) r LEFT JOIN ({_W}) l USING (o_orderkey)", lines_left=True, how="right", on="o_orderkey")
+_join("right_semi", f"SELECT * FROM ({_O}) l SEMI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="rightsemi", on="o_orderkey")
+_join("right_anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderkey)", lines_left=True, how="right_anti", on="o_orderkey")
+_join("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
 
 
 @query("SELECT n.*, r.r_regionkey, r.r_name FROM nation n, region r")
@@ -835,3 +804,153 @@ def _from_storage(spark: SparkSession, sf_dir: str, store: Storage) -> list:
 
 
 add("branch_from_storage", "region", _from_storage, "SELECT r_regionkey, r_name, n_nationkey FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_regionkey = 1")
+
+
+# orders of all rows, without a partition
+_KEY = {"order_by": "o_orderkey"}
+_ORDER_FRAMES = (
+    " WINDOW o AS (ORDER BY o_orderkey), five AS (ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), upto AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),"
+    " since AS (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), c AS (ORDER BY o_custkey), d AS (ORDER BY o_orderdate)"
+)
+_methods(
+    "ordered",
+    "orders",
+    "CAST(sum(o_custkey) OVER upto AS BIGINT) AS running, max(o_totalprice) OVER upto AS highest, count(*) OVER upto AS seen, lag(o_custkey) OVER o AS before, lead(o_custkey, 2) OVER o AS later, o_custkey - lag(o_custkey, 3) OVER o AS gap,"
+    " CASE WHEN count(*) OVER five = 5 THEN max(o_totalprice) OVER five END AS top, CASE WHEN count(*) OVER five = 5 THEN round(avg(o_totalprice) OVER five, 6) END AS mean",
+    _m("o_custkey", "cum_sum", "running", **_KEY),
+    _m("o_totalprice", "cum_max", "highest", **_KEY),
+    _m("o_orderkey", "cum_count", "seen", **_KEY),
+    _m("o_custkey", "shift", "before", **_KEY),
+    _m("o_custkey", "shift", "later", -2, **_KEY),
+    _m("o_custkey", "diff", "gap", 3, **_KEY),
+    _m("o_totalprice", "rolling_max", "top", 5, **_KEY),
+    _m("o_totalprice", "rolling_mean", "m1", 5, **_KEY),
+    _m("m1", "round", "mean", 6),
+    windows=_ORDER_FRAMES,
+)
+_methods(
+    "ranks",
+    "orders",
+    "rank() OVER c + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2 AS middle, rank() OVER d AS low, rank() OVER d + count(*) OVER (PARTITION BY o_orderdate) - 1 AS high, dense_rank() OVER c AS dense, row_number() OVER o AS number,"
+    " row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS new_one, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1 AS last_one, count(*) OVER (PARTITION BY o_orderdate) > 1 AS again",
+    _m("o_custkey", "rank", "middle"),
+    _m("o_orderdate", "rank", "low", "min"),
+    _m("o_orderdate", "rank", "high", "max"),
+    _m("o_custkey", "rank", "dense", "dense"),
+    _m("o_orderkey", "rank", "number", "ordinal"),
+    _m("o_custkey", "is_first_distinct", "new_one", **_KEY),
+    _m("o_custkey", "is_last_distinct", "last_one", **_KEY),
+    _m("o_orderdate", "is_duplicated", "again"),
+    windows=_ORDER_FRAMES,
+)
+add(
+    "fill_missing",
+    "orders",
+    _then(
+        WithColumns(columns="l_quantity", method="fill_null", args=[0.0], alias="nought"),
+        WithColumns(columns="l_returnflag", method="fill_null", kwargs={"strategy": "forward", "order_by": ["o_orderkey", "l_quantity", "l_discount", "l_returnflag"]}, alias="carried"),
+        WithColumns(columns="l_returnflag", method="fill_null", kwargs={"strategy": "backward", "order_by": ["o_orderkey", "l_quantity", "l_discount", "l_returnflag"]}, alias="ahead"),
+        _NAN_STEP,
+        WithColumns(columns="q", method="fill_nan", args=[-1.0]),
+        SelectColumns(columns=["o_orderkey", "l_quantity", "l_discount", "l_returnflag", "nought", "carried", "ahead", "q"]),
+    ),
+    "SELECT o_orderkey, l_quantity, l_discount, l_returnflag, coalesce(l_quantity, 0.0) AS nought, last_value(l_returnflag IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried,"
+    " first_value(l_returnflag IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead, CASE WHEN l_quantity > 40 THEN -1.0 ELSE l_quantity END AS q"
+    f" FROM ({_LEFT_LINES}) WINDOW w AS (ORDER BY o_orderkey, l_quantity NULLS FIRST, l_discount NULLS FIRST, l_returnflag NULLS FIRST)",
+)
+add(
+    "window_all_rows",
+    "orders",
+    [
+        AggregateOverWindow(order_cols="o_orderkey", rows_between=[-3, 2], aggregations=[{"agg": "sum", "col": "o_custkey", "alias": "s"}, {"agg": "min", "col": "o_totalprice", "alias": "m"}, {"agg": "countDistinct", "col": "o_orderpriority", "alias": "kinds"}]),
+        AggregateOverWindow(order_cols="o_orderkey", rows_between=["start", -2], aggregations=[{"agg": "count", "col": "o_custkey", "alias": "n"}, {"agg": "avg", "col": "o_custkey", "alias": "mean"}, {"agg": "last", "col": "o_custkey", "alias": "z"}]),
+        AggregateOverWindow(order_cols="o_orderkey", rows_between=[0, "end"], aggregations=[{"agg": "stddev", "col": "o_totalprice", "alias": "spread"}, {"agg": "first", "col": "o_custkey", "alias": "a"}]),
+        WithColumns(columns="mean", method="round", args=[6]),
+        WithColumns(columns="spread", method="round", args=[3]),
+        SelectColumns(columns=["o_orderkey", "s", "m", "kinds", "n", "mean", "z", "spread", "a"]),
+    ],
+    "SELECT o_orderkey, CAST(sum(o_custkey) OVER w AS BIGINT) AS s, min(o_totalprice) OVER w AS m, count(DISTINCT o_orderpriority) OVER w AS kinds, count(*) OVER p AS n, round(avg(o_custkey) OVER p, 6) AS mean, lag(o_custkey, 2) OVER o AS z,"
+    " round(stddev_samp(o_totalprice) OVER f, 3) AS spread, o_custkey AS a FROM orders WINDOW o AS (ORDER BY o_orderkey), w AS (ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING),"
+    " p AS (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), f AS (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+)
+add(
+    "window_all_peers",
+    "orders",
+    [
+        AggregateOverWindow(order_cols="o_orderdate", aggregations=[{"agg": "sum", "col": "o_custkey", "alias": "s"}, {"agg": "count", "col": "o_orderkey", "alias": "n"}, {"agg": "countDistinct", "col": "o_custkey", "alias": "customers"}]),
+        AggregateOverWindow(order_cols="o_orderdate", range_between=[0, "end"], aggregations={"agg": "max", "col": "o_totalprice", "alias": "m"}),
+        LagOverWindow(lag_col="o_custkey", lag=1, output_col="next", order_cols="o_orderkey", ascending=False),
+        SelectColumns(columns=["o_orderkey", "s", "n", "customers", "m", "next"]),
+    ],
+    "SELECT o_orderkey, CAST(sum(o_custkey) OVER w AS BIGINT) AS s, count(*) OVER w AS n, count(DISTINCT o_custkey) OVER w AS customers, max(o_totalprice) OVER f AS m, lead(o_custkey) OVER (ORDER BY o_orderkey) AS next FROM orders"
+    " WINDOW w AS (ORDER BY o_orderdate), f AS (ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+)
+add(
+    "window_distinct_frames",
+    "events",
+    [
+        AggregateOverWindow(**_WIN, rows_between=[-4, 1], aggregations={"agg": "countDistinct", "col": "event_type", "alias": "near"}),
+        AggregateOverWindow(**_WIN, rows_between=["start", 0], aggregations={"agg": "countDistinct", "col": "event_type", "alias": "so_far"}),
+        AggregateOverWindow(**_WIN, rows_between=[2, "end"], aggregations={"agg": "countDistinct", "col": "event_type", "alias": "later"}),
+        SelectColumns(columns=["event_id", "near", "so_far", "later"]),
+    ],
+    "SELECT event_id, count(DISTINCT event_type) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 FOLLOWING) AS near, count(DISTINCT event_type) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far,"
+    " count(DISTINCT event_type) OVER (w ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+)
+add("frame_row_index", "customer", [SelectColumns(columns=["c_custkey", "c_acctbal"]), DataFrameMethod(method="with_row_index", args=["n"], kwargs={"order_by": ["c_acctbal", "c_custkey"]})], "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS n, c_custkey, c_acctbal FROM customer")
+add("frame_unique_none", "part", [SelectColumns(columns=["p_partkey", "p_size", "p_brand"]), DataFrameMethod(method="unique", args=[["p_size", "p_brand"]], kwargs={"keep": "none"})], "SELECT p_partkey, p_size, p_brand FROM part QUALIFY count(*) OVER (PARTITION BY p_size, p_brand) = 1")
+
+
+def _purchases_and_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All purchases, and the first view of each time."""
+    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type"])
+    views = events.filter("event_type = 'view'").groupBy("ts").agg(F.min("event_id").alias("event_id"))
+    return events.filter("event_type = 'purchase'"), views
+
+
+_P, _V = "(SELECT * FROM events WHERE event_type = 'purchase')", "(SELECT ts, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1)"
+
+
+@query(f"SELECT e.event_id, o.event_id AS event_id_right FROM {_P} e ASOF LEFT JOIN {_V} o ON e.ts >= o.ts")
+def join_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view, by anyone, before each purchase: no key at all."""
+    purchases, views = _purchases_and_views(spark, sf_dir)
+    return DataFrameMethod(method="join_asof", args=[views], kwargs={"on": "ts"}).transform(purchases).select("event_id", "event_id_right")
+
+
+@query(
+    f"""SELECT e.event_id, CASE WHEN a.ts IS NULL OR b.ts - e.ts < e.ts - a.ts THEN coalesce(b.event_id, a.event_id) ELSE a.event_id END AS event_id_right
+    FROM {_P} e ASOF LEFT JOIN {_V} a ON e.ts >= a.ts ASOF LEFT JOIN {_V} b ON e.ts <= b.ts"""
+)
+def join_asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view nearest to each purchase."""
+    purchases, views = _purchases_and_views(spark, sf_dir)
+    return DataFrameMethod(method="join_asof", args=[views], kwargs={"on": "ts", "strategy": "nearest"}).transform(purchases).select("event_id", "event_id_right")
+
+
+@query(f"SELECT e.event_id, CASE WHEN o.ts <= e.ts + INTERVAL 20 MINUTE THEN o.event_id END AS event_id_right FROM {_P} e ASOF LEFT JOIN {_V} o ON e.ts <= o.ts")
+def join_asof_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next view within twenty minutes of each purchase."""
+    purchases, views = _purchases_and_views(spark, sf_dir)
+    return DataFrameMethod(method="join_asof", args=[views], kwargs={"on": "ts", "strategy": "forward", "tolerance": "20m"}).transform(purchases).select("event_id", "event_id_right")
+
+
+add(
+    "groupby_quantile",
+    "lineitem",
+    [
+        GroupBy(
+            groupby_columns="l_returnflag",
+            aggregations=[
+                {"agg": "quantile", "col": "l_extendedprice", "q": 0.9, "alias": "high"},
+                {"agg": "quantile", "col": "l_quantity", "q": 0.25, "interpolation": "lower", "alias": "low"},
+                {"agg": "median", "col": "l_extendedprice", "alias": "mid"},
+                {"agg": "mode", "col": "l_quantity", "alias": "often"},
+                {"agg": "max", "col": "l_tax", "alias": "tax"},
+            ],
+        ),
+        WithColumns(columns=["high", "mid"], method="round", args=[6]),
+    ],
+    "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS high, CAST(list_sort(list(l_quantity))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS DOUBLE) AS low, round(median(l_extendedprice), 6) AS mid, any_value(often) AS often, max(l_tax) AS tax"
+    " FROM lineitem JOIN (SELECT l_returnflag, arg_min(l_quantity, (-n, l_quantity)) AS often FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1) USING (l_returnflag) GROUP BY 1",
+)

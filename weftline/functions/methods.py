@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import dates
+from weftline.functions import dates, ordered
+from weftline.functions.ordered import By, Counted, Deferred, Frame, Near, Running
 from weftline.functions.selectors import as_list, col
 from weftline.functions.types import cast, resolve
 
@@ -88,46 +89,66 @@ def _zfill(c: Column, width: int) -> Column:
     return F.concat(sign, F.repeat(F.lit("0"), pad), rest)
 
 
-def _over(function: Callable[..., Column]) -> Callable[..., Column]:
-    """A function that needs an order: it must be named by ``order_by``, with ``partition_by`` if wanted."""
+def _over(function: Callable[..., Column], spread: Callable[..., Callable[[Frame], Column]]) -> Callable[..., Column | Deferred]:
+    """A function that needs an order: it must be named by ``order_by``, with ``partition_by`` if wanted.
 
-    def run(c: Column, *args: Any, order_by: Any = None, partition_by: Any = None, descending: bool = False, **kwargs: Any) -> Column:
+    With a partition it is ``function`` over Spark's window; without one ``spread`` makes it over the order of all rows, which no task holds.
+    """
+
+    def run(c: Column, *args: Any, order_by: Any = None, partition_by: Any = None, descending: bool = False, **kwargs: Any) -> Column | Deferred:
         if order_by is None:
             raise ValueError("rows have no order in Spark: give 'order_by'")
-        order = [col(x).desc() if descending else col(x).asc() for x in as_list(order_by)]
-        w = Window.partitionBy(*[col(x) for x in as_list(partition_by)]).orderBy(*order)
-        return function(c, w, *args, **kwargs)
+        order = tuple(By(col(x), descending) for x in as_list(order_by))
+        if not as_list(partition_by):
+            return Deferred(order, spread(c, *args, **kwargs))
+        return function(c, Window.partitionBy(*[col(x) for x in as_list(partition_by)]).orderBy(*[o.directed() for o in order]), *args, **kwargs)
 
     return run
 
 
-def _rolling(name: str) -> Callable[..., Column]:
+def _shift(c: Column, n: int = 1) -> Callable[[Frame], Column]:
+    return lambda frame: frame.want(Near(lambda w: F.lag(c, n).over(w), max(0, n), max(0, -n)))
+
+
+def _cumulative(name: str) -> Callable[..., Column | Deferred]:
+    return _over(
+        lambda c, w: getattr(F, name)(c).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        lambda c: lambda frame: frame.aggregate(name, c, None, 0),
+    )
+
+
+def _rolling(name: str) -> Callable[..., Column | Deferred]:
     """Over the last ``window_size`` rows; null where fewer than ``min_samples`` of them, by default all, have a value."""
 
-    def run(c: Column, w: Any, window_size: int, min_samples: int | None = None) -> Column:
+    def over(c: Column, w: Any, window_size: int, min_samples: int | None = None) -> Column:
         w = w.rowsBetween(1 - window_size, 0)
         return F.when(F.count(c).over(w) >= (window_size if min_samples is None else min_samples), getattr(F, name)(c).over(w))
 
-    return _over(run)
+    def spread(c: Column, window_size: int, min_samples: int | None = None) -> Callable[[Frame], Column]:
+        return lambda frame: frame.want(Near(lambda w: over(c, w, window_size, min_samples), window_size - 1, 0))
+
+    return _over(over, spread)
 
 
 RANKS = ("average", "min", "max", "dense", "ordinal")
 
 
-def _rank(c: Column, method: str = "average", order_by: Any = None, partition_by: Any = None, descending: bool = False) -> Column:
+def _rank(c: Column, method: str = "average", order_by: Any = None, partition_by: Any = None, descending: bool = False) -> Column | Deferred:
     """The rank of each value, from 1, among those of its partition, or that of the rows by ``order_by``; nulls have none."""
     if method not in RANKS:
         raise ValueError(f"rank method '{method}'; known are {RANKS}")
-    keys, order = [col(x) for x in as_list(partition_by)], [col(x) for x in as_list(order_by)] or [c]
+    keys, order = [col(x) for x in as_list(partition_by)], [By(x, descending) for x in ([col(x) for x in as_list(order_by)] or [c])]
     known = c.isNotNull()
-    w = Window.partitionBy(*keys, known).orderBy(*[x.desc() if descending else x.asc() for x in order])
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, known, *order))
+    if not keys:
+        return Deferred((By(known, True), *order), ordered.rank(c, method))
+    w = Window.partitionBy(*keys, known).orderBy(*[o.directed() for o in order])
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, known, *[o.c for o in order]))
     lowest = F.rank().over(w)
     ranks = {"average": lambda: lowest + (ties - 1) / 2, "min": lambda: lowest, "max": lambda: lowest + ties - 1, "dense": lambda: F.dense_rank().over(w), "ordinal": lambda: F.row_number().over(w)}
     return F.when(known, ranks[method]())
 
 
-def _fill_null(c: Column, value: Any = None, strategy: str | None = None, order_by: Any = None, partition_by: Any = None) -> Column:
+def _fill_null(c: Column, value: Any = None, strategy: str | None = None, order_by: Any = None, partition_by: Any = None) -> Column | Deferred:
     """``value``, or the value before (``forward``) or after (``backward``) in the order given, or ``zero`` or ``one``."""
     if (value is None) == (strategy is None):
         raise ValueError("give either 'value' or 'strategy'")
@@ -139,12 +160,25 @@ def _fill_null(c: Column, value: Any = None, strategy: str | None = None, order_
         raise ValueError(f"strategy '{strategy}'; known are forward, backward, zero and one")
     near = F.last if strategy == "forward" else F.first
     frame = (Window.unboundedPreceding, 0) if strategy == "forward" else (0, Window.unboundedFollowing)
-    return _over(lambda c, w: near(c, ignorenulls=True).over(w.rowsBetween(*frame)))(c, order_by=order_by, partition_by=partition_by)
+    return _over(lambda c, w: near(c, ignorenulls=True).over(w.rowsBetween(*frame)), lambda c: ordered.fill(c, strategy == "forward"))(c, order_by=order_by, partition_by=partition_by)
+
+
+def _occurrence(last: bool) -> Callable[..., Column | Deferred]:
+    """Whether a row is the first, or last, in the order given of those with its value; null is a value."""
+
+    def run(c: Column, order_by: Any = None, partition_by: Any = None) -> Column:
+        if order_by is None:
+            raise ValueError("rows have no order in Spark: give 'order_by'")
+        keys, order = [col(x) for x in as_list(partition_by)], tuple(By(col(x), last) for x in as_list(order_by))
+        alike = F.struct(*[k.alias(f"k{i}") for i, k in enumerate([*keys, c])])  # rows with the value lie together, over as many tasks as they need
+        return Deferred((By(alike), *order), lambda frame: frame.want(Near(lambda w: ~F.coalesce(F.lag(alike).over(w).eqNullSafe(alike), F.lit(False)), 1, 0)))
+
+    return run
 
 
-def _alike(c: Column, partition_by: Any = None) -> Column:
-    """How many rows have the value; null is a value."""
-    return F.count(F.lit(1)).over(Window.partitionBy(*[col(x) for x in as_list(partition_by)], c))
+def _alike(make: Callable[[Column], Column]) -> Callable[..., Counted]:
+    """Of how many rows have the value; null is a value."""
+    return lambda c, partition_by=None: Counted((*[col(x) for x in as_list(partition_by)], c), make)
 
 
 COLUMN_METHODS: dict[str, Callable[..., Column]] = {
@@ -171,15 +205,17 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "is_in": lambda c, other: c.isin(list(other)),
     "is_between": lambda c, lower_bound, upper_bound: c.between(F.lit(lower_bound), F.lit(upper_bound)),
     "replace_strict": _replace_strict,
-    "shift": _over(lambda c, w, n=1: F.lag(c, n).over(w)),
-    "diff": _over(lambda c, w, n=1: c - F.lag(c, n).over(w)),
-    "cum_sum": _over(lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
-    "cum_max": _over(lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
-    "cum_min": _over(lambda c, w: F.min(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
+    "shift": _over(lambda c, w, n=1: F.lag(c, n).over(w), _shift),
+    "diff": _over(lambda c, w, n=1: c - F.lag(c, n).over(w), lambda c, n=1: lambda frame: c - _shift(c, n)(frame)),
+    "cum_sum": _cumulative("sum"),
+    "cum_max": _cumulative("max"),
+    "cum_min": _cumulative("min"),
+    "cum_count": _cumulative("count"),
     "rank": _rank,
-    "is_duplicated": lambda c, partition_by=None: _alike(c, partition_by) > 1,
-    "is_unique": lambda c, partition_by=None: _alike(c, partition_by) == 1,
-    "cum_count": _over(lambda c, w: F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0))),
+    "is_duplicated": _alike(lambda n: n > 1),
+    "is_unique": _alike(lambda n: n == 1),
+    "is_first_distinct": _occurrence(False),
+    "is_last_distinct": _occurrence(True),
     "rolling_sum": _rolling("sum"),
     "rolling_mean": _rolling("avg"),
     "rolling_min": _rolling("min"),
@@ -313,8 +349,9 @@ def _sort(df: DataFrame, by: Any, *more: str, descending: bool | list[bool] = Fa
 def _unique(df: DataFrame, subset: Any = None, keep: str = "any", **_: Any) -> DataFrame:
     if keep == "none":
         keys = as_list(subset) or df.columns
-        w = Window.partitionBy(*[col(k) for k in keys])
-        return df.withColumn("weftline__n", F.count(F.lit(1)).over(w)).filter("weftline__n = 1").drop("weftline__n")
+        row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        once = df.groupBy(*[col(k).alias(f"weftline__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"), F.first(row).alias("row")).filter("n = 1")
+        return once.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
     if keep != "any":
         raise ValueError("rows have no order in Spark: 'keep' is 'any' or 'none'")
     return df.dropDuplicates(as_list(subset)) if subset is not None else df.dropDuplicates()
@@ -344,35 +381,54 @@ def _top(descending: bool) -> Callable[..., DataFrame]:
     return lambda df, k, by: _sort(df, by, descending=descending, nulls_last=True).limit(k)
 
 
-def _join_asof(df: DataFrame, other: DataFrame, on: str, by: Any = None, strategy: str = "backward", suffix: str = "_right") -> DataFrame:
-    """For each row the other frame's latest row at or before it (``backward``), or the first at or after it (``forward``).
+def _join_asof(df: DataFrame, other: DataFrame, on: str, by: Any = None, strategy: str = "backward", suffix: str = "_right", tolerance: Any = None) -> DataFrame:
+    """For each row the other frame's latest row at or before it (``backward``), the first at or after it (``forward``), or the ``nearest``, the one before where both are as near.
 
-    Both sides are unioned and the nearest row is carried over by a window, so that each key is sorted once and nothing is
-    multiplied. Equal times match; of the other frame's rows at one time any one is taken. Without ``by`` all rows are one key, which
-    one task sorts.
+    Both sides are sorted together by ``by`` and ``on`` over all tasks, and the last row of the other side is carried along, over borders of tasks too; it counts
+    where ``by`` is the same. So neither no ``by`` nor one value of most rows puts many rows in one task. Equal times match; of the
+    other frame's rows at one time any one is taken. Null times and keys match nothing. ``tolerance``: the most that both may be apart, a number or, for times, an interval such as 2h.
     """
-    if strategy not in ("backward", "forward"):
-        raise ValueError("'strategy' is 'backward' or 'forward'")
+    if strategy not in ("backward", "forward", "nearest"):
+        raise ValueError("'strategy' is 'backward', 'forward' or 'nearest'")
     keys = as_list(by)
     taken = [c for c in other.columns if c != on and c not in keys]
     names = {c: c + suffix if c in df.columns else c for c in taken}
     mine, held = "weftline__left", "weftline__right"
-    left = df.select(*[col(k).alias(f"weftline__k{i}") for i, k in enumerate(keys)], col(on).alias("weftline__on"), F.struct(*[col(c) for c in df.columns]).alias(mine))
-    right = other.select(*[col(k).alias(f"weftline__k{i}") for i, k in enumerate(keys)], col(on).alias("weftline__on"), F.struct(*[col(c) for c in taken]).alias(held))
-    both = left.unionByName(right, allowMissingColumns=True)
-    side = F.col(mine).isNotNull().cast("int")
-    w = Window.partitionBy(*[F.col(f"weftline__k{i}") for i in range(len(keys))])
-    if strategy == "backward":
-        w = w.orderBy(F.col("weftline__on").asc(), side.asc())
+    key = [f"weftline__k{i}" for i in range(len(keys))]
+    at = F.struct(*[F.col(k) for k in key], F.lit(0))  # of the keys
+
+    def side(frame: DataFrame, name: str, columns: list[str]) -> DataFrame:
+        row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.lit(0).alias("there"))
+        return frame.select(*[col(k).alias(n) for k, n in zip(keys, key, strict=True)], col(on).alias("weftline__on"), row.alias(name))
+
+    known = reduce(lambda a, b: a & b, [col(k).isNotNull() for k in [on, *keys]])
+    both = side(df, mine, df.columns).unionByName(side(other.filter(known), held, taken), allowMissingColumns=True)
+    # rows of the other side come first at equal times where looking back, last where looking ahead
+    is_mine = F.col(mine).isNotNull()
+    frame = Frame(both, [*[By(F.col(k)) for k in key], By(F.col("weftline__on")), By(is_mine, strategy == "forward")])
+    candidate = F.when(~is_mine, F.struct(at.alias("by"), F.col("weftline__on").alias("on"), F.col(held).alias("row")))
+    if strategy != "forward":
+        frame.add("weftline__before", frame.want(Running("last_known", candidate, None, 0)))
+    if strategy != "backward":
+        frame.add("weftline__behind", frame.want(Running("first_known", candidate, 0, None)))
+    out, own = frame.result().filter(is_mine), F.col("weftline__on")
+
+    def near(name: str, sign: int) -> Column:
+        c = F.col(name)
+        fits = (c["by"] == at) & own.isNotNull()
+        if isinstance(tolerance, str):
+            fits &= (dates.offset_by(c["on"], tolerance) >= own.cast("timestamp")) if sign < 0 else (dates.offset_by(own, tolerance) >= c["on"].cast("timestamp"))
+        elif tolerance is not None:
+            fits &= (own - c["on"]) * -sign <= tolerance
+        return F.when(fits, c)
+
+    if strategy == "nearest":
+        a, b = near("weftline__before", -1), near("weftline__behind", 1)
+        found = F.when(a.isNull() | (b["on"] - own < own - a["on"]), F.coalesce(b, a)).otherwise(a)
     else:
-        w = w.orderBy(F.col("weftline__on").desc(), side.asc())
-    near = F.last(F.col(held), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    known = F.col(mine)[on].isNotNull()
-    for k in keys:
-        known = known & F.col(mine)[k].isNotNull()
-    out = both.withColumn("weftline__near", near).filter(F.col(mine).isNotNull())
-    out = out.withColumn("weftline__near", F.when(known, F.col("weftline__near")))
-    return out.select(*[F.col(mine)[c].alias(c) for c in df.columns], *[F.col("weftline__near")[c].alias(n) for c, n in names.items()])
+        found = near("weftline__before", -1) if strategy == "backward" else near("weftline__behind", 1)
+    out = out.withColumn("weftline__found", found["row"])
+    return out.select(*[F.col(mine)[f"c{i}"].alias(c) for i, c in enumerate(df.columns)], *[F.col("weftline__found")[f"c{i}"].alias(names[c]) for i, c in enumerate(taken)])
 
 
 FRAME_METHODS: dict[str, Callable[..., DataFrame]] = {
@@ -405,10 +461,11 @@ def _tail_rows(df: DataFrame, n: int, by: Any) -> DataFrame:
 
 
 def _row_index(df: DataFrame, name: str, order_by: Any) -> DataFrame:
-    """Row numbers from 0; a window over all rows, which one task sorts: for small frames."""
+    """Row numbers from 0 in the order given."""
     if order_by is None:
         raise ValueError("rows have no order in Spark: 'with_row_index' needs 'order_by'")
-    return df.select((F.row_number().over(Window.orderBy(*[col(c) for c in as_list(order_by)])) - 1).alias(name), *[col(c) for c in df.columns])
+    rows, _ = ordered.number(df, [By(col(c)).directed() for c in as_list(order_by)])
+    return rows.select(F.col(ordered.ROW).alias(name), *[col(c) for c in df.columns if c != name])
 
 
 def frame_method(name: str) -> Callable[..., DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from weftline.functions.conditions import check_condition, condition
 from weftline.functions.methods import HORIZONTAL, column_method
+from weftline.functions.ordered import with_deferred
 from weftline.functions.selectors import any_selector, as_list, col
 from weftline.functions.types import cast, literal, resolve, resolve_all
 from weftline.operators.base import Transformer, projection
@@ -158,7 +159,7 @@ class WithColumns(Transformer):
         chosen = self._get_selected_columns(df)
         if self._alias is not None and len(chosen) > 1:
             raise ValueError(f"one alias for {len(chosen)} columns")
-        return projection(df, {self._alias or f"{self._prefix}{c}{self._suffix}": self._method(col(c), *self._args, **self._kwargs) for c in chosen})
+        return with_deferred(df, {self._alias or f"{self._prefix}{c}{self._suffix}": self._method(col(c), *self._args, **self._kwargs) for c in chosen})
 
 
 class HorizontalFunction(Transformer):

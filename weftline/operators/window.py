@@ -1,4 +1,9 @@
-"""Aggregates and lags over windows."""
+"""Aggregates and lags over windows.
+
+With partition columns these are Spark's windows, one partition in one task. Without them the order is of all rows: frames of rows, and
+frames by value from the start or to the end, are spread over tasks (see weftline.functions.ordered). What is left to a window over all rows,
+with a warning, are frames so much of a value wide, and lists and sets of all rows up to each, which grow with the square of the rows.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import distinct
+from weftline.functions.ordered import By, Deferred, Frame, Near, with_deferred
 from weftline.functions.selectors import as_list, col
 from weftline.operators.base import Transformer, projection
 
@@ -20,8 +27,9 @@ WINDOW_AGGREGATES = {
     "avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": F.first, "last": F.last, "count": F.count,
     "stddev": F.stddev, "variance": F.variance, "collect_list": F.collect_list, "collect_set": F.collect_set,
 }
-#: Spark has no distinct count over a window: the size of the set of values is the same.
 COUNT_DISTINCT = "countDistinct"
+#: Aggregates that hold all values of a frame.
+COLLECTIONS = ("collect_list", "collect_set")
 
 
 def _bounds(pair: Any, name: str) -> tuple[int, int]:
@@ -56,6 +64,20 @@ class _Window(Transformer):
         self._rows = _bounds(rows_between, "rows_between") if rows_between is not None else None
         self._range = _bounds(range_between, "range_between") if range_between is not None else None
 
+    def _by(self) -> list[By]:
+        return [By(col(c), not u) for c, u in zip(self._order, self._up, strict=True)] if self._order else []
+
+    def _frame(self) -> tuple[int | None, int | None]:
+        """The bounds, None where there is none; an order without a frame ends with the peers of the row, no order has all rows."""
+        given = self._rows or self._range or ((Window.unboundedPreceding, 0) if self._order else (Window.unboundedPreceding, Window.unboundedFollowing))
+        return None if given[0] == Window.unboundedPreceding else given[0], None if given[1] == Window.unboundedFollowing else given[1]
+
+    def _by_value(self) -> bool | None:
+        """Whether the frame is one of values; None where it is so much of a value wide."""
+        if self._rows or self._frame() == (None, None):
+            return False
+        return True if self._frame() in ((None, 0), (0, None)) else None
+
     def _window(self) -> Any:
         w = Window.partitionBy(*map(col, self._partition))
         if self._order:
@@ -91,17 +113,45 @@ class AggregateOverWindow(_Window):
             raise AssertionError(f"aliases {sorted(clash)} are partition or order columns")
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        w = self._window()
-
-        def made(a: dict[str, str]) -> Column:
-            if a["agg"] == COUNT_DISTINCT:
-                return F.size(F.collect_set(col(a["col"])).over(w)).cast("bigint").alias(a["alias"])
-            return WINDOW_AGGREGATES[a["agg"]](col(a["col"])).over(w).alias(a["alias"])
-
-        names = {a["alias"] for a in self._aggregations}
-        if names & set(df.columns):
-            log.warning("columns replaced by aggregates: %s", sorted(names & set(df.columns)))
-        return df.select(*[col(c) for c in df.columns if c not in names], *map(made, self._aggregations))
+        names = [a["alias"] for a in self._aggregations]
+        if set(names) & set(df.columns):
+            log.warning("columns replaced by aggregates: %s", sorted(set(names) & set(df.columns)))
+        # aggregates read the frame's own columns, so that replaced ones go at the end
+        made = {f"weftline__a{i}": a for i, a in enumerate(self._aggregations)}
+        counts = {n: a for n, a in made.items() if a["agg"] == COUNT_DISTINCT}
+        out = self._spread(df, {n: a for n, a in made.items() if n not in counts})
+        out = self._count_distinct(out, {n: col(a["col"]) for n, a in counts.items()})
+        return out.select(*[col(c) for c in df.columns if c not in names], *[F.col(n).alias(a["alias"]) for n, a in made.items()])
+
+    def _spread(self, df: DataFrame, made: dict[str, dict[str, str]]) -> DataFrame:
+        if not made:
+            return df
+        by_value = self._by_value()
+        whole = self._frame() == (None, None)
+        one_task = not self._partition and (by_value is None or (any(a["agg"] in COLLECTIONS for a in made.values()) and None in self._frame()))
+        if self._partition or one_task:
+            if one_task:
+                log.warning("a window over all rows in one task: %s", sorted({a["agg"] for a in made.values()}))
+            w = self._window()
+            return df.withColumns({n: WINDOW_AGGREGATES[a["agg"]](col(a["col"])).over(w) for n, a in made.items()})
+        lo, hi = self._frame()
+        to_end = by_value and lo == 0 and hi is None  # as from the start in the reversed order
+        order = [o.reversed() for o in self._by()] if to_end else self._by()
+        frame = Frame(df, order)
+        for n, a in made.items():
+            agg = {"mean": "avg"}.get(a["agg"], a["agg"])
+            if to_end:
+                agg = {"first": "last", "last": "first"}.get(agg, agg)
+            frame.add(n, frame.aggregate(agg, col(a["col"]), *((None, 0) if to_end else (lo, hi))), peers=bool(by_value) and not whole)
+        return frame.result()
+
+    def _count_distinct(self, df: DataFrame, made: dict[str, Column]) -> DataFrame:
+        lo, hi = self._frame()
+        if (lo, hi) == (None, None):
+            return distinct.over_partition(df, self._partition, made) if made else df
+        for n, c in made.items():
+            df = distinct.over_frame(df, self._partition, self._by(), n, c, lo, hi, self._by_value() is not False)
+        return df
 
 
 class LagOverWindow(_Window):
@@ -127,4 +177,7 @@ class LagOverWindow(_Window):
         self._lag_col, self._lag, self._output = lag_col, int(lag), output_col
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return projection(df, {self._output: F.lag(col(self._lag_col), self._lag).over(self._window())})
+        n, value = self._lag, col(self._lag_col)
+        if self._partition:
+            return projection(df, {self._output: F.lag(value, n).over(self._window())})
+        return with_deferred(df, {self._output: Deferred(tuple(self._by()), lambda frame: frame.want(Near(lambda w: F.lag(value, n).over(w), max(0, n), max(0, -n))))})
