@@ -18,6 +18,7 @@ from weftline.functions.frames import (
     to_schema,
 )
 from weftline.functions.methods import COLUMN_METHODS, column_method, frame_method
+from weftline.functions.ordered import with_deferred
 from weftline.functions.selectors import col, select_columns
 from weftline.functions.pandas_frames import assert_pandas_df_equal, return_different_rows_in_pandas_dataframes
 from weftline.functions.types import portable, resolve, resolve_all
@@ -292,7 +293,7 @@ def test_ordered_methods(spark):
     df = spark.createDataFrame(rows, "i int, k string, x double")
 
     def run(name, *args, c="x", **kwargs):
-        out = df.select("i", column_method(name)(col(c), *args, **kwargs).alias("out")).orderBy("i")
+        out = with_deferred(df, {"out": column_method(name)(col(c), *args, **kwargs)}).orderBy("i")
         return [r.out for r in out.collect()]
 
     by = {"order_by": "i", "partition_by": "k"}
@@ -306,6 +307,7 @@ def test_ordered_methods(spark):
     assert run("rolling_mean", 2, **by) == [None, None, None, 3.0, None] and run("rolling_min", 2, **by)[3] == 1.0 and run("rolling_max", 2, **by)[3] == 5.0
     assert run("rolling_var", 2, **by)[3] == 8.0 and run("rolling_std", 2, **by)[3] == pytest.approx(8**0.5)
     assert run("fill_null", strategy="forward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0] and run("fill_null", strategy="backward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0]
+    assert run("is_first_distinct", order_by="i") == [True, True, False, True, True] and run("is_last_distinct", order_by="i", partition_by="k") == [False, True, True, True, True]
     assert run("is_duplicated") == [True, False, True, False, False] and run("is_unique") == [False, True, False, True, True]
 
 

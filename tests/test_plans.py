@@ -50,7 +50,10 @@ def test_rows_and_splits_need_no_shuffle(spark, folder):
     df = spark.read.parquet(f"{folder}/facts.parquet")
     rows = TransformerPipeline([SelectColumns(columns=["k", "v"])], apply_to_rows={"input_col": "v", "operator": "gt", "value": 5}, otherwise=[SelectColumns(columns=["k", "v"])])
     p = plan(rows.run(df, verbose=False))
-    assert p["exchanges"] == 0 and p["read"] == [{"k", "v"}] * 2 and "GreaterThan(v,5.0)" in p["pushed"]
+    assert p["exchanges"] == 0 and p["read"] == [{"k", "v"}]
+    split = TransformerPipeline({"a": [SelectColumns(columns=["k"])], "b": [SelectColumns(columns=["k"])]}, split_function=lambda df: {"a": df.filter("v > 5"), "b": df.filter("v < 1")})
+    p = plan(split.run(df, verbose=False))
+    assert p["exchanges"] == 0 and p["read"] == [{"k", "v"}] and "Or(GreaterThan(v,5.0),LessThan(v,1.0))" in p["pushed"]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no sample tables")

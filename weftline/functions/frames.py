@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from contextlib import redirect_stdout
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,17 @@ def get_spark_session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def planned_partitions(df: DataFrame) -> int:
+    """Into how many partitions the plan puts the rows: those of the files, or of the last shuffle, before it is run and adapted to what there is. No stage runs for it."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # an adaptive plan runs its shuffles to tell
+    try:
+        return df.select(*map(col, df.columns)).rdd.getNumPartitions()
+    finally:
+        conf.set(key, before)
+
+
 def get_default_spark_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,12 +132,14 @@ class Skew:
 
 
 def get_data_skew(df: DataFrame, persist: bool = False) -> Skew:
-    """How rows are spread over partitions, empty ones included: counted by partition id, a row each on the driver."""
+    """How rows are spread over partitions, empty ones included: one job, whose tasks count what they have; a row each on the driver."""
     if persist and not df.is_cached:
         df = df.persist()
-    n = df.rdd.getNumPartitions()
-    counts = sorted(r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
-    counts = [0] * max(0, n - len(counts)) + counts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in batches)]})
+
+    counts = sorted(r["n"] for r in df.select(F.lit(1).alias("one")).mapInArrow(count, "n bigint").collect())
     mean = sum(counts) / len(counts) if counts else 0.0
     std = (sum((c - mean) ** 2 for c in counts) / (len(counts) - 1)) ** 0.5 if len(counts) > 1 else 0.0
 

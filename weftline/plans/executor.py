@@ -8,12 +8,15 @@ from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weftline.functions.frames import cast_to_schema, split_df
+from weftline.functions.conditions import condition
+from weftline.functions.frames import cast_to_schema, planned_partitions, split_df
 from weftline.operators.combining import append_dataframes, join_dataframes
 from weftline.plans.builder import JOIN_KEYS, is_transformer
 from weftline.plans.hooks import NoOpHooks, PipelineHooks
 from weftline.plans.nodes import ConversionNode, ForkNode, FunctionNode, InputNode, Node, OutputNode, SequenceNode, StorageNode, TransformerNode
+from weftline.plans.one_scan import Side, one_scan, row_wise, split_paths
 from weftline.sources.storage import Storage
 
 
@@ -129,6 +132,8 @@ class Executor:
 
     def _fork(self, node: ForkNode, df: DataFrame) -> DataFrame:
         target = self.resume_from if self.resuming else None
+        if (out := self._in_one_scan(node, df)) is not None:
+            return out
         if node.kind_of_fork == "split":
             return self._split(node, df, target)
         if node.kind_of_fork == "branch":
@@ -150,6 +155,37 @@ class Executor:
         rest = self._side(node.otherwise, rest, target)
         return rest if done is None else self._merged(node, df, {"apply_to_rows": done, "otherwise": rest}, "append")
 
+    def _in_one_scan(self, node: ForkNode, df: DataFrame) -> DataFrame | None:
+        """The fork as a projection over one scan, where all sides work row by row; else None. Hooks hear of its steps when all are built."""
+        plain = not self.resuming and self.after is None and node.end == "append" and not node.no_merge and not node.merge.get("cast_subsets_to_input_schema")
+        lists = [*node.branches.values(), *([node.otherwise] if node.otherwise is not None else [])]
+        if not plain or "storage" in node.config or not all(row_wise(nodes) for nodes in lists):
+            return None
+        missing = node.merge.get("allow_missing_columns", False)
+        if missing and (node.skip_if_empty or node.config.get("skip_if_empty")):
+            return None  # an empty side would add its columns
+        if node.kind_of_fork == "split":
+            paths = split_paths(df, node.split_function)
+            if paths is None or set(paths) != set(node.branches):
+                return None
+            sides, exclusive = [Side(name, steps, path=paths[name]) for name, steps in node.branches.items()], False
+        elif node.kind_of_fork == "branch":
+            sides, exclusive = [Side("branch", node.branches["branch"]), Side("main", node.otherwise)], False
+        else:
+            c = node.config
+            chosen = condition(c["input_col"], c["operator"], c.get("value"), c.get("comparison_column"))
+            sides, exclusive = [Side("apply_to_rows", node.branches["apply_to_rows"], chosen), Side("otherwise", node.otherwise, ~F.coalesce(chosen, F.lit(False)))], True
+        out = one_scan(df, sides, exclusive, missing)
+        if out is None:
+            return None
+        for steps in lists:
+            for n in steps:
+                for inner in n.walk():
+                    if isinstance(inner, TransformerNode):
+                        self.hooks.on_node_start(inner, {"df": df})
+                        self.hooks.on_node_end(inner, 0.0, {"df": out})
+        return self._spread(node, df, out)
+
     def _side(self, nodes: list[Node] | None, df: DataFrame, target: str | None) -> DataFrame:
         """One side of a fork. While the run looks for a node in another side, this one runs in full."""
         if nodes is None:
@@ -190,9 +226,14 @@ class Executor:
             if options.get("cast_subsets_to_input_schema"):
                 sides = [cast_to_schema(s, df.schema) for s in sides]
             out = append_dataframes(sides, options.get("allow_missing_columns", False))
-        if options.get("repartition_output_to_original"):
-            out = out.repartition(df.rdd.getNumPartitions())
-        if options.get("coalesce_output_to_original"):
-            out = out.coalesce(df.rdd.getNumPartitions())
+        out = self._spread(node, df, out)
         self._failing.pop()
         return out
+
+    def _spread(self, node: ForkNode, df: DataFrame, out: DataFrame) -> DataFrame:
+        """The result over as many partitions as the input is planned to have, where asked for."""
+        if node.merge.get("repartition_output_to_original"):
+            out = out.repartition(planned_partitions(df))
+        if node.merge.get("coalesce_output_to_original"):
+            out = out.coalesce(planned_partitions(df))
+        return out
