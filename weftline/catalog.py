@@ -954,3 +954,22 @@ add(
     "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS high, CAST(list_sort(list(l_quantity))[CAST(floor((count(*) - 1) * 0.25) AS BIGINT) + 1] AS DOUBLE) AS low, round(median(l_extendedprice), 6) AS mid, any_value(often) AS often, max(l_tax) AS tax"
     " FROM lineitem JOIN (SELECT l_returnflag, arg_min(l_quantity, (-n, l_quantity)) AS often FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1) USING (l_returnflag) GROUP BY 1",
 )
+add(
+    "sample_rows",
+    "part",
+    [SelectColumns(columns=["p_brand", "p_size"]), DataFrameMethod(method="sample", kwargs={"n": 300, "seed": 11})],
+    "SELECT p_brand, p_size FROM (SELECT *, md5(strlen(p_brand) || ':' || p_brand || strlen(CAST(p_size AS VARCHAR)) || ':' || p_size) AS d, row_number() OVER (PARTITION BY p_brand, p_size) - 1 AS copy FROM part)"
+    " ORDER BY md5('11:' || copy || ':' || d) LIMIT 300",
+)
+add(
+    "dedup_keep_rows",
+    "events",
+    [SelectColumns(columns=["value", "event_id", "user_id", "event_type"]), SparkDropDuplicates(columns=["user_id", "event_type"], keep_rows=True)],
+    "SELECT value, event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC NULLS LAST, event_id DESC) = 1",
+)
+add(
+    "pivot_wide",
+    "orders",
+    [SelectColumns(columns=["o_orderpriority", "o_orderstatus", "o_custkey", "o_totalprice"]), Pivot(pivot_col="o_custkey", id_cols=["o_orderpriority", "o_orderstatus"], aggregate_function="max", values_cols="o_totalprice"), Unpivot(id_cols=["o_orderpriority", "o_orderstatus"], melt_regex="^[0-9]", variable_col="customer", value_col="v"), DropNulls()],
+    "SELECT o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR) AS customer, max(o_totalprice) AS v FROM orders GROUP BY ALL",
+)

@@ -116,6 +116,72 @@ def drop_duplicates_no_randomness(df: DataFrame, subset: str | list[str], agg_fu
     return df.groupBy(*map(col, keys)).agg(*aggs) if aggs else df.select(*map(col, keys)).distinct()
 
 
+def orderable(c: Column, kind: T.DataType) -> Column:
+    """A value in a form that can be compared, equal only for equal values: maps become their entries, sorted, within arrays and structs too."""
+    if isinstance(kind, T.MapType):
+        return F.when(c.isNotNull(), F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(orderable(e["key"], kind.keyType).alias("key"), orderable(e["value"], kind.valueType).alias("value")))))
+    if isinstance(kind, T.ArrayType) and _has_map(kind):
+        return F.transform(c, lambda x: orderable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        return F.when(c.isNotNull(), F.struct(*[orderable(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
+    return c
+
+
+def _has_map(kind: T.DataType) -> bool:
+    parts = {T.MapType: lambda: True, T.ArrayType: lambda: _has_map(kind.elementType), T.StructType: lambda: any(_has_map(f.dataType) for f in kind.fields)}
+    return parts.get(type(kind), lambda: False)()
+
+
+def drop_duplicates_keeping_rows(df: DataFrame, subset: str | list[str], agg_func: str = "max") -> DataFrame:
+    """One row for each value of the subset, a row of the input as it stands: the greatest, or with ``min`` the least, of them.
+
+    Rows are compared column by column in the frame's order; NULL is less than all values, maps are compared by their sorted entries. So the
+    row does not depend on how the data lie. Parts are reduced before the shuffle, so that a value of many rows is no burden. Columns keep their order.
+    """
+    if agg_func not in ("max", "min"):
+        raise ValueError("'agg_func' is 'max' or 'min'")
+    keys = as_list(subset)
+    if missing := [k for k in keys if k not in df.columns]:
+        raise AssertionError(f"columns not in the dataframe: {missing}")
+    rest = [f for f in df.schema.fields if f.name not in keys]
+    alike = [orderable(col(k), df.schema[k].dataType).alias(f"k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    # keys that are alike may still be written differently (-0.0, entries of maps in another order), so that they are compared last
+    order = F.struct(F.lit(0), *[orderable(col(f.name), f.dataType).alias(f"o{i}") for i, f in enumerate(rest)], *[col(k).cast("string").alias(f"s{i}") for i, k in enumerate(keys)])
+    best = (F.max_by if agg_func == "max" else F.min_by)(row, order)
+    return df.groupBy(*alike).agg(best.alias("row")).select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
+
+
+def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """md5, as 16 bytes, of a row: each value as text, with its length in bytes before it, so that NULLs and borders of columns are told apart."""
+    texts = [orderable(col(c), df.schema[c].dataType).cast("string") for c in columns or df.columns]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]).cast("binary")))
+
+
+#: Copies of a row that a task numbers at a time.
+COPIES = 1 << 20
+
+
+def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` rows, or all where there are fewer, each set of them as likely; the same ones however the rows lie, and whatever else the session does.
+
+    Rows are known by their digest, copies of a row by numbers from 0, and those with the least md5 of seed, number and digest are taken. The search moves
+    digests and counts alone: copies are counted where they lie, so that a row of many copies is numbered in blocks by several tasks. Only rows that are
+    taken are looked up again.
+    """
+    digest = "weftline__digest"
+    keyed = df.withColumn(digest, row_digest(df))
+    counts = keyed.groupBy(digest).agg(F.count(F.lit(1)).alias("n"))
+    blocks = counts.select(digest, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {COPIES}"))).alias("block")).repartition(digest, "block")
+    begin = F.col("block") * COPIES
+    copies = blocks.select(digest, F.explode(F.sequence(begin, F.least(begin + (COPIES - 1), F.col("n") - 1))).alias("copy"))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("copy").cast("string"), F.lit(":"), F.lower(F.hex(digest))).cast("binary"))
+    taken = copies.orderBy(drawn, digest, "copy").limit(n).groupBy(digest).agg(F.count(F.lit(1)).alias("weftline__n"))
+    row = F.first(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])).alias("row")
+    found = keyed.join(taken, digest).groupBy(digest).agg(row, F.first("weftline__n").alias("n"))
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
+
+
 @dataclass
 class Skew:
     """Rows per partition."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import dates, ordered
+from weftline.functions.frames import sample_rows
 from weftline.functions.ordered import By, Counted, Deferred, Frame, Near, Running
 from weftline.functions.selectors import as_list, col
 from weftline.functions.types import cast, resolve
@@ -364,7 +366,7 @@ def _sample(df: DataFrame, n: int | None = None, fraction: float | None = None,
         return df.sample(with_replacement, fraction, seed)
     if with_replacement:
         raise ValueError("'n' rows cannot be drawn with replacement")
-    return df.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(n)
+    return sample_rows(df, n, random.getrandbits(31) if seed is None else seed)
 
 
 def _explode(df: DataFrame, columns: Any) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from weftline.functions.frames import drop_duplicates_no_randomness, get_default_spark_partitions
+from weftline.functions.frames import drop_duplicates_keeping_rows, drop_duplicates_no_randomness, get_default_spark_partitions
 from weftline.functions.methods import frame_method
 from weftline.functions.selectors import as_list, col
 from weftline.operators.base import Transformer
@@ -26,16 +26,20 @@ class DataFrameMethod(Transformer):
 
 
 class SparkDropDuplicates(Transformer):
-    """Distinct rows; by a part of the columns, one row per value of them, the same however the data lie."""
+    """Distinct rows; by a part of the columns, one row per value of them, the same however the data lie.
 
-    def __init__(self, *, columns: Names = None, regex: str | None = None, glob: str | None = None, startswith: Names = None, endswith: Names = None):
+    That row has the greatest value of each other column, so that it may be no row of the input; with ``keep_rows`` it is the greatest row as it stands.
+    """
+
+    def __init__(self, *, columns: Names = None, regex: str | None = None, glob: str | None = None, startswith: Names = None, endswith: Names = None, keep_rows: bool = False):
+        self._keep_rows = keep_rows
         self._set_columns_selections(columns=columns, regex=regex, glob=glob, startswith=startswith, endswith=endswith)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         subset = self._get_selected_columns(df)
         if not subset or set(subset) == set(df.columns):
             return df.dropDuplicates()
-        return drop_duplicates_no_randomness(df, subset)
+        return drop_duplicates_keeping_rows(df, subset) if self._keep_rows else drop_duplicates_no_randomness(df, subset)
 
 
 class Persist(Transformer):

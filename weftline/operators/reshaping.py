@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.selection import Quantile, can_select, with_quantiles
 from weftline.functions.selectors import any_selector, as_list, col, quoted, select_columns
 from weftline.operators.base import Transformer
 
 Names = str | Iterable[str] | None
 
+#: Output columns beyond which, and for medians, a pivot aggregates cells first and then lays them out.
+WIDE = 200
+
 PIVOT_AGGREGATES = {"min": F.min, "max": F.max, "first": F.first, "last": F.last, "sum": F.sum, "mean": F.avg, "median": F.median, "len": None}
 
 
+def _laying_out(n: int, n_values: int, fill: Any) -> Callable:
+    """Rows with a list of (place, values) last, to rows with a column for each place of each value: one plan node, however many columns."""
+    rows_at_once = max(1, 2_000_000 // (n * n_values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(start, rows_at_once)
+                lists = part.column(part.num_columns - 1)
+                cells = lists.flatten()
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                place = cells.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.arange(n + 1))
+                made = []
+                for v in range(n_values):
+                    child = cells.field(1 + v)
+                    for k in range(n):
+                        own = order[cuts[k] : cuts[k + 1]]
+                        at = np.full(part.num_rows, -1)
+                        at[row[own]] = own
+                        taken = child.take(pa.array(at, mask=at < 0))
+                        made.append(taken if fill is None else taken.fill_null(fill))
+                columns = [*part.columns[:-1], *made]
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    return run
+
+
 class Pivot(Transformer):
     """A column for each value of ``pivot_col``, aggregated by the id columns.
 
     With one value column an output is named by the pivot value, else by value column, separator and pivot value. Values are
-    found by one job and sorted, NULL first as "null", unless ``pivot_values`` gives them. It is one aggregation with conditions, so that Spark combines
-    rows before the shuffle. ``first`` and ``last`` depend on how rows lie.
+    found by one job and sorted, NULL first as "null", unless ``pivot_values`` gives them. Few columns are one aggregation with conditions, so that Spark combines
+    rows before the shuffle. More than WIDE are aggregated by id and pivot value, whatever their number, and then laid out by position, in Arrow batches. Medians are selected exactly without a task that
+    holds a cell's values, as GroupBy does. ``first`` and ``last`` depend on how rows lie.
     """
 
     def __init__(
@@ -60,16 +96,47 @@ class Pivot(Transformer):
             raise ValueError(f"'{self._pivot}' has more than {self._most} values; give 'pivot_values' or raise 'max_values'")
         return [None] * (None in found) + sorted(v for v in found if v is not None)
 
+    def _name(self, value: str, pivot: Any, n: int) -> str:
+        text = "null" if pivot is None else str(pivot)
+        return text if n == 1 else f"{value}{self._separator}{text}"
+
+    def _selected(self, df: DataFrame, values: list[str]) -> bool:
+        return self._aggregate == "median" and not df.isStreaming and all(can_select(df.schema[v].dataType) for v in values)
+
+    def _laid_out(self, df: DataFrame, ids: list[str], values: list[str], found: list) -> DataFrame:
+        """A row for each id and pivot value, with the value's position, first; then a row for each id. Values that are not given have no position."""
+        place, n = F.col("weftline__place"), len(found)
+        if self._known is None:
+            schema = T.StructType([T.StructField("weftline__value", df.schema[self._pivot].dataType), T.StructField("weftline__place", T.IntegerType())])
+            places = df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(found)], schema)
+        else:  # their type may be another one, which the comparison settles
+            places = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, found))).alias("weftline__place", "weftline__value"))
+        at = df.join(F.broadcast(places), col(self._pivot).eqNullSafe(F.col("weftline__value")), "left")
+        cells, names = [*map(col, ids), place], [f"weftline__v{i}" for i in range(len(values))]
+        if self._selected(df, values):
+            made = at.select(*cells).distinct()
+            made = with_quantiles(made, at, [*ids, "weftline__place"], [Quantile(a, v) for a, v in zip(names, values, strict=True)])
+        else:
+            aggregate = PIVOT_AGGREGATES[self._aggregate] or (lambda _: F.count(F.lit(1)))
+            made = at.groupBy(*cells).agg(*[aggregate(col(v)).alias(a) for a, v in zip(names, values, strict=True)])
+        row = F.collect_list(F.when(place.isNotNull(), F.struct(place.alias("place"), *names)))
+        lists = made.groupBy(*map(col, ids)).agg(row.alias("weftline__row"))
+        fields = [T.StructField(self._name(v, p, len(values)), made.schema[a].dataType) for v, a in zip(values, names, strict=True) for p in found]
+        fill = 0 if self._aggregate == "len" else None
+        return lists.mapInArrow(_laying_out(n, len(values), fill), T.StructType([*[df.schema[c] for c in ids], *fields]))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         ids = select_columns(df.columns, **self._ids)
         values = select_columns(df.columns, **self._values) if any_selector(**self._values) else [c for c in df.columns if c not in ids and c != self._pivot]
         key = col(self._pivot)
         found = self._known if self._known is not None else self._found(df)
+        if values and found and (len(values) * len(found) > WIDE or self._selected(df, values)):
+            return self._laid_out(df, ids, values, found)
         aggs = []
         for v in values:
             for p in found:
                 cond = key.isNull() if p is None else key == F.lit(p)
-                name = ("null" if p is None else str(p)) if len(values) == 1 else f"{v}{self._separator}{'null' if p is None else p}"
+                name = self._name(v, p, len(values))
                 if self._aggregate == "len":
                     agg = F.count(F.when(cond, F.lit(1)))
                 elif self._aggregate in ("first", "last"):
