@@ -360,6 +360,31 @@ _join("right_anti", f"SELECT * FROM ({_O}) l ANTI JOIN ({_W}) r USING (o_orderke
 _join("different_keys", f"SELECT {_BOTH.replace('_right', '_line')} FROM ({_O}) l JOIN ({_W}) r USING (o_orderkey)", how="inner", left_on="o_orderkey", right_on="key", suffix="_line")
 
 
+def _hot_join(how: str, sql: str) -> None:
+    """Events by kind, where it is one of two that have most of them, else by their own number, with counts of kinds and customers' numbers."""
+
+    @query(sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Storage()
+        events = read_table(spark, sf_dir, "events", ["event_id", "event_type"])
+        kinds = events.groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        store.set("right", kinds.unionByName(read_table(spark, sf_dir, "customer").select(F.expr("concat('e', 2 * c_custkey)").alias("k"), F.col("c_custkey").alias("n"))))
+        left = events.select("event_id", F.expr("CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE concat('e', event_id) END").alias("k"))
+        return Join(store_key="right", how=how, on="k", spread_hot_keys=True, store=store).transform(left)
+
+    QUERIES[f"join_hot_{how}"] = QUERIES.pop("run")
+    SQL[f"join_hot_{how}"] = SQL.pop("run")
+
+
+_HOT = (
+    "FROM (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'e' || event_id END AS k FROM events) l {} JOIN"
+    " (SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'e' || 2 * c_custkey, c_custkey FROM customer) r ON l.k = r.k"
+)
+_hot_join("inner", f"SELECT event_id, l.k, n {_HOT.format('')}")
+_hot_join("left", f"SELECT event_id, l.k, n {_HOT.format('LEFT')}")
+_hot_join("full", f"SELECT event_id, coalesce(l.k, r.k) AS k, n {_HOT.format('FULL')}")
+
+
 @query("SELECT n.*, r.r_regionkey, r.r_name FROM nation n, region r")
 def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Storage()

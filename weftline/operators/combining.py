@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,8 +11,14 @@ from pyspark.sql import functions as F
 
 from weftline.functions.selectors import as_list, col, quoted
 from weftline.operators.base import Transformer
+from weftline.operators.hot_keys import can_spread, spread_join
 from weftline.sources.storage import Storage, storage
 
+log = logging.getLogger("weftline.joins")
+
+#: Most bytes, as Spark expects them, that are broadcast when asked for; a size from UNKNOWN_BYTES on says that Spark cannot tell.
+MAX_BROADCAST_BYTES, UNKNOWN_BYTES = 1 << 30, 1 << 60
+
 #: Spellings of the joins that keep the right side.
 RIGHT = {"right": "left", "right_semi": "semi", "rightsemi": "semi", "right_anti": "anti", "rightanti": "anti"}
 SAME = {"inner": "inner", "left": "left", "full": "full", "semi": "semi", "anti": "anti", "cross": "cross", "left_semi": "semi", "left_anti": "anti", "leftsemi": "semi", "leftanti": "anti"}
@@ -44,13 +51,16 @@ def join_dataframes(
     suffix: str = "_right",
     broadcast: bool = False,
     coalesce_keys: bool = True,
+    spread_hot_keys: bool = False,
 ) -> DataFrame:
     """An equi-join whose output has no ambiguous names.
 
     Columns of the second side that clash get ``suffix``. Keys given by ``on`` appear once; of ``left_on`` and ``right_on`` the second
     side's go, but in a full join both stay, as do those of ``on`` without ``coalesce_keys``. Right joins swap the sides and
     keep the right one's columns first. ``broadcast`` hints the right frame, or where a right join preserves it, the other: only the side that is not preserved
-    can be broadcast; a full join takes no hint.
+    can be broadcast; a full join takes no hint. A frame that Spark expects to be larger than MAX_BROADCAST_BYTES is not hinted, with a warning.
+    ``spread_hot_keys`` looks for keys that have more rows than there are for a task, by a job over the keys, and deals their rows over tasks; for inner, left, right and
+    full joins by whole numbers, texts, dates or booleans of one type on both sides.
     """
     check_join(how, on, left_on, right_on)
     lkeys, rkeys = (as_list(on), as_list(on)) if on else (as_list(left_on), as_list(right_on))
@@ -58,7 +68,7 @@ def join_dataframes(
         left, right, lkeys, rkeys, kind = right, left, rkeys, lkeys, RIGHT[how]
     else:
         kind = SAME[how]
-    hint = broadcast and kind != "full"
+    hint = broadcast and kind != "full" and _may_broadcast(right)
     if kind in ("semi", "anti"):
         keyed = right.select(*[col(k).alias(f"weftline__k{i}") for i, k in enumerate(rkeys)])
         cond = reduce(lambda a, b: a & b, [left[quoted(k)] == keyed[f"weftline__k{i}"] for i, k in enumerate(lkeys)])
@@ -78,13 +88,26 @@ def join_dataframes(
         return left.crossJoin(second)
     first = left.select(*[col(k).alias(f"weftline__j{i}") for i, k in enumerate(lkeys)], *map(col, left.columns))
     cond = reduce(lambda a, b: a & b, [F.col(f"weftline__j{i}") == F.col(f"weftline__k{i}") for i in range(len(lkeys))])
-    joined = first.join(second, cond, kind)
+    mine, other = [f"weftline__j{i}" for i in range(len(lkeys))], [f"weftline__k{i}" for i in range(len(rkeys))]
+    if spread_hot_keys and not hint and can_spread(first, second, mine, other, kind):
+        joined = spread_join(first, second, mine, other, kind)
+    else:
+        joined = first.join(second, cond, kind)
     coalesced = {k: F.coalesce(col(k), F.col(f"weftline__k{i}")).alias(k) for i, k in enumerate(lkeys)} if kind == "full" and not both_keys else {}
     return joined.select(*[coalesced.get(c, col(c)) for c in left.columns], *[col(n) for n in names.values()])
 
 
+def _may_broadcast(df: DataFrame) -> bool:
+    """Whether the frame is not known to be larger than what a broadcast may be."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if MAX_BROADCAST_BYTES < size < UNKNOWN_BYTES:
+        log.warning("not broadcast: a frame of about %d bytes", size)
+        return False
+    return True
+
+
 class Join(Transformer):
-    """Joins the frame with a stored one."""
+    """Joins the frame with a stored one; see ``join_dataframes`` for the options."""
 
     def __init__(
         self,
@@ -97,11 +120,12 @@ class Join(Transformer):
         suffix: str = "_right",
         broadcast: bool = False,
         coalesce_keys: bool = True,
+        spread_hot_keys: bool = False,
         store: Storage = storage,
     ):
         check_join(how, on, left_on, right_on)
         self._key, self._store = store_key, store
-        self._options = {"how": how, "on": on, "left_on": left_on, "right_on": right_on, "suffix": suffix, "broadcast": broadcast, "coalesce_keys": coalesce_keys}
+        self._options = {"how": how, "on": on, "left_on": left_on, "right_on": right_on, "suffix": suffix, "broadcast": broadcast, "coalesce_keys": coalesce_keys, "spread_hot_keys": spread_hot_keys}
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return join_dataframes(df, self._store.get(self._key), **self._options)
