@@ -148,6 +148,12 @@ def test_exact_dedup(spark, docs, none):
         want += [(r.doc_id, best, len(members), r.doc_id == best, hashlib.sha256(t.encode()).hexdigest()) for r in members]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert exact_dedup.exact_dedup(none, index).count() == 0
+    ends = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "a"), (0, "a"), (None, "a"), (None, "b")], "doc_id bigint, text string")
+    got = exact_dedup.exact_dedup(ends, exact_dedup.fresh_index(spark, 2)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got if r.group_size > 1) == [
+        *[(False, i, -(2**63), 4, i < 0) for i in (-(2**63), 0, 2**63 - 1)], (True, 0, -(2**63), 4, False),
+    ]
+    assert [(r.doc_id, r.keep_id, r.kept) for r in got if r.group_size == 1] == [(None, None, False)]
 
 
 def test_index_persists(spark):

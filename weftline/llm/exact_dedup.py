@@ -150,11 +150,11 @@ def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row per digest: the longest original text stays, then the smallest doc_id. Partial sums make hot groups small before the shuffle."""
-    best = F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("neg_id"))).alias("best")
+    best = F.max(F.struct(F.col("n_chars"), F.bitwise_not("doc_id").alias("not_id"))).alias("best")  # falls where the id rises, for all ids
     return (
         rows.groupBy("digest")
         .agg(best, F.count(F.lit(1)).alias("group_size"))
-        .select("digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
+        .select("digest", F.bitwise_not("best.not_id").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size")
     )
 
 
