@@ -305,6 +305,7 @@ def test_ordered_methods(spark):
     assert run("rank", "average", partition_by="k") == [2.5, None, 2.5, 1.0, 1.0] and run("rank", "min", c="k", order_by="i") == [1, 2, 3, 4, 5]
     assert run("rolling_sum", 2, **by) == [None, None, None, 6.0, None] and run("rolling_sum", 2, min_samples=1, **by) == [5.0, 5.0, 5.0, 6.0, 2.0]
     assert run("rolling_mean", 2, **by) == [None, None, None, 3.0, None] and run("rolling_min", 2, **by)[3] == 1.0 and run("rolling_max", 2, **by)[3] == 5.0
+    assert run("rolling_median", 3, min_samples=2, **by) == [None, None, 5.0, 3.0, None] and run("rolling_median", 3, min_samples=2, order_by="i") == [None, None, 5.0, 3.0, 2.0]
     assert run("rolling_var", 2, **by)[3] == 8.0 and run("rolling_std", 2, **by)[3] == pytest.approx(8**0.5)
     assert run("fill_null", strategy="forward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0] and run("fill_null", strategy="backward", **by) == [5.0, 5.0, 5.0, 1.0, 2.0]
     assert run("is_first_distinct", order_by="i") == [True, True, False, True, True] and run("is_last_distinct", order_by="i", partition_by="k") == [False, True, True, True, True]
@@ -323,6 +324,12 @@ def test_frame_methods(spark):
     assert run("tail", 1, by="i") == [(3, "c", None)] and frame_method("rename")(df, {"s": "t"}).columns == ["i", "t", "l"]
     assert frame_method("drop")(df, "s", ["l"]).columns == ["i"] and frame_method("select")(df, "l", "i").columns == ["l", "i"]
     assert run("drop_nulls", "s") == [(1, "a", [1, 2]), (3, "c", None)] and run("drop_nulls") == [(1, "a", [1, 2])]
+    assert [r.i for r in frame_method("gather_every")(df, 2, order_by="i").orderBy("i").collect()] == sorted(r.i for r in df.collect())[::2]
+    assert [r.i for r in frame_method("gather_every")(df, 2, 1, order_by="i").orderBy("i").collect()] == sorted(r.i for r in df.collect())[1::2]
+    with pytest.raises(ValueError):
+        frame_method("gather_every")(df, 2)
+    melted = frame_method("unpivot")(df.select("i", F.col("i").alias("j"), F.lit(None).cast("int").alias("none")), index="i", variable_name="what")
+    assert melted.columns == ["i", "what", "value"] and sorted((r.what, r.value) for r in melted.collect() if r.i == 1) == sorted([("j", 1), ("none", None)])
     assert [r.n for r in frame_method("with_row_index")(df, "n", order_by="i").orderBy("i").collect()] == [0, 1, 2]
     assert run("explode", "l") == [(1, "a", 1), (1, "a", 2), (2, None, None), (3, "c", None)]
     assert run("filter", "i > 1", "s IS NOT NULL") == [(3, "c", None)]

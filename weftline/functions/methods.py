@@ -124,7 +124,8 @@ def _rolling(name: str) -> Callable[..., Column | Deferred]:
 
     def over(c: Column, w: Any, window_size: int, min_samples: int | None = None) -> Column:
         w = w.rowsBetween(1 - window_size, 0)
-        return F.when(F.count(c).over(w) >= (window_size if min_samples is None else min_samples), getattr(F, name)(c).over(w))
+        value = F.percentile(c, F.lit(0.5)) if name == "median_of_rows" else getattr(F, name)(c)
+        return F.when(F.count(c).over(w) >= (window_size if min_samples is None else min_samples), value.over(w))
 
     def spread(c: Column, window_size: int, min_samples: int | None = None) -> Callable[[Frame], Column]:
         return lambda frame: frame.want(Near(lambda w: over(c, w, window_size, min_samples), window_size - 1, 0))
@@ -222,6 +223,7 @@ COLUMN_METHODS: dict[str, Callable[..., Column]] = {
     "rolling_mean": _rolling("avg"),
     "rolling_min": _rolling("min"),
     "rolling_max": _rolling("max"),
+    "rolling_median": _rolling("median_of_rows"),
     "rolling_std": _rolling("stddev_samp"),
     "rolling_var": _rolling("var_samp"),
     "str.strip_chars": _strip("both"),
@@ -449,6 +451,8 @@ FRAME_METHODS: dict[str, Callable[..., DataFrame]] = {
     "drop_nulls": lambda df, subset=None: df.filter(reduce(lambda a, b: a & b, [col(c).isNotNull() for c in as_list(subset) or df.columns])),
     "with_row_index": lambda df, name="index", order_by=None: _row_index(df, name, order_by),
     "join_asof": _join_asof,
+    "gather_every": lambda df, n, offset=0, order_by=None: _gather_every(df, n, offset, order_by),
+    "unpivot": lambda df, on=None, index=None, variable_name="variable", value_name="value": _unpivot(df, on, index, variable_name, value_name),
     "clear": lambda df: df.limit(0),
     "filter": lambda df, *predicates: df.filter(reduce(lambda a, b: a & b, [F.expr(p) for p in predicates])),
     "with_columns": lambda df, **columns: df.withColumns({c: F.expr(e) for c, e in columns.items()}),
@@ -470,6 +474,24 @@ def _row_index(df: DataFrame, name: str, order_by: Any) -> DataFrame:
     return rows.select(F.col(ordered.ROW).alias(name), *[col(c) for c in df.columns if c != name])
 
 
+def _gather_every(df: DataFrame, n: int, offset: int, order_by: Any) -> DataFrame:
+    """Every n-th row in the order given, from row ``offset`` on."""
+    if order_by is None:
+        raise ValueError("rows have no order in Spark: 'gather_every' needs 'order_by'")
+    if n < 1 or offset < 0:
+        raise ValueError("'n' is 1 or more, 'offset' 0 or more")
+    rows, _ = ordered.number(df, [By(col(c)).directed() for c in as_list(order_by)])
+    row = F.col(ordered.ROW)
+    return rows.filter((row >= offset) & ((row - offset) % n == 0)).select(*[col(c) for c in df.columns])
+
+
+def _unpivot(df: DataFrame, on: Any, index: Any, variable_name: str, value_name: str) -> DataFrame:
+    """A row for each of the columns ``on``, by default all but ``index``. NULLs stay."""
+    ids = as_list(index)
+    values = as_list(on) or [c for c in df.columns if c not in ids]
+    return df.unpivot([col(c) for c in ids], [col(c) for c in values], variable_name, value_name)
+
+
 def frame_method(name: str) -> Callable[..., DataFrame]:
     if name not in FRAME_METHODS:
         raise ValueError(f"unknown dataframe method '{name}'; known are {sorted(FRAME_METHODS)}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -27,6 +29,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped or any(p and os.path.realpath(p) == root for p in seen):
         return
     folder = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, "weftline.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(_PACKAGE.rglob("*.py")):

@@ -14,6 +14,7 @@ from weftline.functions.conditions import condition
 from weftline.functions.frames import cast_to_schema, planned_partitions, split_df
 from weftline.operators.combining import append_dataframes, join_dataframes
 from weftline.plans.builder import JOIN_KEYS, is_transformer
+from weftline.plans.failures import Step
 from weftline.plans.hooks import NoOpHooks, PipelineHooks
 from weftline.plans.nodes import ConversionNode, ForkNode, FunctionNode, InputNode, Node, OutputNode, SequenceNode, StorageNode, TransformerNode
 from weftline.plans.one_scan import Side, one_scan, row_wise, split_paths
@@ -29,7 +30,7 @@ class Executor:
     """One run of a tree.
 
     A failing step leaves its input frames in storage under ``FAIL_DF_...``. As frames are lazy, only what fails while plans
-    are built, or in a step that runs a job, is caught. ``resume_from`` skips every step before the node of that id, wherever in the tree
+    are built, or in a step that runs a job, is caught here; what fails in an action is traced to its step by ``TransformerPipeline.watch``. ``resume_from`` skips every step before the node of that id, wherever in the tree
     it stands: forks on the way to it are entered, those before it are passed by.
     """
 
@@ -42,6 +43,9 @@ class Executor:
             raise ValueError(f"no node has the id '{resume_from}'")
         self.resuming = resume_from is not None
         self._failing: list[dict[str, DataFrame]] = []
+        #: The steps done, each with those inside it.
+        self.trace: list[Step] = []
+        self._inside: list[list[Step]] = [self.trace]
 
     def run(self, df: DataFrame) -> DataFrame:
         began = time.perf_counter()
@@ -86,6 +90,7 @@ class Executor:
         began = time.perf_counter()
         self.hooks.on_node_start(node, {"df": df})
         self._failing.append({node.kind: df} if isinstance(node, (TransformerNode, FunctionNode, ForkNode)) else {})
+        self._inside.append([])
         try:
             out = self._leaf_or_fork(node, df)
             if self.after is not None and isinstance(node, (TransformerNode, FunctionNode, ForkNode)):
@@ -93,6 +98,10 @@ class Executor:
         except Exception as e:
             self.hooks.on_error(node, e, {"df": df})
             raise
+        finally:
+            inside = self._inside.pop()
+        if isinstance(node, (TransformerNode, FunctionNode, ForkNode)):
+            self._inside[-1].append(Step(node, df, out, inside))
         self._failing.pop()
         self.hooks.on_node_end(node, 1000 * (time.perf_counter() - began), {"df": out})
         return out

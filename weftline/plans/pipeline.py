@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import AbstractContextManager
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from weftline.plans.builder import Builder, _skipped, check_apply_to_rows, check_branch, is_keyword, is_transformer
 from weftline.plans.config import PipelineConfig
 from weftline.plans.executor import Executor
+from weftline.plans.failures import Step, watched
 from weftline.plans.hooks import LoggingHooks, NoOpHooks, PipelineHooks
 from weftline.plans.nodes import InputNode, Node, OutputNode, SequenceNode
 from weftline.plans.render import Printer, dot
@@ -97,6 +99,7 @@ class TransformerPipeline:
             steps = builder.sequence(data)
         self._ir = SequenceNode(name=name, steps=[InputNode(name=df_input_name or "DF input"), *steps, OutputNode(name=df_output_name or "DF output")])
         self._ir.assign_ids()
+        self._last: list[Step] = []
 
     @staticmethod
     def _check_forks(is_split: bool, branch: Any, rows: Any, otherwise: Any) -> None:
@@ -130,7 +133,18 @@ class TransformerPipeline:
             hooks = LoggingHooks(max_param_length=PipelineConfig["max_param_length"], show_params=shown) if loud else NoOpHooks()
         if after_each_step is not None and not (is_transformer(after_each_step) or callable(after_each_step)):
             raise TypeError("'after_each_step' is a transformer or a function")
-        return Executor(self._ir, self._store, hooks, resume_from, after_each_step).run(df)
+        executor = Executor(self._ir, self._store, hooks, resume_from, after_each_step)
+        out = executor.run(df)
+        self._last = executor.trace
+        return out
+
+    def watch(self) -> AbstractContextManager[None]:
+        """For actions on what the last run gave: ``with pipeline.watch(): out.collect()``.
+
+        Frames are lazy, so that a value that cannot be computed fails in the action. Then the step that makes it fail is looked for, by computing the
+        frames after some of the steps, and its input is put in storage under ``FAIL_DF_...``; the error says which.
+        """
+        return watched(self._last, self._store)
 
     #: A pipeline is a transformer too.
     def transform(self, df: DataFrame) -> DataFrame:
