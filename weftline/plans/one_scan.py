@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.ordered import Counted, Deferred
-from weftline.functions.selectors import col
+from weftline.functions.selectors import col, quoted
 from weftline.operators import (
     AddLiterals,
     AssertContainsColumns,
@@ -53,16 +53,11 @@ class Rows:
     methods called so far, so that they can be called again on another one.
     """
 
-    def __init__(self, frame: DataFrame, columns: list[str], path: tuple = ()):
-        self.frame, self.columns, self.path = frame, columns, path
+    def __init__(self, frame: DataFrame, columns: list[str], path: tuple = (), hidden: tuple = (_IN,)):
+        self.frame, self.columns, self.path, self._hidden = frame, columns, path, hidden
 
     def _then(self, method: str, args: tuple, frame: DataFrame) -> Rows:
-        hidden = set(self._hidden)
-        return Rows(frame, [c for c in frame.columns if c not in hidden], (*self.path, (method, args)))
-
-    @property
-    def _hidden(self) -> list[str]:
-        return [c for c in self.frame.columns if c not in self.columns]
+        return Rows(frame, [c for c in frame.columns if c not in self._hidden], (*self.path, (method, args)), self._hidden)
 
     @property
     def schema(self) -> T.StructType:
@@ -83,7 +78,7 @@ class Rows:
     def select(self, *columns: Any) -> Rows:
         given = list(columns[0]) if len(columns) == 1 and isinstance(columns[0], (list, tuple)) else list(columns)
         chosen = [x for c in given for x in ([col(v) for v in self.columns] if isinstance(c, str) and c == "*" else [col(c) if isinstance(c, str) else c])]
-        return self._then("select", columns, self.frame.select(*chosen, *[F.col(c) for c in self._hidden]))
+        return self._then("select", columns, self.frame.select(*chosen, *self._hidden))
 
     def withColumns(self, changed: dict[str, Column]) -> Rows:
         if any(isinstance(c, (Deferred, Counted)) for c in changed.values()):
@@ -169,25 +164,25 @@ def one_scan(df: DataFrame, sides: list[Side], exclusive: bool, allow_missing: b
     conditions = [s.condition for s in sides]
     if not exclusive and all(c is not None for c in conditions):  # rows of no side need not be read
         df = df.filter(reduce(lambda a, b: a | b, conditions))
-    was = [col(c).alias(o) for c, o in zip(df.columns, originals, strict=True)]
-    base = df.select(*was, *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(f) for c, f in zip(conditions, flags, strict=True)])
+    flagged = df.withColumns({f: F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for c, f in zip(conditions, flags, strict=True)})
+    # expressions as texts: they are many, and a text is one call to Spark
+    base = flagged.selectExpr(*[f"{quoted(c)} AS {o}" for c, o in zip(df.columns, originals, strict=True)], *flags)
     made: list[tuple[str, T.StructType]] = []
+    start, names = base, [*originals, *flags]
     try:
         for k, side in enumerate(sides):
-            kept = [F.col(c) for c in base.columns]
-            own = [F.when(F.col(flags[k]), F.col(o)).alias(c) for c, o in zip(df.columns, originals, strict=True)]
-            rows = Rows(base.select(*own, F.col(flags[k]).alias(_IN), *kept), df.columns)
+            kept = (*names, *[place for place, _ in made])
+            own = [f"CASE WHEN {flags[k]} THEN {o} END AS {quoted(c)}" for c, o in zip(df.columns, originals, strict=True)]
+            rows = Rows(base.selectExpr(*own, f"{flags[k]} AS {_IN}", *kept), df.columns, hidden=(_IN, *kept))
             for method, args in side.path:
                 rows = getattr(rows, method)(*args)
             rows = _run(side.nodes, rows)
             if len(set(rows.columns)) != len(rows.columns) or not rows.columns:
                 return None
-            result = F.when(F.col(_IN), F.struct(*[col(c).alias(c) for c in rows.columns])).alias(f"{_PLACE}{k}")
-            after = rows.frame.select(*kept, result)
-            if not _only_projects(base, after):
-                return None
-            base = after
             made.append((f"{_PLACE}{k}", rows.schema))
+            base = rows.frame.selectExpr(*kept, f"CASE WHEN {_IN} THEN struct({', '.join(map(quoted, rows.columns))}) END AS {_PLACE}{k}")
+        if not _only_projects(start, base):
+            return None
     except Exception:  # the fork is run as a union, which fails with the frames of the step that fails
         return None
     kinds: dict[str, T.DataType] = {}
@@ -197,11 +192,12 @@ def one_scan(df: DataFrame, sides: list[Side], exclusive: bool, allow_missing: b
                 return None
     if not allow_missing and any(set(schema.names) != set(kinds) for _, schema in made):
         return None
-    places = [
-        F.when(F.col(name).isNotNull(), F.struct(*[(F.col(name)[c] if c in schema.names else F.lit(None).cast(kind)).alias(c) for c, kind in kinds.items()])) for name, schema in made
-    ]
+    places = []
+    for name, schema in made:
+        fields = [f"{name}.{quoted(c)} AS {quoted(c)}" if c in schema.names else f"CAST(NULL AS {kind.simpleString()}) AS {quoted(c)}" for c, kind in kinds.items()]
+        places.append(f"CASE WHEN {name} IS NOT NULL THEN struct({', '.join(fields)}) END")
     if exclusive:
-        out = base.select(F.coalesce(*places).alias(_PLACE)).filter(F.col(_PLACE).isNotNull())
+        out = base.selectExpr(f"coalesce({', '.join(places)}) AS {_PLACE}").filter(f"{_PLACE} IS NOT NULL")
     else:
-        out = base.select(F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias(_PLACE))
-    return out.select(*[F.col(_PLACE)[c].alias(c) for c in kinds])
+        out = base.selectExpr(f"explode(filter(array({', '.join(places)}), x -> x IS NOT NULL)) AS {_PLACE}")
+    return out.selectExpr(*[f"{_PLACE}.{quoted(c)} AS {quoted(c)}" for c in kinds])
