@@ -1,7 +1,7 @@
 import pytest
 
 from weftline import TransformerPipeline
-from weftline.operators import AddLiterals, AssertNotEmpty, Filter, GroupBy
+from weftline.operators import AddLiterals, AssertNotEmpty, Filter, GroupBy, SparkDropDuplicates, WithColumns
 from weftline.streaming import run_per_batch, stream_through
 
 
@@ -32,3 +32,15 @@ def test_run_per_batch(source, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen.values()) == sum(range(30)) and len(seen) > 1
+
+
+def test_state_needs_a_bound(source):
+    for step in (GroupBy(groupby_columns="id", aggregations={"max": "id"}), SparkDropDuplicates()):
+        p = TransformerPipeline([step])
+        with pytest.raises(ValueError, match="grow for ever"):
+            stream_through(p, source)
+        assert stream_through(p, source, unbounded_state=True).isStreaming
+        timed = source.selectExpr("id", "timestamp_seconds(id) AS t").withWatermark("t", "1 minute")
+        assert stream_through(p, timed).isStreaming
+    with pytest.raises(ValueError, match="run_per_batch"):
+        stream_through(TransformerPipeline([WithColumns(columns="id", method="cum_sum", kwargs={"order_by": "id"})]), source)

@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.frames import cast_to_schema, compare_dfs, drop_duplicates_no_randomness, hash_dataframe
+from weftline.functions.frames import cast_to_schema, compare_dfs, drop_duplicates_no_randomness, hash_dataframe, is_broadcast
+from weftline.functions.workers import udf_ensure_package_in_spark_workers
 from weftline.operators import (
     AddLiterals,
     AggregateOverWindow,
@@ -47,6 +48,7 @@ from weftline.operators import (
     WithColumns,
 )
 from weftline.plans import TransformerPipeline, load_pipeline
+from weftline.plans.hooks import NoOpHooks
 from weftline.sources import Storage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -995,6 +997,99 @@ add(
 add(
     "pivot_wide",
     "orders",
-    [SelectColumns(columns=["o_orderpriority", "o_orderstatus", "o_custkey", "o_totalprice"]), Pivot(pivot_col="o_custkey", id_cols=["o_orderpriority", "o_orderstatus"], aggregate_function="max", values_cols="o_totalprice"), Unpivot(id_cols=["o_orderpriority", "o_orderstatus"], melt_regex="^[0-9]", variable_col="customer", value_col="v"), DropNulls()],
-    "SELECT o_orderpriority, o_orderstatus, CAST(o_custkey AS VARCHAR) AS customer, max(o_totalprice) AS v FROM orders GROUP BY ALL",
+    [
+        SelectColumns(columns=["o_orderpriority", "o_orderstatus", "o_orderdate", "o_totalprice"]),
+        Cast(cast={"o_orderdate": "date"}),
+        Pivot(pivot_col="o_orderdate", id_cols=["o_orderpriority", "o_orderstatus"], aggregate_function="max", values_cols="o_totalprice"),
+        Unpivot(id_cols=["o_orderpriority", "o_orderstatus"], melt_regex="^[0-9]", variable_col="day", value_col="v"),
+        DropNulls(),
+    ],
+    "SELECT o_orderpriority, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, max(o_totalprice) AS v FROM orders GROUP BY ALL",
+)
+
+
+# runs: storage for debugging, resuming, steps in between, hooks, own transformers, workers
+def _lit(name: str, value: Any) -> AddLiterals:
+    return AddLiterals(data=[{"alias": name, "value": value, "cast": "int64"}])
+
+
+_WEST = Filter(input_col="n_regionkey", operator="lt", value=2)
+add("store_debug_on", "nation", [{"storage_debug_mode": True}, _WEST, {"store_debug": "kept"}, _lit("later", 1), {"from_store": "kept"}], "SELECT * FROM nation WHERE n_regionkey < 2")
+add("store_debug_off", "nation", [{"store": "kept"}, {"storage_debug_mode": False}, _WEST, {"store_debug": "kept"}, {"from_store": "kept"}], "SELECT * FROM nation")
+add(
+    "apply_to_rows_compared",
+    "orders",
+    [SelectColumns(columns=["o_orderkey", "o_custkey"]), _lit("less", 1)],
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey < o_orderkey THEN 1::BIGINT END AS less FROM orders",
+    apply_to_rows={"input_col": "o_custkey", "operator": "lt", "comparison_column": "o_orderkey"},
+    otherwise=[SelectColumns(columns=["o_orderkey", "o_custkey"])],
+    allow_missing_columns=True,
+    repartition_output_to_original=True,
+)
+
+
+@query("SELECT *, 2::BIGINT AS b, 3::BIGINT AS c FROM supplier")
+def resume_from_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that begins at its second step."""
+    p = TransformerPipeline([_lit("a", 1), _lit("b", 2), _lit("c", 3)])
+    second = [i for i in p.get_node_ids() if i.startswith("AddLiterals")][1]
+    return p.run(read_table(spark, sf_dir, "supplier"), resume_from=second, verbose=False)
+
+
+@query("SELECT *, 1::BIGINT AS a, 2::BIGINT AS b, 3 AS steps FROM supplier")
+def after_each_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function that runs after every step counts them."""
+    count = lambda df: df.withColumn("steps", (F.col("steps") if "steps" in df.columns else F.lit(0)) + 1)
+    return TransformerPipeline([_lit("a", 1), _lit("b", 2), lambda df: df]).run(read_table(spark, sf_dir, "supplier"), after_each_step=count, verbose=False)
+
+
+@query("SELECT *, 1::BIGINT AS a, 'AddLiterals function fork AddLiterals' AS seen FROM supplier")
+def hooks_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hooks hear of every step, of those within a fork that is one scan too."""
+    seen: list[str] = []
+
+    class Names(NoOpHooks):
+        def on_node_start(self, node: Any, context: dict) -> None:
+            seen.append(getattr(node, "kind", "other").split(":")[0 if not hasattr(node, "transformer") else 1])
+
+    inner = TransformerPipeline([_lit("a", 1)], apply_to_rows={"input_col": "s_suppkey", "operator": "gt", "value": 0})
+    out = TransformerPipeline([_lit("a", 1), lambda df: df, inner]).run(read_table(spark, sf_dir, "supplier"), hooks=Names())
+    return out.withColumn("seen", F.lit(" ".join(seen)))
+
+
+@query("SELECT *, s_acctbal * 2 AS twice FROM supplier")
+def duck_typed_transformer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any object with a method ``transform`` is a step."""
+
+    class Twice:
+        def transform(self, df: DataFrame, factor: int = 2) -> DataFrame:
+            return df.withColumn("twice", F.col("s_acctbal") * factor)
+
+    return TransformerPipeline([Twice()]).run(read_table(spark, sf_dir, "supplier"), verbose=False)
+
+
+@query("SELECT n_nationkey, true AS here, false AS nowhere, true AS small, false AS not_small FROM nation")
+def workers_and_broadcasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What workers can import, and which plans broadcast."""
+    df = read_table(spark, sf_dir, "nation", ["n_nationkey"])
+    out = df.withColumn("here", udf_ensure_package_in_spark_workers("pyspark")("n_nationkey")).withColumn("nowhere", udf_ensure_package_in_spark_workers("no_such_package")("n_nationkey"))
+    return out.withColumn("small", F.lit(is_broadcast(df.join(F.broadcast(df.withColumnRenamed("n_nationkey", "k")), F.col("n_nationkey") == F.col("k"))))).withColumn("not_small", F.lit(is_broadcast(df)))
+
+
+_methods("math_more", "customer", "CASE WHEN c_custkey > 0 THEN round(ln(c_custkey), 6) END AS natural, CASE WHEN c_custkey > 0 THEN round(log2(c_custkey), 6) END AS binary, round(tan(c_nationkey), 6) AS slope, CASE WHEN c_custkey > 0 THEN round(exp(ln(c_custkey)), 6) END AS again", _m("c_custkey", "log", "g1"), _m("g1", "round", "natural", 6), _m("c_custkey", "log", "b1", 2), _m("b1", "round", "binary", 6), _m("c_nationkey", "tan", "t1"), _m("t1", "round", "slope", 6), _m("g1", "exp", "e1"), _m("e1", "round", "again", 6))
+add(
+    "methods_spans",
+    "orders",
+    [
+        SelectColumns(columns=["o_orderkey", "o_orderdate"]),
+        lambda df: df.withColumn("span", F.col("o_orderdate").cast("timestamp") - F.lit("1992-01-01 06:30:00").cast("timestamp")),
+        WithColumns(columns="span", method="dt.total_days", alias="days"),
+        WithColumns(columns="span", method="dt.total_hours", alias="hours"),
+        WithColumns(columns="span", method="dt.total_minutes", alias="minutes"),
+        WithColumns(columns="span", method="dt.total_seconds", alias="seconds"),
+        SelectColumns(columns=["o_orderkey", "days", "hours", "minutes", "seconds"]),
+    ],
+    "SELECT o_orderkey, s // 86400 AS days, s // 3600 AS hours, s // 60 AS minutes, s AS seconds FROM (SELECT o_orderkey, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) - epoch(TIMESTAMP '1992-01-01 06:30:00') AS BIGINT) AS s FROM orders)",
 )
+add("frame_gather_every", "orders", [SelectColumns(columns=["o_orderkey", "o_custkey"]), DataFrameMethod(method="gather_every", args=[7, 3], kwargs={"order_by": "o_orderkey"})], "SELECT o_orderkey, o_custkey FROM orders QUALIFY (row_number() OVER (ORDER BY o_orderkey) - 4) % 7 = 0 AND row_number() OVER (ORDER BY o_orderkey) > 3")
+add("frame_unpivot", "customer", [SelectColumns(columns=["c_custkey", "c_name", "c_mktsegment"]), DataFrameMethod(method="unpivot", kwargs={"index": "c_custkey"})], "SELECT c_custkey, 'c_name' AS variable, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer")

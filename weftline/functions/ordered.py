@@ -53,6 +53,8 @@ def number(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:
 
     Rows equal in ``order`` are told apart by where they were read, so that many equal ones spread over tasks too.
     """
+    if df.isStreaming:
+        raise ValueError("a stream has no order of all its rows; use 'run_per_batch'")
     spread = df.withColumn(_TIE, F.monotonically_increasing_id()).sort(*order, F.col(_TIE)).drop(_TIE)
     placed = reliable(spread).withColumns({_PART: F.spark_partition_id(), _AT: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a task

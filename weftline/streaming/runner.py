@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators import AggregateOverWindow, AssertCount, AssertNotEmpty, CpuInfo, DataFrameMethod, LagOverWindow, LogDataSkew, Persist, Pivot
+from weftline.operators import AggregateOverWindow, AssertCount, AssertNotEmpty, CpuInfo, DataFrameMethod, GroupBy, LagOverWindow, LogDataSkew, Persist, Pivot, SparkDropDuplicates
 from weftline.plans.nodes import ForkNode, TransformerNode
 from weftline.plans.pipeline import TransformerPipeline
 
@@ -20,13 +20,24 @@ from weftline.plans.pipeline import TransformerPipeline
 WHOLE_FRAMES = (AggregateOverWindow, AssertCount, AssertNotEmpty, CpuInfo, DataFrameMethod, LagOverWindow, LogDataSkew, Persist, Pivot)
 
 
-def stream_through(pipeline: TransformerPipeline, stream: DataFrame) -> DataFrame:
-    """The stream after the pipeline; ValueError where a step needs whole frames."""
+#: Operators that remember all keys they have seen, unless a watermark lets old ones go.
+STATEFUL = (GroupBy, SparkDropDuplicates)
+_WATERMARK = "spark.watermarkDelayMs"
+
+
+def stream_through(pipeline: TransformerPipeline, stream: DataFrame, unbounded_state: bool = False) -> DataFrame:
+    """The stream after the pipeline; ValueError where a step needs whole frames, or groups or drops duplicates of a stream without a watermark.
+
+    The state of the latter grows for ever; ``unbounded_state`` says that it may, as where the keys are known to be few.
+    """
     if not stream.isStreaming:
         raise ValueError("not a streaming dataframe")
+    bounded = unbounded_state or any(_WATERMARK in f.metadata for f in stream.schema.fields)
     for n in pipeline._ir.walk():
         if isinstance(n, TransformerNode) and isinstance(n.transformer, WHOLE_FRAMES):
             raise ValueError(f"'{n.name}' needs whole frames; use 'run_per_batch'")
+        if isinstance(n, TransformerNode) and isinstance(n.transformer, STATEFUL) and not bounded:
+            raise ValueError(f"the state of '{n.name}' would grow for ever: give the stream a watermark, or 'unbounded_state'")
         if isinstance(n, ForkNode) and (n.skip_if_empty or n.config.get("skip_if_empty")):
             raise ValueError("'skip_if_empty' needs whole frames; use 'run_per_batch'")
     return pipeline.run(stream, verbose=False)
