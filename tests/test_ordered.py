@@ -166,6 +166,18 @@ def test_several_orders_and_replaced_columns(few):
     same(got, few.withColumns({"v": F.lag("v").over(w), "t": F.lag("t").over(w)}))
 
 
+def test_aggregates_of_all_rows_need_no_order(few):
+    aggs = [{"agg": a, "col": "v", "alias": a} for a in ("sum", "avg", "max", "stddev", "count", "countDistinct", "collect_set")]
+    out = AggregateOverWindow(aggregations=aggs).transform(few)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    want = few.agg(*[getattr(F, a)("v").alias(a) for a in ("sum", "avg", "max", "stddev", "count")], F.count_distinct("v").alias("countDistinct")).first()
+    got = out.collect()
+    assert len(got) == 500 and all(close(r[a], want[a]) for r in got for a in want.asDict()) and len(got[0].collect_set) == want["countDistinct"]
+    rows = AggregateOverWindow(aggregations={"agg": "sum", "col": "i", "alias": "s"}, order_cols="t", range_between=["start", "end"]).transform(few).collect()
+    assert {r.s for r in rows} == {sum(range(500))}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_small_frames(spark, n):
     df = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("v"))

@@ -128,6 +128,8 @@ class AggregateOverWindow(_Window):
             return df
         by_value = self._by_value()
         whole = self._frame() == (None, None)
+        if whole and not self._partition and not (self._order and any(a["agg"] in ("first", "last") for a in made.values())):
+            return df.withColumns({n: df.agg(WINDOW_AGGREGATES[a["agg"]](col(a["col"]))).scalar() for n, a in made.items()})  # aggregates of the frame
         one_task = not self._partition and (by_value is None or (any(a["agg"] in COLLECTIONS for a in made.values()) and None in self._frame()))
         if self._partition or one_task:
             if one_task:
