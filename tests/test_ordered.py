@@ -210,6 +210,21 @@ def test_hot_ties_spread_and_no_task_holds_all_rows(spark):
         check_plan(step.transform(df), 100_000)
 
 
+TO_END = {
+    "fill_null": lambda df: WithColumns(columns="v", method="fill_null", kwargs={"strategy": "backward", "order_by": "i"}),
+}
+
+
+@pytest.mark.parametrize("step", TO_END)
+def test_no_frame_is_made_anew_for_each_row(spark, step):
+    """Spark aggregates a frame that runs to the end from each row on, in the square of the rows; from the start it adds row by row."""
+    df = spark.range(20_000, numPartitions=4).select(F.col("id").alias("i"), F.when(F.col("id") % 5 > 0, F.col("id") % 97).alias("v"))
+    out = TO_END[step](df).transform(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert out.count() == 20_000
+
+
 # as-of joins
 
 

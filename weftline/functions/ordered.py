@@ -104,6 +104,11 @@ def _plain(agg: str, c: Column) -> Column:
     return {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "first_known": lambda x: F.first(x, True), "last_known": lambda x: F.last(x, True)}[agg](c)
 
 
+def _mirrored(agg: str) -> str:
+    """The same aggregate of rows in the reversed order."""
+    return {"first_known": "last_known", "last_known": "first_known"}.get(agg, agg)
+
+
 def _partial(r: Running) -> Column:
     """The aggregate of a chunk's rows, as they come in no order."""
     known = F.when(r.c.isNotNull(), F.col(ROW))
@@ -133,7 +138,7 @@ def evaluate(rows: DataFrame, total: int, wanted: dict[str, Request]) -> DataFra
         spread = rows.withColumn(CHUNK, F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
     else:
         spread = rows.withColumn(CHUNK, chunk(row))
-    w = Window.partitionBy(CHUNK).orderBy(ROW)
+    w, to_end = Window.partitionBy(CHUNK).orderBy(ROW), Window.partitionBy(CHUNK).orderBy(F.col(ROW).desc())
     begin = F.col(CHUNK) * F.lit(size)
     end = begin + F.lit(size)
     made: dict[str, Column] = {}
@@ -144,8 +149,8 @@ def evaluate(rows: DataFrame, total: int, wanted: dict[str, Request]) -> DataFra
         elif r.lo is None:  # all rows before the chunk, and so many fewer as the frame ends before the row, are carried
             made[name] = _plain(r.agg, F.when(row >= begin - r.back, r.c)).over(w.rowsBetween(Window.unboundedPreceding, r.hi))
             carried.setdefault((True, r.back), {})[name] = r
-        else:
-            made[name] = _plain(r.agg, F.when(row < end + r.ahead, r.c)).over(w.rowsBetween(r.lo, Window.unboundedFollowing))
+        else:  # from the end in the reversed order, as Spark makes a frame that runs to the end anew for each row
+            made[name] = _plain(_mirrored(r.agg), F.when(row < end + r.ahead, r.c)).over(to_end.rowsBetween(Window.unboundedPreceding, -r.lo))
             carried.setdefault((False, r.ahead), {})[name] = r
     kept = [F.col(f"`{c}`") for c in rows.columns]
     out = spread.select(*kept, CHUNK, *[c.alias(n) for n, c in made.items()])
@@ -155,9 +160,8 @@ def evaluate(rows: DataFrame, total: int, wanted: dict[str, Request]) -> DataFra
         of = f"weftline__c{i}"
         at = chunk(row + shift) if forward else chunk(row - shift)
         sums = rows.groupBy(at.alias(of)).agg(*[_partial(r).alias(f"weftline__k_{n}") for n, r in these.items()])
-        of_chunks = Window.orderBy(of)  # a row for each chunk
-        of_chunks = of_chunks.rangeBetween(Window.unboundedPreceding, -1) if forward else of_chunks.rangeBetween(1, Window.unboundedFollowing)
-        carries = sums.select(of, *[_plain("sum" if r.agg == "count" else r.agg, F.col(f"weftline__k_{n}")).over(of_chunks).alias(f"weftline__k_{n}") for n, r in these.items()])
+        of_chunks = Window.orderBy(F.col(of) if forward else F.col(of).desc()).rangeBetween(Window.unboundedPreceding, -1)  # a row for each chunk
+        carries = sums.select(of, *[_plain("sum" if r.agg == "count" else r.agg if forward else _mirrored(r.agg), F.col(f"weftline__k_{n}")).over(of_chunks).alias(f"weftline__k_{n}") for n, r in these.items()])
         out = out.join(F.broadcast(carries), F.col(CHUNK) == F.col(of), "left")
     final = {n: _both(r, F.col(f"weftline__k_{n}"), F.col(n)) if isinstance(r, Running) else F.col(n) for n, r in wanted.items()}
     return out.select(*kept, *[c.alias(n) for n, c in final.items()])
