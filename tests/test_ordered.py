@@ -212,6 +212,8 @@ def test_hot_ties_spread_and_no_task_holds_all_rows(spark):
 
 TO_END = {
     "fill_null": lambda df: WithColumns(columns="v", method="fill_null", kwargs={"strategy": "backward", "order_by": "i"}),
+    "rows": lambda df: AggregateOverWindow(order_cols="i", rows_between=[0, "end"], aggregations=[{"agg": a, "col": "v", "alias": a} for a in AGGS]),
+    "rows_behind": lambda df: AggregateOverWindow(order_cols="i", rows_between=[2, "end"], aggregations={"agg": "sum", "col": "v", "alias": "s"}),
     "peers": lambda df: AggregateOverWindow(order_cols="v", aggregations={"agg": "sum", "col": "i", "alias": "s"}),
     "peers_to_end": lambda df: AggregateOverWindow(order_cols="v", range_between=[0, "end"], aggregations={"agg": "max", "col": "i", "alias": "m"}),
 }
