@@ -216,6 +216,7 @@ TO_END = {
     "rows_behind": lambda df: AggregateOverWindow(order_cols="i", rows_between=[2, "end"], aggregations={"agg": "sum", "col": "v", "alias": "s"}),
     "peers": lambda df: AggregateOverWindow(order_cols="v", aggregations={"agg": "sum", "col": "i", "alias": "s"}),
     "peers_to_end": lambda df: AggregateOverWindow(order_cols="v", range_between=[0, "end"], aggregations={"agg": "max", "col": "i", "alias": "m"}),
+    "rank": lambda df: WithColumns(columns="v", method="rank", alias="r"),
 }
 
 
