@@ -218,6 +218,7 @@ TO_END = {
     "peers_to_end": lambda df: AggregateOverWindow(order_cols="v", range_between=[0, "end"], aggregations={"agg": "max", "col": "i", "alias": "m"}),
     "rank": lambda df: WithColumns(columns="v", method="rank", alias="r"),
     "asof_forward": lambda df: DataFrameMethod(method="join_asof", args=[df.select("i", F.col("v").alias("w"))], kwargs={"on": "i", "strategy": "forward", "tolerance": 3}),
+    "asof_nearest": lambda df: DataFrameMethod(method="join_asof", args=[df.select("i", F.col("v").alias("w"))], kwargs={"on": "i", "strategy": "nearest"}),
 }
 
 
