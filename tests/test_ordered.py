@@ -232,6 +232,32 @@ def test_no_frame_is_made_anew_for_each_row(spark, step):
     assert out.count() == 20_000
 
 
+#: Frames whose distinct values were counted with three passes of their own.
+COUNTED = {
+    "peers": ("t", True, {}),
+    "peers_descending": ("t", False, {}),
+    "peers_to_end": ("t", True, {"range_between": [0, "end"]}),
+    "from_start": ("i", True, {"rows_between": ["start", -2]}),
+    "to_end": ("i", True, {"rows_between": [1, "end"]}),
+}
+
+
+@pytest.mark.parametrize("case", COUNTED)
+def test_distinct_counts_share_the_pass_of_other_aggregates(few, monkeypatch, case):
+    """A pass sorts all rows."""
+    order, up, frame = COUNTED[case]
+    passes, number = [], ordered.number
+    for module in (ordered, distinct):
+        monkeypatch.setattr(module, "number", lambda *args: passes.append(args) or number(*args))
+    aggs = [{"agg": "sum", "col": "i", "alias": "a"}] + [{"agg": "countDistinct", "col": c, "alias": f"n_{c}"} for c in ("v", "s", "x")]
+    got = AggregateOverWindow(order_cols=order, ascending=up, aggregations=aggs, **frame).transform(few)
+    assert len(passes) == 1
+    w = Window.orderBy(F.col(order) if up else F.col(order).desc())
+    bounds = [{"start": Window.unboundedPreceding, "end": Window.unboundedFollowing}.get(b, b) for b in next(iter(frame.values()), ())]
+    w = w.rowsBetween(*bounds) if "rows_between" in frame else w.rangeBetween(*bounds) if frame else w
+    same(got, few.withColumns({"a": F.sum("i").over(w), **{f"n_{c}": F.size(F.collect_set(F.nanvl("x", F.lit(-1.0)) if c == "x" else c).over(w)) for c in ("v", "s", "x")}}))
+
+
 # as-of joins
 
 

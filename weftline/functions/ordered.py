@@ -207,6 +207,7 @@ class Frame:
         self._wanted: dict[str, Request] = {}
         self._made: dict[str, Column] = {}
         self._peers: dict[str, bool] = {}
+        self._marks = 0
 
     def want(self, r: Request) -> Column:
         name = f"weftline__w{len(self._wanted)}"
@@ -244,6 +245,16 @@ class Frame:
             return F.sqrt(v) if agg == "stddev" else v
         return part(agg, c)
 
+    def distinct(self, c: Column, lo: int | None, hi: int | None) -> Column:
+        """The number of distinct values, nulls not counted, over the rows from ``lo`` to ``hi`` of each row; one is None: no bound.
+
+        From the start the first row of each value counts, to the end the last one.
+        """
+        mark, self._marks = f"weftline__f{self._marks}", self._marks + 1
+        ends = self.rows.filter(c.isNotNull()).groupBy(c.alias("weftline__v")).agg((F.min if lo is None else F.max)(ROW).alias(mark))
+        self.rows = self.rows.join(ends.select(mark), F.col(ROW) == F.col(mark), "left")
+        return self.want(Running("count", F.col(mark), lo, hi))
+
     def _whole(self, agg: str, c: Column) -> Column:
         if agg in ("first", "last"):
             end = self.rows.filter(F.col(ROW) == (0 if agg == "first" else self.total - 1))

@@ -118,24 +118,32 @@ class AggregateOverWindow(_Window):
             log.warning("columns replaced by aggregates: %s", sorted(set(names) & set(df.columns)))
         # aggregates read the frame's own columns, so that replaced ones go at the end
         made = {f"weftline__a{i}": a for i, a in enumerate(self._aggregations)}
-        counts = {n: a for n, a in made.items() if a["agg"] == COUNT_DISTINCT}
-        out = self._spread(df, {n: a for n, a in made.items() if n not in counts})
-        out = self._count_distinct(out, {n: col(a["col"]) for n, a in counts.items()})
+        counts = {n: col(a["col"]) for n, a in made.items() if a["agg"] == COUNT_DISTINCT}
+        shared = {n: c for n, c in counts.items() if self._counts_in_frame()}
+        out = self._spread(df, {n: a for n, a in made.items() if n not in counts}, shared)
+        out = self._count_distinct(out, {n: c for n, c in counts.items() if n not in shared})
         return out.select(*[col(c) for c in df.columns if c not in names], *[F.col(n).alias(a["alias"]) for n, a in made.items()])
 
-    def _spread(self, df: DataFrame, made: dict[str, dict[str, str]]) -> DataFrame:
-        if not made:
-            return df
+    def _counts_in_frame(self) -> bool:
+        """Whether distinct values are counted in one pass with the other aggregates of all rows."""
+        (lo, hi), by_value = self._frame(), self._by_value()
+        if self._partition or by_value is None or lo is None and hi is None:
+            return False
+        return lo is None or hi is None
+
+    def _spread(self, df: DataFrame, made: dict[str, dict[str, str]], counts: dict[str, Column]) -> DataFrame:
         by_value = self._by_value()
         whole = self._frame() == (None, None)
-        if whole and not self._partition and not (self._order and any(a["agg"] in ("first", "last") for a in made.values())):
+        if made and whole and not self._partition and not (self._order and any(a["agg"] in ("first", "last") for a in made.values())):
             return df.withColumns({n: df.agg(WINDOW_AGGREGATES[a["agg"]](col(a["col"]))).scalar() for n, a in made.items()})  # aggregates of the frame
         one_task = not self._partition and (by_value is None or (any(a["agg"] in COLLECTIONS for a in made.values()) and None in self._frame()))
-        if self._partition or one_task:
+        if made and (self._partition or one_task):
             if one_task:
                 log.warning("a window over all rows in one task: %s", sorted({a["agg"] for a in made.values()}))
             w = self._window()
-            return df.withColumns({n: WINDOW_AGGREGATES[a["agg"]](col(a["col"])).over(w) for n, a in made.items()})
+            df, made = df.withColumns({n: WINDOW_AGGREGATES[a["agg"]](col(a["col"])).over(w) for n, a in made.items()}), {}
+        if not made and not counts:
+            return df
         lo, hi = self._frame()
         to_end = by_value and lo == 0 and hi is None  # as from the start in the reversed order
         order = [o.reversed() for o in self._by()] if to_end else self._by()
@@ -145,6 +153,8 @@ class AggregateOverWindow(_Window):
             if to_end:
                 agg = {"first": "last", "last": "first"}.get(agg, agg)
             frame.add(n, frame.aggregate(agg, col(a["col"]), *((None, 0) if to_end else (lo, hi))), peers=bool(by_value) and not whole)
+        for n, c in counts.items():
+            frame.add(n, frame.distinct(c, *((None, 0) if to_end else (lo, hi))), peers=bool(by_value))
         return frame.result()
 
     def _count_distinct(self, df: DataFrame, made: dict[str, Column]) -> DataFrame:
