@@ -258,6 +258,19 @@ def test_distinct_counts_share_the_pass_of_other_aggregates(few, monkeypatch, ca
     same(got, few.withColumns({"a": F.sum("i").over(w), **{f"n_{c}": F.size(F.collect_set(F.nanvl("x", F.lit(-1.0)) if c == "x" else c).over(w)) for c in ("v", "s", "x")}}))
 
 
+def test_distinct_values_of_narrow_frames_share_the_pass_of_other_aggregates(few, monkeypatch):
+    """Wide frames, and values that may be equal and not the same, are counted by passes of their own."""
+    passes, number = [], ordered.number
+    for module in (ordered, distinct):
+        monkeypatch.setattr(module, "number", lambda *args: passes.append(args) or number(*args))
+    for bounds, c, n in (((-3, 2), "s", 1), ((1, 4), "v", 1), ((-40, 40), "v", 4), ((-3, 2), "x", 4)):
+        passes.clear()
+        got = AggregateOverWindow(order_cols="i", rows_between=bounds, aggregations=[{"agg": "sum", "col": "i", "alias": "a"}, {"agg": "countDistinct", "col": c, "alias": "n"}]).transform(few)
+        assert len(passes) == n
+        w = Window.orderBy("i").rowsBetween(*bounds)
+        same(got, few.withColumns({"a": F.sum("i").over(w), "n": F.size(F.collect_set(F.nanvl("x", F.lit(-1.0)) if c == "x" else c).over(w))}))
+
+
 # as-of joins
 
 

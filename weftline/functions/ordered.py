@@ -246,10 +246,12 @@ class Frame:
         return part(agg, c)
 
     def distinct(self, c: Column, lo: int | None, hi: int | None) -> Column:
-        """The number of distinct values, nulls not counted, over the rows from ``lo`` to ``hi`` of each row; one is None: no bound.
+        """The number of distinct values, nulls not counted, over the rows from ``lo`` to ``hi`` of each row; at most one is None: no bound.
 
-        From the start the first row of each value counts, to the end the last one.
+        Between two bounds each frame's values are held; from the start the first row of each value counts, to the end the last one.
         """
+        if lo is not None and hi is not None:
+            return self.want(Near(lambda w: F.size(F.collect_set(c).over(w.rowsBetween(lo, hi))).cast("bigint"), max(0, -lo, -hi), max(0, lo, hi)))
         mark, self._marks = f"weftline__f{self._marks}", self._marks + 1
         ends = self.rows.filter(c.isNotNull()).groupBy(c.alias("weftline__v")).agg((F.min if lo is None else F.max)(ROW).alias(mark))
         self.rows = self.rows.join(ends.select(mark), F.col(ROW) == F.col(mark), "left")

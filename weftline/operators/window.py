@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import distinct
 from weftline.functions.ordered import By, Deferred, Frame, Near, with_deferred
@@ -30,6 +31,8 @@ WINDOW_AGGREGATES = {
 COUNT_DISTINCT = "countDistinct"
 #: Aggregates that hold all values of a frame.
 COLLECTIONS = ("collect_list", "collect_set")
+#: Frames of fewer rows, of values of these types, are held to count distinct ones; other values may be equal and not the same, as 0.0 and -0.0.
+NARROW, HELD = 64, (T.StringType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.DateType(), T.TimestampType(), T.BooleanType())
 
 
 def _bounds(pair: Any, name: str) -> tuple[int, int]:
@@ -119,17 +122,17 @@ class AggregateOverWindow(_Window):
         # aggregates read the frame's own columns, so that replaced ones go at the end
         made = {f"weftline__a{i}": a for i, a in enumerate(self._aggregations)}
         counts = {n: col(a["col"]) for n, a in made.items() if a["agg"] == COUNT_DISTINCT}
-        shared = {n: c for n, c in counts.items() if self._counts_in_frame()}
+        shared = {n: c for n, c in counts.items() if self._counts_in_frame(df, c)}
         out = self._spread(df, {n: a for n, a in made.items() if n not in counts}, shared)
         out = self._count_distinct(out, {n: c for n, c in counts.items() if n not in shared})
         return out.select(*[col(c) for c in df.columns if c not in names], *[F.col(n).alias(a["alias"]) for n, a in made.items()])
 
-    def _counts_in_frame(self) -> bool:
+    def _counts_in_frame(self, df: DataFrame, c: Column) -> bool:
         """Whether distinct values are counted in one pass with the other aggregates of all rows."""
         (lo, hi), by_value = self._frame(), self._by_value()
         if self._partition or by_value is None or lo is None and hi is None:
             return False
-        return lo is None or hi is None
+        return lo is None or hi is None or 0 <= hi - lo < NARROW and df.select(c).schema[0].dataType in HELD
 
     def _spread(self, df: DataFrame, made: dict[str, dict[str, str]], counts: dict[str, Column]) -> DataFrame:
         by_value = self._by_value()
